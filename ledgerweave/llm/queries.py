@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerweave.llm.groups import hash_to_min
 from ledgerweave.llm.leaks import find_leaks
+from ledgerweave.llm.stuffed import find_stuffed
 from ledgerweave.llm.tokens import TOKENIZER_DIR, encode_texts, read_ranks
 from ledgerweave.sources.tables import table
 
@@ -23,7 +24,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 _WORDS = "regexp_extract_all(replace(lower(regexp_replace(text, '[\u200b\u200c\u200d\u2060\ufeff\u00ad]', '', 'g')), 'ё', 'е'), '[\\p{L}\\p{N}]+')"
 
