@@ -41,7 +41,7 @@ QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_fou
 
 _WORDS = "regexp_extract_all(replace(lower(regexp_replace(text, '[\u200b\u200c\u200d\u2060\ufeff\u00ad]', '', 'g')), 'ё', 'е'), '[\\p{L}\\p{N}]+')"
 
-_VECTOR = ", ".join(f"CASE WHEN {c} BETWEEN -50 AND 50 THEN {c} ELSE 0 END" for c in FEATURES)
+_VECTOR = ", ".join(f"CASE WHEN {c} BETWEEN -50 AND 50 AND NOT isnan({c}) THEN {c} ELSE 0 END" for c in FEATURES)
 
 SQL = {
     "p4_found": f"""
