@@ -41,11 +41,11 @@ QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_fou
 
 _WORDS = "regexp_extract_all(replace(lower(regexp_replace(text, '[\u200b\u200c\u200d\u2060\ufeff\u00ad]', '', 'g')), 'ё', 'е'), '[\\p{L}\\p{N}]+')"
 
-_VECTOR = ", ".join(f"CASE WHEN {c} BETWEEN -50 AND 50 AND NOT isnan({c}) THEN {c} ELSE 0 END" for c in FEATURES)
+_VECTOR = f"list_transform([{', '.join(FEATURES)}], lambda x: CASE WHEN x BETWEEN -50 AND 50 AND NOT isnan(x) THEN x ELSE 0 END)"
 
 SQL = {
     "p4_found": f"""
-WITH f AS (SELECT txId t, [{_VECTOR}]::DOUBLE[165] v FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM elliptic_txs_features WHERE txId IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY txId ORDER BY load_id DESC) = 1),
+WITH f AS (SELECT txId t, {_VECTOR}::DOUBLE[165] v FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM elliptic_txs_features WHERE txId IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY txId ORDER BY load_id DESC) = 1),
 s AS (SELECT a.t x, b.t y, array_cosine_similarity(a.v, b.v) c FROM f a, f b WHERE a.t <> b.t),
 r AS (SELECT x, y FROM (SELECT * FROM s WHERE c >= 0.95 AND NOT isnan(c)) QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
 SELECT DISTINCT least(x, y) txid_a, greatest(x, y) txid_b FROM r""",
