@@ -35,7 +35,7 @@ from ledgerweave.plans.staging import Stage
 
 #: Projected dimensions (even), confidence of the stopping test, rows the top of the tree is fitted on, nodes of a cell
 #: (on average, before margins), margin in units of the floor's distance, points of a leaf, bits of the bitmap.
-DIMS, CONFIDENCE, SAMPLE_ROWS, CELL_NODES, MARGIN, LEAF, MAX_BITS = 16, 0.999, 20_000, 50_000, 1.0, 512, 1 << 24
+DIMS, CONFIDENCE, SAMPLE_ROWS, CELL_NODES, MARGIN, LEAF, MAX_BITS = 16, 0.999, 20_000, 100_000, 1.0, 512, 1 << 24
 SEED = 20240229
 
 
@@ -65,11 +65,30 @@ def _unit(codes: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+#: Components are kept in 12 bits, the largest of a vector being 2047: two components in three bytes.
+TOP = 2047
+
+
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers in -2047..2047 as bytes."""
+    n, w = codes.shape
+    x = np.zeros((n, w + w % 2), dtype=np.uint16)
+    x[:, :w] = codes + TOP
+    a, b = x[:, 0::2], x[:, 1::2]
+    out = np.empty((n, a.shape[1], 3), dtype=np.uint8)
+    out[:, :, 0], out[:, :, 1], out[:, :, 2] = a & 255, (a >> 8) | ((b & 15) << 4), b >> 4
+    return out.reshape(n, -1)
+
+
 def _codes(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a binary column as a matrix of 16-bit numbers."""
-    n = len(column)
+    """Rows of a binary column as a matrix of components."""
+    n, size = len(column), (width + 1) // 2 * 3
     at = np.frombuffer(column.buffers()[1], dtype=np.int32, count=n + 1, offset=4 * column.offset)
-    return np.frombuffer(column.buffers()[2], dtype=np.int16, count=n * width, offset=int(at[0])).reshape(n, width)
+    x = np.frombuffer(column.buffers()[2], dtype=np.uint8, count=n * size, offset=int(at[0])).reshape(n, -1, 3).astype(np.int16)
+    out = np.empty((n, x.shape[1], 2), dtype=np.int16)
+    out[:, :, 0] = x[:, :, 0] | ((x[:, :, 1] & 15) << 8)
+    out[:, :, 1] = (x[:, :, 1] >> 4) | (x[:, :, 2] << 4)
+    return out.reshape(n, -1)[:, :width] - TOP
 
 
 def fit_cells(points: np.ndarray, depth: int) -> list[tuple[int, float]]:
@@ -184,7 +203,7 @@ def search_cell(v: np.ndarray, p: np.ndarray, k: int, floor: float, quantile: fl
 
 
 def _pack(rows: DataFrame, key: str, version: str, columns: list[str], low: float, high: float) -> DataFrame:
-    """(key, version, vec): directions as 16-bit numbers, the largest component 32767; vectors of zeros are left out."""
+    """(key, version, vec): directions in packed components; a vector of zeros is empty."""
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("version", T.LongType()), T.StructField("vec", T.BinaryType())])
     width = len(columns)
 
@@ -197,11 +216,11 @@ def _pack(rows: DataFrame, key: str, version: str, columns: list[str], low: floa
                 x[i] = b.column(i + 2).to_numpy(zero_copy_only=False)
             x[~((x >= low) & (x <= high))] = 0.0
             top = np.abs(x).max(axis=0)
-            some = np.flatnonzero(top > 0)
-            codes = np.rint(x[:, some] * (32767 / top[some])).astype(np.int16).T.copy()
-            data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, (len(some) + 1) * 2 * width, 2 * width, dtype=np.int32)), pa.py_buffer(codes)])
-            take = pa.array(some)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), data], ["key", "version", "vec"])
+            some = top > 0
+            codes = pack_codes(np.rint(x[:, some] * (TOP / top[some])).astype(np.int16).T)
+            ends = np.concatenate([[0], np.cumsum(np.where(some, codes.shape[1], 0))]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], ["key", "version", "vec"])
 
     source = rows.select(F.col(key).cast("long").alias("key"), F.col(version).cast("long").alias("version"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     return source.mapInArrow(run, schema)
@@ -221,11 +240,10 @@ def _latest(df: DataFrame, stage: Stage, key: str, version: str, columns: list[s
     flagged = df.withColumn("__word", (q / 64).cast("int")).join(F.broadcast(bitmap.withColumnRenamed("word", "__word")), "__word", "left")
     maybe = F.coalesce(F.call_function("shiftrightunsigned", F.col("bits"), F.pmod(q, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     once = _pack(flagged.filter(~maybe), key, version, columns, low, high).select("key", "vec")
-    # the newest delivery is chosen before packing, for a newest vector of zeros hides older ones
-    values = F.struct(F.coalesce(F.col(version).cast("long"), F.lit(-(2**62))).alias("version"), *[F.col(c).cast("double").alias(c) for c in columns])
-    twice = flagged.filter(maybe).groupBy(F.col(key).cast("long").alias("__key")).agg(F.max(values).alias("x")).select("__key", "x.*")
-    twice = _pack(twice.withColumnRenamed("version", "__version"), "__key", "__version", columns, low, high).select("key", "vec")
-    return once.unionByName(twice), int(n_keys), flagged
+    # the newest delivery is chosen among packed rows; an empty vector hides older ones
+    newest = F.max(F.struct(F.coalesce("version", F.lit(-(2**62))).alias("version"), "vec"))
+    twice = _pack(flagged.filter(maybe), key, version, columns, low, high).groupBy("key").agg(newest.alias("x")).select("key", "x.vec")
+    return once.unionByName(twice).filter("length(vec) > 0"), int(n_keys), flagged
 
 
 def _cells(vectors: DataFrame, width: int, dims: int, planes: list[tuple[int, float]], margin: float) -> DataFrame:
@@ -298,7 +316,7 @@ def similar_pairs(
     g = projection(width, dims)
     points = np.zeros((0, dims), dtype=np.float32)
     if depth:
-        some = _pack(flagged.filter(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(part)) == 0), key, version, columns, low, high).select("vec").distinct().limit(2 * SAMPLE_ROWS).toArrow()
+        some = _pack(flagged.filter(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(part)) == 0), key, version, columns, low, high).select("vec").filter("length(vec) > 0").distinct().limit(2 * SAMPLE_ROWS).toArrow()
         points = _unit(_codes(some.column(0).combine_chunks(), width)) @ g
     planes = fit_cells(points, depth)
     cells = _cells(vectors, width, dims, planes, margin * math.sqrt(2 - 2 * floor))
