@@ -29,34 +29,42 @@ def key_bounds(parents: DataFrame, key: str, n_keys: int, range_keys: int = RANG
     return sorted({int(x) for x in parents.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n)})
 
 
-def _range_of(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
-    """Adds ``rng``: the number of bounds below the key, by binary search over Arrow batches."""
-    if not bounds:
-        return df.withColumn("rng", F.lit(0))
+def _range_of(df: DataFrame, key: str, bounds: list[int], once: bool = False) -> DataFrame:
+    """Adds ``__rng``: the number of bounds below the key, by binary search over Arrow batches.
+
+    With ``once``, repeats within a batch are left out before anything is shuffled: a reference repeated without end shrinks
+    to one row a batch.
+    """
+    if not bounds and not once:
+        return df.withColumn("__rng", F.lit(0))
     edges = np.array(bounds, dtype=np.int64)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield b.append_column("rng", pa.array(np.searchsorted(edges, k, side="left").astype(np.int32)))
+            t = pa.Table.from_batches([b])
+            if once:
+                t = t.group_by(names).aggregate([]).select(names)
+            k = t.column(key).to_numpy().astype(np.int64)
+            yield from t.append_column("__rng", pa.array(np.searchsorted(edges, k, side="left").astype(np.int32))).combine_chunks().to_batches()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("rng", T.IntegerType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__rng", T.IntegerType())]))
 
 
 def probe(refs: DataFrame, parents: DataFrame, key: str, facts: list[str], spread: str, range_keys: int = RANGE_KEYS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``refs`` with the facts (LONG, null where absent) of their key; ``parents`` has one row per key, key and facts LONG."""
     n_keys = parents.count()
     bounds = key_bounds(parents, key, n_keys, range_keys)
-    refs, parents = _range_of(refs, key, bounds), _range_of(parents.select(key, *facts), key, bounds)
-    sizes = {r[0]: r[1] for r in refs.groupBy("rng").count().collect()}  # one number per range
+    refs, parents = _range_of(refs, key, bounds, once=True), _range_of(parents.select(key, *facts), key, bounds)
+    sizes = {r[0]: r[1] for r in refs.groupBy("__rng").count().collect()}  # one number per range
     slots = [max(1, -(-sizes.get(r, 0) // slot_rows)) for r in range(len(bounds) + 1)]
     first = np.concatenate([[0], np.cumsum(slots)]).tolist()
     width, start = F.array(*[F.lit(s) for s in slots]), F.array(*[F.lit(int(s)) for s in first])
     # the number of a slot is the number of its partition: no two slots share a task by an accident of hashing
-    slot = (F.get(start, F.col("rng")) + F.pmod(F.xxhash64(spread), F.get(width, F.col("rng")))).cast("int")
-    left = refs.withColumn("slot", slot).drop("rng")
-    right = parents.select(F.explode(F.transform(F.sequence(F.lit(0), F.get(width, F.col("rng")) - 1), lambda i: (F.get(start, F.col("rng")) + i).cast("int"))).alias("slot"), key, *facts)
-    out = T.StructType([*[f for f in left.schema.fields if f.name != "slot"], *[T.StructField(f, T.LongType()) for f in facts]])
+    slot = (F.get(start, F.col("__rng")) + F.pmod(F.xxhash64(spread), F.get(width, F.col("__rng")))).cast("int")
+    left = refs.withColumn("__slot", slot).drop("__rng")
+    right = parents.select(F.explode(F.transform(F.sequence(F.lit(0), F.get(width, F.col("__rng")) - 1), lambda i: (F.get(start, F.col("__rng")) + i).cast("int"))).alias("__slot"), key, *facts)
+    out = T.StructType([*[f for f in left.schema.fields if f.name != "__slot"], *[T.StructField(f, T.LongType()) for f in facts]])
     names = [f.name for f in out.fields]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -67,11 +75,11 @@ def probe(refs: DataFrame, parents: DataFrame, key: str, facts: list[str], sprea
         at = np.searchsorted(keys, k)
         hit = np.zeros(len(k), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == k
         index = pa.array(np.where(hit, np.minimum(at, max(0, len(keys) - 1)), 0), mask=~hit)
-        a = a.drop_columns(["slot"])
+        a = a.drop_columns(["__slot"])
         if len(keys):
             b = b.take(pa.array(order))
         for f in facts:
             a = a.append_column(f, b.column(f).take(index) if len(keys) else pa.nulls(len(k), pa.int64()))
         return a.select(names).cast(pa.schema([(n, a.schema.field(n).type) for n in names]))
 
-    return left.groupBy("slot").cogroup(right.groupBy("slot")).applyInArrow(run, out)
+    return left.groupBy("__slot").cogroup(right.groupBy("__slot")).applyInArrow(run, out)
