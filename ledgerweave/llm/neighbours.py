@@ -310,6 +310,9 @@ def similar_pairs(
 ) -> DataFrame:
     """(a, b), a < b: one of the two is among the ``k`` most similar keys of the other and their cosine is ``floor`` or more."""
     stage, width = Stage(df.sparkSession), len(columns)
+    # only what is named is read, under names of its own: other columns of the table cannot clash
+    df = df.select(F.col(key).cast("long").alias("__k"), F.col(version).cast("long").alias("__n"), *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(columns)])
+    key, version, columns = "__k", "__n", [f"__f{i}" for i in range(width)]
     vectors, n_keys, flagged = _latest(df, stage, key, version, columns, low, high)
     part = max(1, n_keys // SAMPLE_ROWS)
     depth = max(0, math.ceil(math.log2(max(1.0, n_keys / cell_nodes))))
