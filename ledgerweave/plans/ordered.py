@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ledgerweave.plans.staging import Stage
+
 #: Cells the order is cut into; their totals are the only thing that one task sees at once.
 CELLS = 256
 
@@ -14,13 +16,19 @@ def cut_cells(df: DataFrame, x: str, cells: int = CELLS) -> DataFrame:
     edges = sorted({float(e) for e in df.approxQuantile(x, [i / cells for i in range(1, cells)], 0.25 / cells)})
     if not edges:
         return df.withColumn("__cell", F.lit(0))
-    # the edges are literals; array_position of the first edge >= x by a binary fold would not be shorter than this search
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(x)))
-    return df.withColumn("__cell", at)
+    # edges are compared through a two-level search: 16 coarse edges, then the 16 or so fine ones of that stretch
+    coarse = edges[:: max(1, len(edges) // 16)]
+    step = max(1, len(edges) // 16)
+    fine = [edges[i : i + step] for i in range(0, len(edges), step)]
+    lit = lambda v: F.lit(v)
+    block = F.size(F.filter(lit(coarse), lambda e: e < F.col(x))) - 1
+    within = F.size(F.filter(F.get(F.array(*[lit(f) for f in fine]), F.greatest(block, F.lit(0))), lambda e: e < F.col(x)))
+    return df.withColumn("__cell", F.when(block < 0, F.lit(0)).otherwise(block * step + within).cast("int"))
 
 
 def running_totals(df: DataFrame, x: str, sums: list[str], descending: bool = False, cells: int = CELLS) -> DataFrame:
     """Adds ``cum_<c>`` for each of ``sums``: total of all rows at or before the row in the order of ``x`` (distinct values)."""
+    df = Stage(df.sparkSession).write(df)  # read by the sketch, the cell totals and the result
     cut = cut_cells(df, x, cells)
     key = F.desc(x) if descending else F.asc(x)
     cell = F.desc("__cell") if descending else F.asc("__cell")
@@ -34,6 +42,7 @@ def running_totals(df: DataFrame, x: str, sums: list[str], descending: bool = Fa
 
 def ordinal_rank(df: DataFrame, x: str, tie: str, cells: int = CELLS) -> DataFrame:
     """Adds ``rank``: ordinal rank by (x, tie) over all rows, from 1."""
+    df = Stage(df.sparkSession).write(df)
     cut = cut_cells(df, x, cells)
     counts = cut.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__cell", F.coalesce(F.sum("__n").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerweave.functions.dates import spelled_date
 from ledgerweave.operators.orphans import probe
-from ledgerweave.operators.packed import split_packed
+from ledgerweave.operators.packed import split_packed, trim_white
 from ledgerweave.operators.profile import merge_profile, partial_profile, profile_issues
 from ledgerweave.operators.snapshots import attribute_hash, snapshot_changes
 from ledgerweave.plans.staging import Stage
@@ -66,8 +66,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = days.filter(~F.coalesce("same", F.lit(False))).withColumn("ord", F.row_number().over(w))
     days = days.select("source", F.date_format("d", "yyyy-MM-dd").alias("snapshot_date"), "ord")
     rows = table(spark, sf_dir, "sanctions_addresses")
-    address = F.lower(F.trim("address"))
-    currency = F.upper(F.trim("currency"))
+    address = F.lower(trim_white(F.col("address")))
+    currency = F.upper(trim_white(F.col("currency")))
     currency = F.when(currency == "XBT", "BTC").otherwise(currency)
     rows = rows.select(F.lower(F.trim("source")).alias("source"), F.date_format(spelled_date(F.col("date")), "yyyy-MM-dd").alias("snapshot_date"), address.alias("address"), attribute_hash([currency, F.col("list"), F.col("ent_num")]).alias("h"))
     rows = rows.filter("address is not null and address != ''").join(F.broadcast(days), ["source", "snapshot_date"])
@@ -154,8 +154,8 @@ FROM (SELECT load_id, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END x FRO
     "p1_distinct": "SELECT load_id, column_name, count(DISTINCT CASE WHEN v = 'nan' THEN NULL ELSE v END) n_distinct FROM (SELECT load_id, unnest(['step','feature','n','ks_D','ks_p','cohen_d']) column_name, unnest([step::VARCHAR, feature, n::VARCHAR, ks_D::VARCHAR, ks_p::VARCHAR, cohen_d::VARCHAR]) v FROM report) GROUP BY load_id, column_name",
     "p5_found": """
 WITH e AS (
-  SELECT date, fetched_at, 'ofac_sdn' source, sources.ofac_sdn_csv.status status, lower(sources.ofac_sdn_csv.sha256) sha FROM manifest
-  UNION ALL SELECT date, fetched_at, 'eu_fsf', sources.eu_fsf_xml.status, lower(sources.eu_fsf_xml.sha256) FROM manifest),
+  SELECT regexp_replace(trim(date), 'T.*$', '') date, fetched_at, 'ofac_sdn' source, sources.ofac_sdn_csv.status status, lower(sources.ofac_sdn_csv.sha256) sha FROM manifest
+  UNION ALL SELECT regexp_replace(trim(date), 'T.*$', ''), fetched_at, 'eu_fsf', sources.eu_fsf_xml.status, lower(sources.eu_fsf_xml.sha256) FROM manifest),
 d AS (SELECT DISTINCT source, strftime(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y%m%d'), try_strptime(date, '%Y/%m/%d'), try_strptime(date, '%d.%m.%Y')), '%Y-%m-%d') dt FROM e WHERE status IN ('ok', 'reused')),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dt) k FROM d),
 r AS (SELECT DISTINCT s.source, o.k, lower(trim(address)) address, CASE WHEN upper(trim(currency)) = 'XBT' THEN 'BTC' ELSE upper(trim(currency)) END cur, list, ent_num
