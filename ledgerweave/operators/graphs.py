@@ -118,7 +118,7 @@ def capped_union(edges: DataFrame, order: list[str], cap: int) -> DataFrame:
     sizes = comp.groupBy("component").count()
     small = comp.join(sizes.filter(F.col("count") <= cap), "component").select("node", F.col("component").alias("cluster"))
     big = sizes.filter(F.col("count") > cap).select("component")
-    replay = edges.join(comp.withColumnRenamed("node", "src"), "src").join(big, "component").select("component", *order, "src", "dst")
+    replay = edges.join(comp.withColumnRenamed("node", "src"), "src").join(big, "component").select(*dict.fromkeys(["component", *order, "src", "dst"]))
     kind = comp.schema["node"].dataType
     schema = T.StructType([T.StructField("node", kind), T.StructField("cluster", kind)])
 
