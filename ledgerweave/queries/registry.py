@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "risk", "learning")
+MODULES = ("quality", "risk", "learning", "more")
 
 
 def _merged(name: str) -> dict:
@@ -25,4 +25,8 @@ def sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return queries()["p1_profile"](spark, sf_dir)
+    """Events to dense daily counts, burstiness, Hawkes intensity and time since the last flagged event."""
+    from ledgerweave.plans.shipping import ship
+
+    ship(spark)
+    return queries()["r058_temporal_series"](spark, sf_dir)
