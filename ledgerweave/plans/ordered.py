@@ -7,18 +7,22 @@ from pyspark.sql import Window as W
 
 from ledgerweave.plans.staging import Stage
 
-#: Cells the order is cut into; their totals are the only thing that one task sees at once.
-CELLS = 256
+#: Rows of a cell, and the fewest and most cells an order is cut into; cell totals are the only thing that one task sees at once.
+CELL_ROWS, FEWEST, MOST = 500_000, 16, 4096
 
 
-def cut_cells(df: DataFrame, x: str, cells: int = CELLS) -> DataFrame:
+def cells_for(df: DataFrame) -> int:
+    return min(MOST, max(FEWEST, df.count() // CELL_ROWS))
+
+
+def cut_cells(df: DataFrame, x: str, cells: int) -> DataFrame:
     """Adds ``__cell``, monotone in ``x``: position among quantiles of a mergeable sketch (at most ``cells`` numbers)."""
     edges = sorted({float(e) for e in df.approxQuantile(x, [i / cells for i in range(1, cells)], 0.25 / cells)})
     if not edges:
         return df.withColumn("__cell", F.lit(0))
-    # edges are compared through a two-level search: 16 coarse edges, then the 16 or so fine ones of that stretch
-    coarse = edges[:: max(1, len(edges) // 16)]
-    step = max(1, len(edges) // 16)
+    # a two-level search: coarse edges, then the fine ones of that stretch, each about the square root of all
+    step = max(1, round(len(edges) ** 0.5))
+    coarse = edges[::step]
     fine = [edges[i : i + step] for i in range(0, len(edges), step)]
     lit = lambda v: F.lit(v)
     block = F.size(F.filter(lit(coarse), lambda e: e < F.col(x))) - 1
@@ -26,24 +30,24 @@ def cut_cells(df: DataFrame, x: str, cells: int = CELLS) -> DataFrame:
     return df.withColumn("__cell", F.when(block < 0, F.lit(0)).otherwise(block * step + within).cast("int"))
 
 
-def running_totals(df: DataFrame, x: str, sums: list[str], descending: bool = False, cells: int = CELLS) -> DataFrame:
+def running_totals(df: DataFrame, x: str, sums: list[str], descending: bool = False, cells: int | None = None) -> DataFrame:
     """Adds ``cum_<c>`` for each of ``sums``: total of all rows at or before the row in the order of ``x`` (distinct values)."""
     df = Stage(df.sparkSession).write(df)  # read by the sketch, the cell totals and the result
-    cut = cut_cells(df, x, cells)
+    cut = cut_cells(df, x, cells or cells_for(df))
     key = F.desc(x) if descending else F.asc(x)
     cell = F.desc("__cell") if descending else F.asc("__cell")
     totals = cut.groupBy("__cell").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = W.orderBy(cell).rowsBetween(W.unboundedPreceding, -1)  # over at most ``cells`` rows
+    before = W.orderBy(cell).rowsBetween(W.unboundedPreceding, -1)  # over the cells' totals
     offsets = totals.select("__cell", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums])
     w = W.partitionBy("__cell").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     out = cut.join(F.broadcast(offsets), "__cell")
     return out.select(*df.columns, *[(F.col(f"__o_{c}") + F.sum(c).over(w)).alias(f"cum_{c}") for c in sums])
 
 
-def ordinal_rank(df: DataFrame, x: str, tie: str, cells: int = CELLS) -> DataFrame:
+def ordinal_rank(df: DataFrame, x: str, tie: str, cells: int | None = None) -> DataFrame:
     """Adds ``rank``: ordinal rank by (x, tie) over all rows, from 1."""
     df = Stage(df.sparkSession).write(df)
-    cut = cut_cells(df, x, cells)
+    cut = cut_cells(df, x, cells or cells_for(df))
     counts = cut.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__cell", F.coalesce(F.sum("__n").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     w = W.partitionBy("__cell").orderBy(x, tie)

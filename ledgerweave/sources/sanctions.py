@@ -74,3 +74,14 @@ def manifest_valid(spark: SparkSession, files: DataFrame, folder: str) -> DataFr
     """(file, valid): whether each recorded file is in the folder with the recorded sha256, in either letter case."""
     there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("actual"))
     return files.join(there, "file", "left").select("file", F.coalesce(F.lower("sha256") == F.col("actual"), F.lit(False)).alias("valid"))
+
+
+def eu_remarks(files: DataFrame, text: str = "value") -> DataFrame:
+    """(n_entities, block): remark blocks of delivered XML texts, one text a row, and the number of entities of their text."""
+    n = F.regexp_count(F.col(text), F.lit(r"<sanctionEntity\b"))
+    blocks = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<remark>(.*?)</remark>"), F.lit(1))
+    return files.select(n.alias("n_entities"), F.explode(blocks).alias("block"))
+
+
+def read_eu_remarks(spark: SparkSession, path: str) -> DataFrame:
+    return eu_remarks(spark.read.text(path, wholetext=True))

@@ -184,6 +184,8 @@ def test_sanctions(spark, tmp_path):
     eth, btc = "0x" + "a" * 40, "1" + "C" * 30
     eu = spark.createDataFrame([(1, f"BTC: {btc}\n{'1' + 'D' * 30}\nETH: {eth}\n{'1' + 'E' * 30}")], "k int, r string")
     assert {(r.line, r.currency) for r in sanctions.eu_addresses(eu, "k", "r").collect()} == {(0, "BTC"), (1, "BTC"), (2, "ETH")}
+    (tmp_path / "eu.xml").write_text(f"<x><sanctionEntity a='1'><remark>BTC: {btc}\nmore</remark></sanctionEntity><sanctionEntity/></x>")
+    assert [(r.n_entities, r.block) for r in sanctions.read_eu_remarks(spark, str(tmp_path / "eu.xml")).collect()] == [(2, f"BTC: {btc}\nmore")]
     assert sanctions.read_pool(spark, str(tmp_path / "none.csv")).count() == 0
     (tmp_path / "p.csv").write_text("address,currency\n x ,BTC\n,ETH\n")
     assert [r.address for r in sanctions.read_pool(spark, str(tmp_path / "p.csv")).collect()] == ["x"]
