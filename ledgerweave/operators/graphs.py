@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from ledgerweave.plans.skew import HOT, skew_join
 from ledgerweave.plans.staging import Stage
 
+#: Open edges of a capped union that one task replays.
+REPLAY_ROWS = 200_000
+
 
 def clean_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null").distinct()
@@ -109,46 +112,78 @@ def cluster_cospend(tx: DataFrame, tx_id: str, pos: str, addr: str, flags: list[
     return components(cospend_edges(tx, tx_id, pos, addr, flags), tx.select(F.col(addr).alias("node")).filter("node is not null").distinct())
 
 
-def capped_union(edges: DataFrame, order: list[str], cap: int) -> DataFrame:
+def capped_union(edges: DataFrame, order: list[str], cap: int, replay_rows: int = REPLAY_ROWS) -> DataFrame:
     """(node, cluster): unions in the given order, refused where the merged cluster would be larger than ``cap``.
 
-    A component no larger than the cap needs no replay.  A larger one is replayed edge by edge, in one task each.
+    Clusters only grow, so an edge that is the first open one of both its clusters can be joined at once, whatever comes
+    later, and an edge refused once is refused for good.  Rounds of this run on the whole table, giant components too; the
+    first open edge of all is decided in each, so they end.  Once at most ``replay_rows`` edges are open, one task replays them.
     """
-    comp = components(edges.select("src", "dst"))
-    sizes = comp.groupBy("component").count()
-    small = comp.join(sizes.filter(F.col("count") <= cap), "component").select("node", F.col("component").alias("cluster"))
-    big = sizes.filter(F.col("count") > cap).select("component")
-    replay = edges.join(comp.withColumnRenamed("node", "src"), "src").join(big, "component").select(*dict.fromkeys(["component", *order, "src", "dst"]))
-    kind = comp.schema["node"].dataType
-    schema = T.StructType([T.StructField("node", kind), T.StructField("cluster", kind)])
+    stage = Stage(edges.sparkSession)
+    edges = edges.filter("src is not null and dst is not null")
+    clusters = stage.write(nodes_of(edges).select("node", F.col("node").alias("cluster")))
+    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("src"), F.col("dst"))
+    x = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).cast("long").alias("sa"), F.lit(1).cast("long").alias("sb"), rank.alias("rank"))
+
+    def open_edges(x: DataFrame) -> DataFrame:
+        """The first edge of each two clusters that may still be joined."""
+        x = x.filter((F.col("a") != F.col("b")) & (F.col("sa") + F.col("sb") <= cap))
+        swap = F.col("a") > F.col("b")
+        low, high = F.struct(F.col("a").alias("c"), F.col("sa").alias("s")), F.struct(F.col("b").alias("c"), F.col("sb").alias("s"))
+        x = x.select(F.when(swap, high).otherwise(low).alias("l"), F.when(swap, low).otherwise(high).alias("h"), "rank")
+        x = x.groupBy("l", "h").agg(F.min("rank").alias("rank"))
+        return stage.write(x.select(F.col("l.c").alias("a"), F.col("h.c").alias("b"), F.col("l.s").alias("sa"), F.col("h.s").alias("sb"), "rank"))
+
+    live = open_edges(x)
+    while (n := live.count()) > replay_rows:
+        ends = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("rank", "a", "b", "sa", "sb").alias("e"))
+        first = ends.groupBy("c").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("k"))
+        first = stage.write(first)
+        hot = [r[0] for r in first.filter(F.col("k") >= max(1000.0, HOT * n)).select("c").collect()]
+        joined = first.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k = 2")
+        moved = stage.write(joined.select(F.explode(F.array("e.a", "e.b")).alias("c"), F.col("e.a").alias("to"), (F.col("e.sa") + F.col("e.sb")).alias("size")))
+        # every cluster with an open edge has a row: itself, or what it was joined to
+        now = stage.write(first.select("c").join(moved, "c", "left"))
+        for c in ("a", "b"):
+            live = skew_join(live, now.withColumnRenamed("c", c), c, hot)
+            live = live.select(*[F.coalesce(F.col("to" if k == c else "size"), F.col(k)).alias(k) if k in (c, f"s{c}") else k for k in ("a", "b", "sa", "sb", "rank")])
+        live = open_edges(live)
+        clusters = stage.write(_moved(clusters, moved))
+    kind = clusters.schema["cluster"]
+    schema = T.StructType([T.StructField("c", kind.dataType), T.StructField("to", kind.dataType)])
 
     def run(pdf):
         import pandas as pd
 
         parent: dict = {}
         size: dict = {}
+        low: dict = {}
 
         def find(x):
-            parent.setdefault(x, x)
-            size.setdefault(x, 1)
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for a, b in pdf.sort_values(order)[["src", "dst"]].itertuples(index=False):
+        for a, b, sa, sb in pdf.sort_values("at")[["a", "b", "sa", "sb"]].itertuples(index=False):
+            for x, k in ((a, sa), (b, sb)):
+                if x not in parent:
+                    parent[x], size[x], low[x] = x, k, x
             a, b = find(a), find(b)
             if a != b and size[a] + size[b] <= cap:
                 a, b = (a, b) if size[a] >= size[b] else (b, a)
                 parent[b] = a
                 size[a] += size[b]
-        low: dict = {}
-        for x in parent:
-            r = find(x)
-            low[r] = min(low.get(r, x), x)
-        return pd.DataFrame({"node": list(parent), "cluster": [low[find(x)] for x in parent]})
+                low[a] = min(low[a], low[b])
+        return pd.DataFrame({"c": list(parent), "to": [low[find(x)] for x in parent]})
+
+    # at most replay_rows rows, so one task numbers them
+    rest = live.withColumn("at", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rank"))).select("a", "b", "sa", "sb", "at", F.lit(0).alias("task"))
+    return _moved(clusters, rest.groupBy("task").applyInPandas(run, schema))
+
 
-    return small.unionByName(replay.groupBy("component").applyInPandas(run, schema))
+def _moved(clusters: DataFrame, moved: DataFrame) -> DataFrame:
+    return clusters.join(moved.select(F.col("c").alias("cluster"), "to"), "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster"))
 
 
 def comention(mentions: DataFrame, article: str, entity: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,43 @@ def test_capped_union(spark):
     assert c == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x"}
 
 
+def unions(edges, cap):
+    member = {x: {x} for e in edges for x in e}
+    for a, b in sorted(edges):
+        if member[a] is not member[b] and len(member[a]) + len(member[b]) <= cap:
+            both = member[a] | member[b]
+            for x in both:
+                member[x] = both
+    return {x: min(m) for x, m in member.items()}
+
+
+@pytest.mark.parametrize("cap, replay_rows", [(4, 0), (4, 40), (25, 0)])
+def test_capped_union_of_a_giant_component(spark, cap, replay_rows):
+    rng = random.Random(cap)
+    pairs = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(240)})
+    e = spark.createDataFrame(pairs, "src int, dst int")
+    assert {r.node: r.cluster for r in graphs.capped_union(e, ["src", "dst"], cap, replay_rows).collect()} == unions(pairs, cap)
+
+
+def test_cospend_queries_take_all_spends(spark, sf):
+    from ledgerweave.queries import risk
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").collect()
+    tx = {}
+    for r in rows:
+        if r.l_returnflag != "R":
+            tx.setdefault(r.l_orderkey, []).append((r.l_linenumber * 10_000_000 + r.l_partkey, r.l_partkey))
+    stars = {(min(t)[1], a) for t in tx.values() for _, a in t}
+    whole = unions([*stars, *((r.l_partkey, r.l_partkey) for r in rows)], len(rows))
+    assert {r.node: r.component for r in risk.QUERIES["r092b_cospend_clusters_all"](spark, sf).collect()} == whole
+    cut = {(a, b) for a, b in stars if a != b}
+    assert {r.node: r.cluster for r in risk.QUERIES["r093_capped_union"](spark, sf).collect()} == unions(cut, 4)
+    want = {("co_spend", str(x), str(y)) for a, b in cut for x, y in ((a, b), (b, a))}
+    want |= {e for r in rows for e in (("addr_tx", str(r.l_partkey), str(r.l_orderkey)), ("tx_addr", str(r.l_orderkey), str(r.l_partkey)))}
+    got = [tuple(r) for r in risk.QUERIES["r097b_account_graph_all"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_mentions(spark):
     m = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("c", 2), ("b", 3), ("c", 3), ("a", 4), ("d", 4)], "e string, x int")
     assert {(r.a, r.b): r.weight for r in graphs.comention(m, "x", "e").collect()} == {("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 1, ("a", "d"): 1}
