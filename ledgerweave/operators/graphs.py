@@ -199,18 +199,26 @@ def mention_features(mentions: DataFrame, article: str, entity: str) -> DataFram
     return each.groupBy(F.col(entity).alias("entity")).agg(F.sum("c").alias("n_mentions"), F.count(F.lit(1)).alias("n_articles"), F.round(F.avg(F.col("k") - 1), 4).alias("mean_co"))
 
 
-def hops_from(edges: DataFrame, start, limit: int = 50) -> DataFrame:
-    """(node, hops): breadth-first distances from a node over undirected edges, the frontier joined round by round."""
+def hops_from(edges: DataFrame, start, limit: int | None = None, bound: int = 10_000) -> DataFrame:
+    """(node, hops): breadth-first distances from a node over undirected edges, the frontier joined round by round until it is empty.
+
+    Only a given ``limit`` leaves farther nodes out; without one, a path longer than ``bound`` is an error.
+    """
     stage = Stage(edges.sparkSession)
     both = stage.write(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    seen = stage.write(both.filter(F.col("src") == F.lit(start)).select(F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0)))
-    for h in range(1, limit + 1):
-        new = seen.filter(F.col("hops") == h - 1).join(both.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = stage.write(new.withColumn("hops", F.lit(h)))
+    last = stage.write(both.filter(F.col("src") == F.lit(start)).select(F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    levels, before = [last.staged_at], last.limit(0)
+    while limit is None or len(levels) <= limit:
+        # a neighbour of one level is in it, the one before or the next
+        new = last.join(both.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct().join(last.unionByName(before), "node", "left_anti")
+        new = stage.write(new.withColumn("hops", F.lit(len(levels))))
         if new.isEmpty():
             break
-        seen = stage.write(seen.unionByName(new))
-    return seen
+        if len(levels) > bound:
+            raise RuntimeError(f"nodes more than {bound} hops away")
+        levels.append(new.staged_at)
+        before, last = last, new
+    return edges.sparkSession.read.schema(last.schema).parquet(*levels)
 
 
 def account_graph(tx: DataFrame, tx_id: str, pos: str, addr: str, flags: list[str]) -> DataFrame:

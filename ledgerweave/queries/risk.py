@@ -469,6 +469,14 @@ def r100_proximity(spark, sf_dir):
     return x.select("node", "hops", F.round(1 / (1 + F.col("hops")), 9).alias("proximity"))
 
 
+@query()
+def r100b_proximity_all(spark, sf_dir):
+    """As r100, whose SQL ends at 6 hops, over paths of any length."""
+    e = _edges(spark, sf_dir)
+    x = graphs.hops_from(e, e.agg(F.min("src")).first()[0])
+    return x.select("node", "hops", F.round(1 / (1 + F.col("hops")), 9).alias("proximity"))
+
+
 @query(f"WITH q AS (SELECT quantile_cont(in_degree + out_degree, 0.95) q FROM {DEGREES}) SELECT node, in_degree + out_degree >= q hub FROM {DEGREES}, q")
 def r087_hub_flags(spark, sf_dir):
     d = graphs.degrees(_edges(spark, sf_dir))

@@ -117,6 +117,28 @@ def test_capped_union(spark):
     assert c == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x"}
 
 
+def test_hops_of_any_length(spark, sf):
+    from ledgerweave.queries import risk
+
+    pairs = [(r.src, r.dst) for r in risk._edges(spark, sf).collect()]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    start = min(a for a, _ in pairs)
+    hops, front = {start: 0}, [start]
+    for a in front:
+        for b in near[a] - hops.keys():
+            hops[b] = hops[a] + 1
+            front.append(b)
+    assert max(hops.values()) > 6
+    assert {r.node: r.hops for r in risk.QUERIES["r100b_proximity_all"](spark, sf).collect()} == hops
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int")
+    assert graphs.hops_from(chain, 0, bound=5).count() == 6
+    with pytest.raises(RuntimeError):
+        graphs.hops_from(chain, 0, bound=4)
+
+
 def unions(edges, cap):
     member = {x: {x} for e in edges for x in e}
     for a, b in sorted(edges):
