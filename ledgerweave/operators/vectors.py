@@ -138,13 +138,27 @@ def pq_encode(df: DataFrame, key: str, vec: str, books: np.ndarray) -> DataFrame
 
 
 def pq_nearest(queries: DataFrame, qkey: str, qvec: str, codes: DataFrame, ckey: str, books: np.ndarray, k: int) -> DataFrame:
-    """(l, r, dist, rank): nearest codes by the sum of looked-up subspace distances."""
+    """(l, r, dist, rank): nearest codes by the sum of the subspace distances to their centroids."""
     m, c, w = books.shape
-    back = F.udf  # noqa: F841
-    decode = codes.select(F.col(ckey).alias("r"), F.flatten(F.transform("codes", lambda x, i: F.get(F.get(F.lit(books.tolist()).cast("array<array<array<double>>>"), i), x))).alias("v"))
+
+    def run(batches):
+        for b in batches:
+            at = _matrix(b.column(1)).astype(int).reshape(b.num_rows, m) if b.num_rows else np.zeros((0, m), int)
+            v = books[np.arange(m), at].reshape(-1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(v), m * w).cast(pa.list_(pa.float64()))], ["r", "v"])
+
+    kind = T.StructField("r", codes.schema[ckey].dataType)
+    decode = codes.select(F.col(ckey).alias("r"), "codes").mapInArrow(run, T.StructType([kind, T.StructField("v", T.ArrayType(T.DoubleType()))]))
     return nearest(queries, qkey, qvec, decode, "r", "v", k)
 
 
+def rerank(short: DataFrame, queries: DataFrame, qkey: str, qvec: str, anchors: DataFrame, akey: str, avec: str, k: int) -> DataFrame:
+    """(l, r, dist, rank): the k nearest of each query's shortlist (l, r) by the exact distance."""
+    x = short.select("l", "r").join(_side(queries, qkey, qvec, "l", []), "l").join(_side(anchors, akey, avec, "r", []), "r")
+    x = x.select("l", "r", F.sqrt(F.aggregate(F.zip_with("vl", "vr", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)).alias("dist"))
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy("dist", "r"))).filter(F.col("rank") <= k)
+
+
 def era_of(step: Column, split: int, width: int = 10) -> Column:
     return F.when(step <= split, "train").when(step <= split + width, "valid").when(step > split + width, "test")
 

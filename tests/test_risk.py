@@ -197,6 +197,15 @@ def test_vectors(spark):
     assert [tuple(r) for r in h.collect()] == [(1, 2)]
 
 
+def test_product_quantiser_recall(spark, sf):
+    from ledgerweave.queries import risk
+
+    assert one(risk.QUERIES["r111_pq_recall"](spark, sf)) >= 0.9
+    v = spark.createDataFrame([(1, [0.0]), (2, [3.0]), (3, [1.0]), (4, [9.0])], "k int, v array<double>")
+    short = spark.createDataFrame([(1, 4), (1, 2), (1, 3)], "l int, r int")
+    assert [(r.l, r.r, r.dist, r["rank"]) for r in vectors.rerank(short, v, "k", "v", v, "k", "v", 2).orderBy("rank").collect()] == [(1, 3, 1.0, 1), (1, 2, 3.0, 2)]
+
+
 def test_losses(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])], "k long, v array<double>")
     want = math.log(math.e**2 + 2) - 2
