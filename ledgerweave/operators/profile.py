@@ -74,6 +74,29 @@ def _partial(df: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str
     )
 
 
+def distinct_counts(df: DataFrame, columns: list[str], load: str) -> DataFrame:
+    """(load_id, pos, n_distinct): exact distinct values of each column and load; null and NaN are no values.
+
+    Numbers are compared as doubles, text as it is.  Columns are read in groups, as in ``partial_profile``.
+    """
+    text = [c for c in columns if dict(df.dtypes)[c] == "string"]
+    number = [c for c in columns if c not in text]
+    out = None
+    for kind in (number, text):
+        for i in range(0, len(kind), COLUMN_GROUP):
+            part = kind[i : i + COLUMN_GROUP]
+            at = F.array(*[F.lit(columns.index(c)) for c in part])
+            if kind is number:
+                long = unpivot(df, part, load)
+            else:
+                long = df.select(F.col(load).cast("int").alias("load_id"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in part])).alias("pos", "v"))
+            # grouped first, so that repeated values are left out before the shuffle
+            seen = long.groupBy("load_id", "pos", "v").agg(F.lit(1).alias("one")).groupBy("load_id", "pos").agg(F.count("v").alias("n_distinct"))
+            seen = seen.select("load_id", F.get(at, F.col("pos")).alias("pos"), "n_distinct")
+            out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 def merge_profile(parts: DataFrame) -> DataFrame:
     """One row per (load_id, pos): counts, extremes and moments of all partial results."""
     inside, null = F.col("cell") >= 0, F.col("cell") == NULL_CELL

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerweave.functions.dates import spelled_date
 from ledgerweave.operators.orphans import probe
 from ledgerweave.operators.packed import split_packed, trim_white
-from ledgerweave.operators.profile import merge_profile, partial_profile, profile_issues
+from ledgerweave.operators.profile import distinct_counts, merge_profile, partial_profile, profile_issues
 from ledgerweave.operators.snapshots import attribute_hash, snapshot_changes
 from ledgerweave.plans.staging import Stage
 from ledgerweave.sources.tables import table
@@ -26,9 +26,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile itself, for the numeric columns of report and the time step of the features."""
+    """The profile itself, for the numeric columns of report and the time step of the features; p1_profile_all has all columns."""
+    return _profiles(spark, sf_dir, {"time_step": (1, 49)})
+
+
+def p1_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all numeric columns of both tables."""
+    return _profiles(spark, sf_dir, FEATURE_RANGES)
+
+
+def _profiles(spark: SparkSession, sf_dir: str, features: dict) -> DataFrame:
     out = []
-    for name, ranges in (("report", REPORT_RANGES), ("elliptic_txs_features", {"time_step": (1, 49)})):
+    for name, ranges in (("report", REPORT_RANGES), ("elliptic_txs_features", features)):
         m = merge_profile(partial_profile(table(spark, sf_dir, name), ranges, "load_id"))
         label = F.array(*[F.lit(c) for c in ranges])
         out.append(m.select(F.lit(name).alias("table_name"), F.get(label, F.col("pos")).alias("column_name"), "load_id", "n_rows", "n_null", "n_outside", F.col("lo").alias("min_value"), F.col("hi").alias("max_value"), F.round("mean", 6).alias("mean_value"), F.round("sd", 6).alias("sd_value")))
@@ -44,6 +53,15 @@ def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("load_id", "column_name").agg(F.count(F.when(F.col("v") != "NaN", 1)).alias("n_distinct"))
 
 
+def p1_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped distinct counts per load of every column p1_distinct has, and of all columns of the features."""
+    out = []
+    for name, cols in (("report", ["step", "feature", "n", *REPORT_RANGES]), ("elliptic_txs_features", list(FEATURE_RANGES))):
+        x = distinct_counts(table(spark, sf_dir, name), cols, "load_id")
+        out.append(x.select(F.lit(name).alias("table_name"), F.get(F.array(*[F.lit(c) for c in cols]), F.col("pos")).alias("column_name"), "load_id", "n_distinct"))
+    return out[0].unionByName(out[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(table(spark, sf_dir, "sdn_rows"), "ent_num", "remark")
 
@@ -108,7 +126,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ref_table", "ref_column", "txid", F.coalesce("f_step", F.lit(0)).cast("int").alias("time_step"), "kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p1_profile_all": p1_profile_all, "p1_distinct_all": p1_distinct_all, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
 
 _DRIFT = """
 pairs AS (SELECT c.column_name, c.load_id, c.v, 1 AS cur FROM vals c UNION ALL SELECT column_name, load_id + 1, v, 0 FROM vals),

@@ -62,6 +62,26 @@ def test_profile_matches_brute_force(spark, seed):
     assert found(profile_issues(df, "t", ranges)) == brute_issues(rows, ranges)
 
 
+def test_all_columns_are_profiled_and_counted(spark, sf):
+    import pandas as pd
+
+    from ledgerweave.queries import quality
+
+    distinct = {(r.table_name, r.column_name, r.load_id): r.n_distinct for r in quality.QUERIES["p1_distinct_all"](spark, sf).collect()}
+    profile = {(r.table_name, r.column_name, r.load_id): r for r in quality.QUERIES["p1_profile_all"](spark, sf).collect()}
+    want = {}
+    for name, more, ranges in (("report", ["step", "feature", "n"], quality.REPORT_RANGES), ("elliptic_txs_features", [], quality.FEATURE_RANGES)):
+        for load, x in pd.read_parquet(f"{sf}/{name}.parquet").groupby("load_id"):
+            want |= {(name, c, load): x[c].dropna().nunique() for c in [*more, *ranges]}
+            for c, (lo, hi) in ranges.items():
+                some, r = x[c].dropna(), profile[name, c, load]
+                v = some[(some >= lo) & (some <= hi)]
+                assert (r.n_rows, r.n_null, r.n_outside) == (len(x), len(x) - len(some), len(some) - len(v))
+                assert len(some) == 0 or (r.min_value, r.max_value) == (some.min(), some.max())
+                assert len(v) < 2 or (abs(r.mean_value - v.mean()) < 1e-5 and abs(r.sd_value - v.std()) < 1e-5)
+    assert distinct == want
+
+
 def test_profile_patterns_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "feat_2"), (1, "feat_2\n"), (2, None), (2, "feat_3"), (None, "feat_x")], "load_id int, f string")
     got = found(profile_issues(df, "t", {}, {"f": r"\Afeat_\d\z"}))
