@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.groups import hash_to_min
 from ledgerweave.llm.leaks import Strings, find_leaks, words_of
-from ledgerweave.llm.neighbours import chi2_quantile, projection, search_cell, similar_pairs
+from ledgerweave.llm.neighbours import DIMS, MARGIN, Cells, chi2_quantile, projection, round_rows, search_cell, similar_pairs, slack, unit_rows
 from ledgerweave.llm.stuffed import find_stuffed, stuffed_share
 from ledgerweave.llm.tokens import TOKENIZER_DIR, Prefixes, Vocabulary, encode_texts, read_ranks
 
@@ -69,12 +69,74 @@ def test_chi_square():
 def test_cell_search_matches_brute_force():
     x = vectors(np.random.default_rng(2), 1500)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    a, b, _ = search_cell(u, u @ projection(40), 5, 0.95, chi2_quantile(0.999, 16), leaf=64)
+    a, b, _ = search_cell(u, u @ projection(40, DIMS), 5, 0.95, chi2_quantile(0.999, DIMS), leaf=64)
     got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
     want = brute_pairs(x, list(range(1500)), 5, 0.95)
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_a_clump_is_searched_in_bounded_time():
+    import time
+
+    rng = np.random.default_rng(7)
+    for spread in (1e-5, 0.02):
+        u, _ = unit_rows(round_rows(rng.standard_normal((1, 165)) + spread * rng.standard_normal((20_000, 165))))
+        began = time.time()
+        a, b, s = search_cell(u, u @ projection(165)[:, :DIMS], 5, 0.95, chi2_quantile(0.999, DIMS))
+        assert time.time() - began < 60 and len(a) == 5 * 20_000 and (s >= 0.95).all()
+    few = rng.choice(20_000, 50, replace=False)
+    sims = u[few] @ u.T
+    sims[np.arange(50), few] = -1
+    best = {i: set(np.argsort(-r)[:5].tolist()) for i, r in zip(few.tolist(), sims)}
+    mates = {i: set(b[a == i].tolist()) for i in best}
+    assert sum(len(best[i] & mates[i]) for i in best) >= 0.97 * 250
+
+
+def test_a_thousand_cells_keep_the_recall():
+    rng = np.random.default_rng(8)
+    x = vectors(rng, 40_000, 165)
+    u, _ = unit_rows(round_rows(x))
+    p = u @ projection(165)
+    cells = Cells(p[::2], 2.0, 120, MARGIN * 0.1**0.5)
+    rows, task, side = cells.assign(p, np.arange(len(p)))
+    assert len(cells.blocks) >= 1000 and (side == 2).mean() > 0.5
+    got = set()
+    order = np.argsort(task, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+        r = rows[at]
+        a, b, _ = search_cell(u[r], p[r][:, :DIMS], 5, 0.95, chi2_quantile(0.999, DIMS), side=side[at] if (side[at] < 2).any() else None)
+        got |= set(zip(np.minimum(r[a], r[b]).tolist(), np.maximum(r[a], r[b]).tolist()))
+    want = set()
+    for i in range(0, len(u), 2000):
+        a, b = np.nonzero(u[i : i + 2000] @ u.T >= 0.95)
+        want |= {(int(m), int(n)) for m, n in zip(a + i, b) if m < n}
+    assert len(want) > 10_000 and len(got & want) >= 0.97 * len(want)
+
+
+def test_rounding_error_is_bounded():
+    rng = np.random.default_rng(9)
+    x = vectors(rng, 400, 165) * 10 ** rng.uniform(-3, 3, (400, 1))
+    x[7], x[8] = 1e-12, 0.0
+    x[8, 3] = 1e-310
+    x[9, 1:] *= 1e-6
+    u, turned = unit_rows(round_rows(x))
+    true = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+    true = np.nan_to_num(true)
+    s = true @ true.T
+    assert (np.abs(u.astype(float) @ u.T.astype(float) - s)[:8, :8] <= slack(np.clip(s, -1, 1), turned[:, None] + turned[None, :])[:8, :8]).all()
+
+
+def test_a_clump_larger_than_a_task_is_cut_into_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = np.ones((500, 12)) + 0.01 * rng.standard_normal((500, 12))
+    cols = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, 1, *r.tolist()) for i, r in enumerate(x)], "id long, ver int, " + ", ".join(f"{c} double" for c in cols))
+    got = {tuple(r) for r in similar_pairs(df, "id", cols, "ver", -50.0, 50.0, cell_nodes=100).collect()}
+    want = brute_pairs(x, list(range(500)), 5, 0.95)
+    assert Cells(unit_rows(round_rows(x))[0] @ projection(12), 1.0, 100, MARGIN * 0.1**0.5).blocks == [10]
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
 @pytest.mark.parametrize("cell_nodes", [10_000, 120])
 def test_similar_pairs(spark, cell_nodes):
     rng = np.random.default_rng(3)
