@@ -157,6 +157,9 @@ def _long_sql(table_name: str, columns: list[str]) -> str:
 _REPORT_RANGE = ("CASE column_name WHEN 'cohen_d' THEN -20 ELSE 0 END", "CASE column_name WHEN 'cohen_d' THEN 20 ELSE 1 END")
 _F_RANGE = ("CASE column_name WHEN 'time_step' THEN 1 ELSE -50 END", "CASE column_name WHEN 'time_step' THEN 49 ELSE 50 END")
 
+_WHITE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_NESTED = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"  # brackets four deep
+
 SQL = {
     "p1_found": f"""SELECT DISTINCT table_name, column_name, load_id::INTEGER load_id, issue FROM (
 {_issues_sql("elliptic_txs_features", _long_sql("elliptic_txs_features", ["time_step", *FEATURES]), *_F_RANGE)}
@@ -170,6 +173,18 @@ FROM (SELECT load_id, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END x FRO
         for name, cols, lo, hi in (("report", list(REPORT_RANGES), *_REPORT_RANGE), ("elliptic_txs_features", ["time_step"], "1", "49"))
     ),
     "p1_distinct": "SELECT load_id, column_name, count(DISTINCT CASE WHEN v = 'nan' THEN NULL ELSE v END) n_distinct FROM (SELECT load_id, unnest(['step','feature','n','ks_D','ks_p','cohen_d']) column_name, unnest([step::VARCHAR, feature, n::VARCHAR, ks_D::VARCHAR, ks_p::VARCHAR, cohen_d::VARCHAR]) v FROM report) GROUP BY load_id, column_name",
+    "p2_found": rf"""
+WITH r AS (SELECT row_number() OVER () i, ent_num, t FROM (SELECT DISTINCT ent_num, regexp_replace(regexp_replace(remark, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '\.$', '') t FROM sdn_rows) WHERE t <> '' AND t <> '-0-'),
+p AS (SELECT i, ent_num, unnest(x) x, generate_subscripts(x, 1) n FROM (SELECT i, ent_num, regexp_extract_all(t, '(?s)"(?:[^"\\]|\\.|"")*"|«[^»]*»|{_NESTED}|\\"|\s//\s|[;；|\n\r\t•,]|[^"«(;；|\n\r\t•,\s\\]+|.') x FROM r)),
+s AS (SELECT *, x SIMILAR TO '[;；|\n\r\t•]|\s//\s' strong FROM p),
+g AS (SELECT *, sum(strong::INTEGER) OVER (PARTITION BY i ORDER BY n ROWS UNBOUNDED PRECEDING) g FROM s),
+v AS (SELECT i, g, regexp_matches(string_agg(x, '' ORDER BY n) FILTER (WHERE NOT strong), '[^\s\x{{A0}}]') filled FROM g GROUP BY i, g),
+one AS (SELECT i FROM v GROUP BY i HAVING count(*) FILTER (WHERE filled) <= 1),
+c AS (SELECT *, strong OR x = ',' AND i IN (FROM one) ends FROM s),
+h AS (SELECT *, sum(ends::INTEGER) OVER (PARTITION BY i ORDER BY n ROWS UNBOUNDED PRECEDING) g FROM c),
+w AS (SELECT i, ent_num, g, regexp_replace(string_agg(x, '' ORDER BY n), '^{_WHITE}+|{_WHITE}+$', '', 'g') y FROM h WHERE NOT ends GROUP BY i, ent_num, g),
+u AS (SELECT i, ent_num, g, CASE WHEN regexp_full_match(y, '(?s)"(?:[^"\\]|\\"|"")*"') THEN regexp_replace(y[2:-2], '""|\\"', '"', 'g') WHEN regexp_full_match(y, '«[^»]*»') THEN y[2:-2] ELSE y END y FROM w)
+SELECT DISTINCT ent_num, (row_number() OVER (PARTITION BY i ORDER BY g))::INTEGER pos, y AS value FROM u WHERE trim(y) <> ''""",
     "p5_found": """
 WITH e AS (
   SELECT regexp_replace(trim(date), 'T.*$', '') date, fetched_at, 'ofac_sdn' source, sources.ofac_sdn_csv.status status, lower(sources.ofac_sdn_csv.sha256) sha FROM manifest

@@ -99,6 +99,9 @@ def test_profile_patterns_nulls_and_empty(spark):
         ('"a \\"b\\" c".', ['a "b" c']), ('a.k.a. "P, Q"; z.', ['a.k.a. "P, Q"', "z"]),
         ("Passport 1 (A; B) // C", ["Passport 1 (A; B)", "C"]), ("http://x//y; z", ["http://x//y", "z"]),
         ("•a\n• b", ["a", "b"]), ("a；b\tc|d", ["a", "b", "c", "d"]), ('«a "b; c"»; "d', ['a "b; c"', '"d']), ("(a; b", ["(a", "b"]), ('"A" and "B"; c', ['"A" and "B"', "c"]),
+        ("a\ue000b\ue101; \ue001\ue100", ["a\ue000b\ue101", "\ue001\ue100"]), ('"\ue101; x" ; y', ["\ue101; x", "y"]),
+        ("x (a; b (c (d; e))) ; y", ["x (a; b (c (d; e)))", "y"]), ("a ) b (c; (d; e) f; g", ["a ) b (c", "(d; e) f", "g"]), ("(a, b), c", ["(a, b)", "c"]),
+        ('("a; b" c); d', ['("a; b" c)', "d"]), ('"a" (b "c; d") ; «e» ("f', ['"a" (b "c; d")', '«e» ("f']), ('"a\\"; "b"', ['"a\\"; "b"']),
     ],
 )
 def test_packed_values(spark, text, want):
@@ -108,8 +111,8 @@ def test_packed_values(spark, text, want):
 
 
 def test_packed_long_and_empty(spark):
-    df = spark.createDataFrame([(1, "; ".join(f'"v{i}; (x"' for i in range(20_000)))], "k long, t string")
-    assert split_packed(df, "k", "t").count() == 20_000
+    df = spark.createDataFrame([(1, "; ".join(f'"v{i}; (x"' for i in range(4_000))), (2, "; ".join(f"v{i}" for i in range(200_000)))], "k long, t string")
+    assert split_packed(df, "k", "t").count() == 204_000
     assert split_packed(df.limit(0), "k", "t").count() == 0
 
 
