@@ -15,7 +15,7 @@ should hold are cut into blocks, and every two blocks meet in a task of their ow
 its shape.  Each task is finished by a kd-tree of its own.  Equal vectors are indexed once (a node), so that copies, however
 many, never fill a cell; their members are joined to the nodes' results at the end.
 
-Cells compare vectors rounded to 16 bits.  The rounding error of every similarity is bounded; where it could decide
+Cells compare vectors rounded to 12 bits.  The rounding error of every similarity is bounded; where it could decide
 (a similarity at the floor, a k-th place disputed by the next ones) the similarities are taken again from the table's values.
 
 Of a key delivered several times the row of the highest version counts.  Only keys that may be repeated are shuffled for
@@ -71,8 +71,8 @@ def projection(width: int, dims: int = TOP_DIMS) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((width, dims)).astype(np.float32)
 
 
-#: The largest component of a rounded vector.
-TOP = 32767
+#: The largest component of a rounded vector: two components are kept in three bytes.
+TOP = 2047
 
 
 def round_rows(x: np.ndarray) -> np.ndarray:
@@ -80,6 +80,17 @@ def round_rows(x: np.ndarray) -> np.ndarray:
     return np.rint(x / np.abs(x).max(axis=1, keepdims=True) * TOP).astype(np.int16)
 
 
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """Rows of rounded components as bytes."""
+    n, w = codes.shape
+    x = np.zeros((n, w + w % 2), dtype=np.uint16)
+    x[:, :w] = codes + TOP
+    a, b = x[:, 0::2], x[:, 1::2]
+    out = np.empty((n, a.shape[1], 3), dtype=np.uint8)
+    out[:, :, 0], out[:, :, 1], out[:, :, 2] = a & 255, (a >> 8) | ((b & 15) << 4), b >> 4
+    return out.reshape(n, -1)
+
+
 def unit_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Directions, and the largest angle that rounding can have turned each by."""
     v = codes.astype(np.float32)
@@ -97,9 +108,15 @@ def slack(s, turned_sum):
 
 def _codes(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a binary column as a matrix of components."""
-    n, size = len(column), 2 * width
+    n, size = len(column), (width + 1) // 2 * 3
+    if not n:
+        return np.zeros((0, width), np.int16)
     at = np.frombuffer(column.buffers()[1], dtype=np.int32, count=n + 1, offset=4 * column.offset)
-    return np.frombuffer(column.buffers()[2], dtype=np.int16, count=n * width, offset=int(at[0])).reshape(n, width) if n and at[-1] - at[0] == n * size else np.zeros((0, width), np.int16)
+    x = np.frombuffer(column.buffers()[2], dtype=np.uint8, count=n * size, offset=int(at[0])).reshape(n, -1, 3).astype(np.int16)
+    out = np.empty((n, x.shape[1], 2), dtype=np.int16)
+    out[:, :, 0] = x[:, :, 0] | ((x[:, :, 1] & 15) << 8)
+    out[:, :, 1] = (x[:, :, 1] >> 4) | (x[:, :, 2] << 4)
+    return out.reshape(n, -1)[:, :width] - TOP
 
 
 class Cells:
@@ -324,9 +341,9 @@ def _pack(rows: DataFrame, key: str, version: str, columns: list[str], low: floa
             x += 0.0
             h = np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in x], dtype=np.int64)
             some = (x != 0).any(axis=1)
-            codes = round_rows(x[some])
-            ends = np.concatenate([[0], np.cumsum(np.where(some, 2 * width, 0))]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+            codes = pack_codes(round_rows(x[some]))
+            ends = np.concatenate([[0], np.cumsum(np.where(some, codes.shape[1], 0))]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(codes)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h), data], ["key", "version", "h", "vec"])
 
     source = rows.select(F.col(key).cast("long").alias("key"), F.col(version).cast("long").alias("version"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
@@ -375,32 +392,37 @@ def _sample(flagged: DataFrame, key: str, version: str, columns: list[str], low:
 
 
 def _spread(vectors: DataFrame, width: int, cells) -> DataFrame:
-    """(task, side, h, key, vec): each distinct vector of a partition once per task; copies as (-1, 2, h, key, null)."""
+    """(task, side, h, key, vec): each distinct vector of a partition once per task; all members of those with copies also as (-1, 2, h, key, null)."""
     g = projection(width)
     schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vec", T.BinaryType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int | None] = {}  # first key of each vector, null once it is known to have copies
         tree = cells.value
         for b in batches:
             if not b.num_rows:
                 continue
-            h = b.column(1).to_numpy(zero_copy_only=False)
+            h, key = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)
             new = np.zeros(len(h), bool)
-            for i, x in enumerate(h.tolist()):
+            copies: list[tuple[int, int]] = []
+            for i, (x, y) in enumerate(zip(h.tolist(), key.tolist())):
                 if x not in seen:
-                    seen.add(x)
+                    seen[x] = y
                     new[i] = True
+                    continue
+                if seen[x] is not None:
+                    copies.append((x, seen[x]))
+                    seen[x] = None
+                copies.append((x, y))
             fresh = np.flatnonzero(new)
             if len(fresh):
-                rows, task, side = tree.assign(unit_rows(_codes(b.column(2), width)[fresh])[0] @ g, h[fresh])
+                rows, task, side = tree.assign(unit_rows(_codes(b.column(2).take(pa.array(fresh)), width))[0] @ g, h[fresh])
                 take = pa.array(fresh[rows])
                 yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(side.astype(np.int32)), b.column(1).take(take), b.column(0).take(take), b.column(2).take(take)], names)
-            again = np.flatnonzero(~new)
-            if len(again):
-                take = pa.array(again)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(again), -1, np.int32)), pa.array(np.full(len(again), 2, np.int32)), b.column(1).take(take), b.column(0).take(take), pa.nulls(len(again), pa.binary())], names)
+            if copies:
+                n = len(copies)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(np.full(n, 2, np.int32)), *[pa.array(np.array(c, dtype=np.int64)) for c in zip(*copies)], pa.nulls(n, pa.binary())], names)
 
     return vectors.select("key", "h", "vec").mapInArrow(run, schema)
 
@@ -411,25 +433,38 @@ def _search(width: int, k: int, floor: float, confidence: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates (h, other, sim, turned) of one task and the members (h, key) of its nodes."""
         names = ["h", "other", "key", "sim", "turned"]
-        hs, codes, sides = [], [], []
+        hs, ks, codes, sides = [], [], [], []
+
+        def members(h: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+            n = len(h)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(n, pa.int64()), pa.array(key), pa.nulls(n, pa.float32()), pa.nulls(n, pa.float32())], names)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            # members of nodes in several tasks come several times and are made distinct afterwards
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.nulls(b.num_rows, pa.int64()), b.column(3), pa.nulls(b.num_rows, pa.float32()), pa.nulls(b.num_rows, pa.float32())], names)
-            whole = b.filter(pa.array(b.column(0).to_numpy(zero_copy_only=False) >= 0))
-            if whole.num_rows:
-                hs.append(whole.column(2).to_numpy(zero_copy_only=False))
-                sides.append(whole.column(1).to_numpy(zero_copy_only=False))
-                codes.append(_codes(whole.column(4), width).copy())
+            whole = b.column(0).to_numpy(zero_copy_only=False) >= 0
+            h, key = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            if not whole.all():
+                yield members(h[~whole], key[~whole])
+            if whole.any():
+                b = b.filter(pa.array(whole))
+                hs.append(h[whole])
+                ks.append(key[whole])
+                sides.append(b.column(1).to_numpy(zero_copy_only=False))
+                codes.append(_codes(b.column(4), width).copy())
         if not hs:
             return
-        h, first = np.unique(np.concatenate(hs), return_index=True)
+        every, keys = np.concatenate(hs), np.concatenate(ks)
+        h, first, which, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
         side = np.concatenate(sides)[first]
         v, turned = unit_rows(np.concatenate(codes)[first])
         del codes
         lowest = floor - float(slack(np.float64(floor), 2 * float(turned.max(initial=0))))
         a, c, s = search_cell(v, v @ g, k, lowest, quantile, keep=k + SPARE, side=side if (side < 2).any() else None)
+        # members of nodes that have neighbours or copies; those of nodes in several tasks are made distinct afterwards
+        named = times > 1
+        named[a] = True
+        yield members(every[named[which]], keys[named[which]])
         for x in range(0, len(a), 50_000):
             y = slice(x, x + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(h[a[y]]), pa.array(h[c[y]]), pa.nulls(len(a[y]), pa.int64()), pa.array(s[y]), pa.array((turned[a[y]] + turned[c[y]]).astype(np.float32))], names)
