@@ -1,18 +1,24 @@
 """What changed between full snapshots.
 
-A snapshot is kept as an index: bucket, key, hash of the attributes.  A new snapshot is reduced to the same form, probes the
-index bucket by bucket, and takes its place.  ``SnapshotIndex`` does this for a snapshot that arrives alone; old values are
-fetched only for keys that changed.  ``snapshot_changes`` does it for a whole history in one pass: all snapshots are hashed
-into the same buckets by key, once, and in a bucket every entry meets the entry of the snapshot before it.
-
-Defined results: records with a null or blank key are no records; repeated records count once; a key that comes several
-times in a snapshot with different attributes is compared by the set of them.  Other columns of the table are not read.
+The last snapshot is kept as an index: keys and a hash of the attributes, in buckets by key.  A new snapshot is reduced to the
+same form and buckets (one shuffle of its own rows), probes the index bucket by bucket without another shuffle, and takes its
+place.  Old values are fetched, from rows kept in the same buckets, only for keys that changed or went.  A delivery costs as
+much as the two snapshots it compares, however many came before.
+
+A version is valid once its marker stands; the marker is made after all tables of the version are written, so an
+interrupted delivery leaves the old version in force and is cleared away when the index is opened again.  The tables of the
+version before go once the new one is valid; the changes of every version stay.
+
+Defined results: records with a null key are no records; repeated records count once; a key that comes several times in a
+snapshot with different attributes is compared by the set of them; null differs from any value.  Other columns of the rows
+are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def attribute_hash(attributes: list[Column]) -> Column:
@@ -26,57 +32,97 @@ def key_index(rows: DataFrame, keys: list[str], hash_col: str = "h") -> DataFram
     return once.groupBy(*keys).agg(F.expr(f"bit_xor(xxhash64({hash_col}))").alias("h"), F.count(F.lit(1)).alias("n")).select(*keys, F.xxhash64("h", "n").alias("h"))
 
 
-def snapshot_changes(rows: DataFrame, key: str, series: str, order: str, hash_col: str, orders: DataFrame) -> DataFrame:
-    """(series, order, key, change) of every snapshot against its predecessor.
-
-    ``order`` numbers the snapshots of a series from 1 without gaps; ``orders`` has (series, last): the number of the last.
-    Rows of a key are spread over the cluster by (series, key): a bucket holds at most one entry per snapshot of a key.
-    """
-    index = key_index(rows.select(series, order, key, hash_col), [series, order, key], hash_col)
-    w = W.partitionBy(series, key).orderBy(order)
-    seen = index.join(F.broadcast(orders), series)  # one row per series
-    seen = seen.withColumn("p", F.lag(order).over(w)).withColumn("ph", F.lag("h").over(w)).withColumn("q", F.lead(order).over(w))
-    o = F.col(order)
-    here = F.when((o > 1) & (F.col("p").isNull() | (F.col("p") != o - 1)), F.lit("added")).when((F.col("p") == o - 1) & (F.col("ph") != F.col("h")), F.lit("changed"))
-    gone = F.when((o < F.col("last")) & (F.col("q").isNull() | (F.col("q") != o + 1)), F.lit("removed"))
-    both = F.array(F.struct(o.alias("o"), here.alias("change")), F.struct((o + 1).alias("o"), gone.alias("change")))
-    out = seen.select(series, key, F.explode(both).alias("x")).filter("x.change is not null")
-    return out.select(series, F.col("x.o").alias(order), key, F.col("x.change").alias("change"))
-
-
 class SnapshotIndex:
-    """Bucketed key-to-hash index of the last snapshot of one table, kept in a folder and swapped with each snapshot."""
-
-    def __init__(self, spark, path: str, keys: list[str], attributes: list[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.attributes, self.buckets = spark, path.rstrip("/"), keys, attributes, buckets
-        self.version = 0
-
-    def _table(self, version: int, kind: str) -> str:
-        return f"{self.path}/v{version}/{kind}"
+    """Bucketed key-to-hash index of the last snapshot, kept in a folder all executors share.
 
-    def _reduce(self, rows: DataFrame) -> DataFrame:
-        rows = rows.select(*self.keys, *self.attributes).dropna(subset=self.keys)
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        return key_index(rows.withColumn("h", attribute_hash([F.col(a) for a in self.attributes])), self.keys).withColumn("bucket", bucket)
-
-    def advance(self, rows: DataFrame) -> DataFrame:
-        """Compare ``rows`` with the last snapshot, then make it the last; the first snapshot has no changes.
+    ``series`` names the key column, if any, whose values are delivered apart from each other (the source of a list).
+    ``buckets`` holds for a new index; one that is there already keeps its own.
+    """
 
-        Gives (keys, change, old), old being the array of the old attributes of changed and removed keys.
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], attributes: list[str], buckets: int = 64, series: str | None = None):
+        self.spark, self.path, self.keys, self.attributes, self.series = spark, path.rstrip("/"), keys, attributes, series
+        self.name = f"lw_{uuid.uuid4().hex}"
+        root = self._at("")
+        self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(root)
+        names = [s.getPath().getName() for s in self.fs.listStatus(root)]
+        known = [int(n[8:]) for n in names if n.startswith("buckets=")]
+        self.buckets = known[0] if known else buckets
+        if not known:
+            self.fs.mkdirs(self._at(f"buckets={buckets}"))
+        started = [int(n[1:]) for n in names if n.startswith("v")]
+        self.version = max((v for v in started if self.fs.exists(self._at(f"v{v}/_VALID"))), default=0)
+        for v in started:
+            if v > self.version:
+                self.fs.delete(self._at(f"v{v}"), True)
+        if self.version:
+            for kind in ("index", "rows"):
+                self._open(self.version, kind)
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _name(self, version: int, kind: str) -> str:
+        return f"{self.name}_{kind}_{version}"
+
+    def _open(self, version: int, kind: str) -> None:
+        """Name the bucketed files of an earlier process in this session."""
+        at = f"{self.path}/v{version}/{kind}"
+        columns = self.spark.read.parquet(at)._jdf.schema().toDDL()
+        by = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE {self._name(version, kind)} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+
+    def _write(self, df: DataFrame, version: int, kind: str) -> DataFrame:
+        df.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.path}/v{version}/{kind}").saveAsTable(self._name(version, kind))
+        return self.spark.table(self._name(version, kind))
+
+    def _drop(self, version: int) -> None:
+        for kind in ("index", "rows"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(version, kind)}")
+            self.fs.delete(self._at(f"v{version}/{kind}"), True)
+
+    def changes(self) -> DataFrame | None:
+        """(version, keys, change, old) of all deliveries but the first; null before the second."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(""))]
+        paths = [f"{self.path}/{n}/changes" for n in names if n.startswith("v") and 1 < int(n[1:]) <= self.version]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def advance(self, rows: DataFrame, delivered: list | None = None) -> DataFrame | None:
+        """Compare ``rows`` with the last snapshot, then make them the last; the first snapshot has no changes (null).
+
+        Gives (version, keys, change, old), old being the array of the old attributes of changed and removed keys, as JSON.
+        With ``series``, only the series in ``delivered`` (a few names) are compared and replaced, the others stay.
         """
         new, old = self.version + 1, self.version
-        self._reduce(rows).write.partitionBy("bucket").parquet(self._table(new, "index"))
-        rows.select(*self.keys, *self.attributes).write.parquet(self._table(new, "rows"))
-        index = self.spark.read.parquet(self._table(new, "index"))
+        columns = [*self.keys, *self.attributes]
+        part = None if self.series is None or delivered is None else F.col(self.series).isin(delivered)
+        rows = rows.select(*columns).dropna(subset=self.keys)
+        if part is not None:
+            rows = rows.filter(part)
+            if old:
+                rows = rows.unionByName(self.spark.table(self._name(old, "rows")).filter(~part))
+        # the hash of a bucket is that of the exchange: a task holds a bucket, so writing and grouping need no other shuffle
+        kept = self._write(rows.distinct().repartition(self.buckets, *self.keys), new, "rows")
+        index = self._write(key_index(kept.withColumn("h", attribute_hash([F.col(a) for a in self.attributes])), self.keys).repartition(self.buckets, *self.keys), new, "index")
+        if old:
+            before = self.spark.table(self._name(old, "index")).withColumnRenamed("h", "h0")
+            if part is not None:
+                index, before = index.filter(part), before.filter(part)
+            probe = index.join(before, self.keys, "full_outer")
+            change = F.when(F.col("h0").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.col("h") != F.col("h0"), "changed")
+            probe = probe.select(*self.keys, change.alias("change")).filter("change is not null")
+            values = F.to_json(F.struct(*self.attributes), {"ignoreNullFields": "false"})
+            stale = self.spark.table(self._name(old, "rows")).join(probe.filter("change != 'added'").select(*self.keys), self.keys, "left_semi")
+            stale = stale.groupBy(*self.keys).agg(F.array_sort(F.collect_set(values)).alias("old"))
+            probe.join(stale, self.keys, "left").select(F.lit(new).alias("version"), *self.keys, "change", "old").write.parquet(f"{self.path}/v{new}/changes")
+        self.fs.create(self._at(f"v{new}/_VALID"), True).close()
         self.version = new
-        on = ["bucket", *self.keys]
-        if not old:
-            return index.select(*self.keys, F.lit(None).cast("string").alias("change"), F.lit(None).cast("array<string>").alias("old")).limit(0)
-        before = self.spark.read.parquet(self._table(old, "index")).withColumnRenamed("h", "h0")
-        probe = index.join(before, on, "full_outer")
-        change = F.when(F.col("h0").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.col("h") != F.col("h0"), "changed")
-        probe = probe.select(*self.keys, change.alias("change")).filter("change is not null")
-        values = F.to_json(F.struct(*self.attributes), {"ignoreNullFields": "false"})
-        stale = self.spark.read.parquet(self._table(old, "rows")).join(probe.filter("change != 'added'"), self.keys, "left_semi")
-        stale = stale.groupBy(*self.keys).agg(F.array_sort(F.collect_set(values)).alias("old"))
-        return probe.join(stale, self.keys, "left")
+        if old:
+            self._drop(old)
+            return self.spark.read.parquet(f"{self.path}/v{new}/changes")
+        return None
+
+    def close(self) -> None:
+        """Forget the session's names of the tables; the files stay."""
+        for kind in ("index", "rows"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(self.version, kind)}")

@@ -80,12 +80,12 @@ class Stage:
         self.spark, self.root = spark, f"{shared_dir(spark)}/lw-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read back; its path is kept in ``df.staged_at``."""
+    def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df``, in folders by the column ``by`` if given, and return it as read back; its path is kept in ``df.staged_at``."""
         self.count += 1
         _OPEN[self.root] = self.spark
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.staged_at = path
         return back

@@ -8,7 +8,7 @@ from ledgerweave.functions.dates import spelled_date
 from ledgerweave.operators.orphans import probe
 from ledgerweave.operators.packed import split_packed, trim_white
 from ledgerweave.operators.profile import distinct_counts, merge_profile, partial_profile, profile_issues
-from ledgerweave.operators.snapshots import attribute_hash, snapshot_changes
+from ledgerweave.operators.snapshots import SnapshotIndex
 from ledgerweave.plans.staging import Stage
 from ledgerweave.sources.tables import table
 
@@ -75,23 +75,50 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("source", "d").agg(F.max_by("sha", "fetched_at").alias("sha"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of a bucket of the index, about.
+BUCKET_ROWS = 500_000
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, version, snapshot_date, address, change, old): every delivered list against the delivered one before it."""
     from pyspark.sql import Window as W
 
     # the manifest has one entry per fetch: a few rows, whatever the size of the lists
     w = W.partitionBy("source").orderBy("d")
     days = _deliveries(spark, sf_dir).withColumn("same", (F.lag("sha").over(w) == F.col("sha")) & F.col("sha").isNotNull())
     days = days.filter(~F.coalesce("same", F.lit(False))).withColumn("ord", F.row_number().over(w))
-    days = days.select("source", F.date_format("d", "yyyy-MM-dd").alias("snapshot_date"), "ord")
+    days = days.select("source", F.date_format("d", "yyyy-MM-dd").alias("snapshot_date"), "ord").collect()
     rows = table(spark, sf_dir, "sanctions_addresses")
     address = F.lower(trim_white(F.col("address")))
     currency = F.upper(trim_white(F.col("currency")))
     currency = F.when(currency == "XBT", "BTC").otherwise(currency)
-    rows = rows.select(F.lower(F.trim("source")).alias("source"), F.date_format(spelled_date(F.col("date")), "yyyy-MM-dd").alias("snapshot_date"), address.alias("address"), attribute_hash([currency, F.col("list"), F.col("ent_num")]).alias("h"))
-    rows = rows.filter("address is not null and address != ''").join(F.broadcast(days), ["source", "snapshot_date"])
-    last = days.groupBy("source").agg(F.max("ord").alias("last"))
-    found = snapshot_changes(rows, "address", "source", "ord", "h", last)
-    return found.join(F.broadcast(days), ["source", "ord"]).select("source", "snapshot_date", "address", "change").distinct()
+    rows = rows.select(F.lower(F.trim("source")).alias("source"), F.date_format(spelled_date(F.col("date")), "yyyy-MM-dd").alias("snapshot_date"), F.nullif(address, F.lit("")).alias("address"), currency.alias("currency"), "list", "ent_num")
+    known = spark.createDataFrame([tuple(r) for r in days], "source string, snapshot_date string, ord int")
+    rows = rows.join(F.broadcast(known), ["source", "snapshot_date"]).filter("address is not null").drop("snapshot_date")
+    stage = Stage(spark)
+    # one pass over the table; each delivery then reads its own rows only
+    rows = stage.write(rows, "ord")
+    last = max((r["ord"] for r in days), default=0)
+    size = rows.count() // max(1, last)
+    index = SnapshotIndex(spark, f"{stage.root}/index", ["source", "address"], ["currency", "list", "ent_num"], max(8, -(-size // BUCKET_ROWS)), "source")
+    for o in range(1, last + 1):
+        index.advance(rows.filter(F.col("ord") == o), [r["source"] for r in days if r["ord"] == o])
+    index.close()
+    found = index.changes()
+    if found is None:
+        found = spark.createDataFrame([], "version int, source string, address string, change string, old array<string>")
+    return found.join(F.broadcast(known.withColumnRenamed("ord", "version")), ["source", "version"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delivered(spark, sf_dir).select("source", "snapshot_date", "address", "change")
+
+
+def p5_old_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed and removed addresses with the attributes they had before, fetched for these alone."""
+    x = _delivered(spark, sf_dir).filter("change != 'added'").select("source", "snapshot_date", "address", "change", F.explode("old").alias("o"))
+    o = F.from_json("o", "currency string, list string, ent_num long")
+    return x.select("source", "snapshot_date", "address", "change", o["currency"].alias("currency"), o["list"].alias("list_name"), o["ent_num"].alias("ent_num")).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +153,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ref_table", "ref_column", "txid", F.coalesce("f_step", F.lit(0)).cast("int").alias("time_step"), "kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p1_profile_all": p1_profile_all, "p1_distinct_all": p1_distinct_all, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p1_profile_all": p1_profile_all, "p1_distinct_all": p1_distinct_all, "p2_found": p2_found, "p5_found": p5_found, "p5_old_values": p5_old_values, "p6_found": p6_found}
 
 _DRIFT = """
 pairs AS (SELECT c.column_name, c.load_id, c.v, 1 AS cur FROM vals c UNION ALL SELECT column_name, load_id + 1, v, 0 FROM vals),
@@ -157,6 +184,20 @@ def _long_sql(table_name: str, columns: list[str]) -> str:
 _REPORT_RANGE = ("CASE column_name WHEN 'cohen_d' THEN -20 ELSE 0 END", "CASE column_name WHEN 'cohen_d' THEN 20 ELSE 1 END")
 _F_RANGE = ("CASE column_name WHEN 'time_step' THEN 1 ELSE -50 END", "CASE column_name WHEN 'time_step' THEN 49 ELSE 50 END")
 
+_P5 = """
+WITH e AS (
+  SELECT regexp_replace(trim(date), 'T.*$', '') date, fetched_at, 'ofac_sdn' source, sources.ofac_sdn_csv.status status, lower(sources.ofac_sdn_csv.sha256) sha FROM manifest
+  UNION ALL SELECT regexp_replace(trim(date), 'T.*$', ''), fetched_at, 'eu_fsf', sources.eu_fsf_xml.status, lower(sources.eu_fsf_xml.sha256) FROM manifest),
+d AS (SELECT DISTINCT source, strftime(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y%m%d'), try_strptime(date, '%Y/%m/%d'), try_strptime(date, '%d.%m.%Y')), '%Y-%m-%d') dt FROM e WHERE status IN ('ok', 'reused')),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dt) k FROM d),
+r AS (SELECT DISTINCT s.source, o.k, lower(trim(address)) address, CASE WHEN upper(trim(currency)) = 'XBT' THEN 'BTC' ELSE upper(trim(currency)) END cur, list, ent_num
+  FROM sanctions_addresses s JOIN o ON o.source = s.source AND o.dt = s.date),
+j AS (SELECT coalesce(a.source, b.source) source, coalesce(a.k, b.k + 1) k, coalesce(a.address, b.address) address,
+  CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed'
+       WHEN a.cur IS DISTINCT FROM b.cur OR a.list IS DISTINCT FROM b.list OR a.ent_num IS DISTINCT FROM b.ent_num THEN 'changed' END change
+  FROM r a FULL JOIN r b ON a.source = b.source AND a.address = b.address AND a.k = b.k + 1)
+"""
+
 _WHITE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 _NESTED = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"  # brackets four deep
 
@@ -185,19 +226,8 @@ h AS (SELECT *, sum(ends::INTEGER) OVER (PARTITION BY i ORDER BY n ROWS UNBOUNDE
 w AS (SELECT i, ent_num, g, regexp_replace(string_agg(x, '' ORDER BY n), '^{_WHITE}+|{_WHITE}+$', '', 'g') y FROM h WHERE NOT ends GROUP BY i, ent_num, g),
 u AS (SELECT i, ent_num, g, CASE WHEN regexp_full_match(y, '(?s)"(?:[^"\\]|\\"|"")*"') THEN regexp_replace(y[2:-2], '""|\\"', '"', 'g') WHEN regexp_full_match(y, '«[^»]*»') THEN y[2:-2] ELSE y END y FROM w)
 SELECT DISTINCT ent_num, (row_number() OVER (PARTITION BY i ORDER BY g))::INTEGER pos, y AS value FROM u WHERE trim(y) <> ''""",
-    "p5_found": """
-WITH e AS (
-  SELECT regexp_replace(trim(date), 'T.*$', '') date, fetched_at, 'ofac_sdn' source, sources.ofac_sdn_csv.status status, lower(sources.ofac_sdn_csv.sha256) sha FROM manifest
-  UNION ALL SELECT regexp_replace(trim(date), 'T.*$', ''), fetched_at, 'eu_fsf', sources.eu_fsf_xml.status, lower(sources.eu_fsf_xml.sha256) FROM manifest),
-d AS (SELECT DISTINCT source, strftime(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y%m%d'), try_strptime(date, '%Y/%m/%d'), try_strptime(date, '%d.%m.%Y')), '%Y-%m-%d') dt FROM e WHERE status IN ('ok', 'reused')),
-o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dt) k FROM d),
-r AS (SELECT DISTINCT s.source, o.k, lower(trim(address)) address, CASE WHEN upper(trim(currency)) = 'XBT' THEN 'BTC' ELSE upper(trim(currency)) END cur, list, ent_num
-  FROM sanctions_addresses s JOIN o ON o.source = s.source AND o.dt = s.date),
-j AS (SELECT coalesce(a.source, b.source) source, coalesce(a.k, b.k + 1) k, coalesce(a.address, b.address) address,
-  CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed'
-       WHEN a.cur IS DISTINCT FROM b.cur OR a.list IS DISTINCT FROM b.list OR a.ent_num IS DISTINCT FROM b.ent_num THEN 'changed' END change
-  FROM r a FULL JOIN r b ON a.source = b.source AND a.address = b.address AND a.k = b.k + 1)
-SELECT DISTINCT j.source, o.dt snapshot_date, address, change FROM j JOIN o ON o.source = j.source AND o.k = j.k WHERE j.k > 1 AND change IS NOT NULL""",
+    "p5_found": _P5 + "SELECT DISTINCT j.source, o.dt snapshot_date, address, change FROM j JOIN o ON o.source = j.source AND o.k = j.k WHERE j.k > 1 AND change IS NOT NULL",
+    "p5_old_values": _P5 + "SELECT DISTINCT j.source, o.dt snapshot_date, j.address, change, p.cur currency, p.list list_name, p.ent_num FROM j JOIN o ON o.source = j.source AND o.k = j.k JOIN r p ON p.source = j.source AND p.k = j.k - 1 AND p.address = j.address WHERE j.k > 1 AND change IN ('changed', 'removed')",
     "p6_found": """
 WITH f AS (SELECT txId k, min(load_id) l, min(time_step) s FROM elliptic_txs_features WHERE txId IS NOT NULL GROUP BY txId),
 c AS (SELECT txId k, min(load_id) l FROM elliptic_txs_classes WHERE txId IS NOT NULL GROUP BY txId),

@@ -10,7 +10,7 @@ from ledgerweave.functions.dates import spelled_date
 from ledgerweave.operators.orphans import probe
 from ledgerweave.operators.packed import split_packed
 from ledgerweave.operators.profile import profile_issues
-from ledgerweave.operators.snapshots import SnapshotIndex, attribute_hash, snapshot_changes
+from ledgerweave.operators.snapshots import SnapshotIndex
 
 NAN, INF = float("nan"), float("inf")
 
@@ -120,31 +120,43 @@ def snapshots(rng, days):
     return [{f"k{i}": rng.randint(0, 2) for i in range(40) if rng.random() < 0.7} for _ in range(days)]
 
 
-def test_snapshot_history_and_index_agree_with_brute_force(spark, tmp_path):
-    days = snapshots(random.Random(5), 4)
-    rows = [("s", o, k, v) for o, d in enumerate(days, 1) for k, v in d.items()] + [("s", 1, k, v) for k, v in days[0].items()]
-    df = spark.createDataFrame(rows, "source string, ord int, k string, v int").withColumn("h", attribute_hash([F.col("v")]))
-    last = spark.createDataFrame([("s", 4)], "source string, last int")
-    got = {(r.ord, r.k, r.change) for r in snapshot_changes(df, "k", "source", "ord", "h", last).collect()}
-    want = set()
-    for o in range(1, 4):
-        a, b = days[o - 1], days[o]
-        want |= {(o + 1, k, "added") for k in b.keys() - a.keys()} | {(o + 1, k, "removed") for k in a.keys() - b.keys()} | {(o + 1, k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
-    assert got == want
-    index, step = SnapshotIndex(spark, str(tmp_path / "i"), ["k"], ["v"], 4), set()
-    for o in range(1, 5):
-        changes = index.advance(df.filter(F.col("ord") == o).select("k", "v")).collect()
-        step |= {(o, r.k, r.change) for r in changes}
-        for r in changes:
-            assert (r.old is None) == (r.change == "added")
-    assert step == want
-
-
-def test_snapshot_nulls_differ_and_empty(spark):
-    df = spark.createDataFrame([("s", 1, "a", None), ("s", 2, "a", 0)], "source string, ord int, k string, v int").withColumn("h", attribute_hash([F.col("v")]))
-    last = spark.createDataFrame([("s", 2)], "source string, last int")
-    assert [r.change for r in snapshot_changes(df, "k", "source", "ord", "h", last).collect()] == ["changed"]
-    assert snapshot_changes(df.limit(0), "k", "source", "ord", "h", last).count() == 0
+def brute_changes(a, b):
+    return {(k, "added") for k in b.keys() - a.keys()} | {(k, "removed") for k in a.keys() - b.keys()} | {(k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
+
+
+def test_snapshot_index_agrees_with_brute_force_and_survives_a_restart(spark, tmp_path):
+    days = snapshots(random.Random(5), 5)
+    path = str(tmp_path / "i")
+    make = lambda: SnapshotIndex(spark, path, ["k"], ["v"], 4)
+    index = make()
+    for o, day in enumerate(days, 1):
+        rows = [(k, v, "x") for k, v in day.items()] * 2 + [(None, 1, "x")]
+        got = index.advance(spark.createDataFrame(rows, "k string, v int, h string"))
+        if o == 1:
+            assert got is None
+            continue
+        before = days[o - 2]
+        assert {(r.k, r.change) for r in got.collect()} == brute_changes(before, day)
+        assert all(r.old == (None if r.change == "added" else [f'{{"v":{before[r.k]}}}']) and r.version == o for r in got.collect())
+        if o == 3:  # another process, after a delivery that was interrupted
+            (tmp_path / "i" / "v4" / "index").mkdir(parents=True)
+            index = make()
+            assert index.version == 3 and not (tmp_path / "i" / "v4").exists()
+    assert sorted(p.name for p in (tmp_path / "i").iterdir() if (p / "index").exists()) == ["v5"]
+    assert index.changes().count() == sum(len(brute_changes(a, b)) for a, b in zip(days, days[1:]))
+    plan = spark.table(index._name(5, "index")).join(spark.table(index._name(5, "index")).withColumnRenamed("h", "g"), "k", "full_outer")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_series_nulls_and_empty(spark, tmp_path):
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["s", "k"], ["v"], 2, "s")
+    make = lambda rows: spark.createDataFrame(rows, "s string, k string, v int")
+    assert index.advance(make([("a", "x", None), ("b", "y", 1), ("b", "z", 1), ("b", "z", 2)]), ["a", "b"]) is None
+    # b is not delivered: its rows are neither removed nor lost
+    assert [tuple(r)[1:4] for r in index.advance(make([("a", "x", 0), ("b", "y", 7)]), ["a"]).collect()] == [("a", "x", "changed")]
+    assert sorted(tuple(r)[1:] for r in index.advance(make([("b", "z", 2), ("b", "z", 1)]), ["b"]).collect()) == [("b", "y", "removed", ['{"v":1}'])]
+    assert [r.change for r in index.advance(make([]), ["a", "b"]).collect()] == ["removed", "removed"]
+    assert index.advance(make([])).count() == 0
 
 
 def test_spelled_dates(spark):
@@ -164,7 +176,7 @@ def test_probe_splits_ranges_and_hot_keys(spark):
     assert probe(r.limit(0), p, "k", ["f"], "of").count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_profile", "p1_distinct", "p2_found", "p5_found", "p6_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_profile", "p1_distinct", "p2_found", "p5_found", "p5_old_values", "p6_found"])
 def test_queries_run(spark, sf, name):
     from ledgerweave.queries import quality
 
