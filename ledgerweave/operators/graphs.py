@@ -5,12 +5,10 @@ Edges with a null end are no edges.  Repeated edges count once.  An empty edge t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
-from ledgerweave.plans.skew import HOT, skew_join
+from ledgerweave.plans.skew import HOT, hot_keys, skew_join
 from ledgerweave.plans.staging import Stage
 
 #: Open edges of a capped union that one task replays.
@@ -36,24 +34,26 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return d.select("node", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("total_degree"), ((F.col("in_degree") + 1) / (F.col("out_degree") + 1)).alias("ratio"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
-    """(node, rank): uniform teleport, the mass of dead ends spread evenly; stops when the L1 change is below n * tolerance, if given.
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float | None = 1e-6) -> DataFrame:
+    """(node, rank): uniform teleport, the mass of dead ends spread evenly; stops when the L1 change is below n * tolerance.
 
-    Contributions are summed map-side before they are shuffled, so a node with very many edges costs no task of its own.
+    Not to be there after ``rounds`` rounds is an error; without a tolerance, just so many rounds are made.  Ranks are sent
+    along the edges of a sender with very many by broadcast, and summed map-side before they are shuffled.
     """
     stage = Stage(edges.sparkSession)
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    links = stage.write(edges.join(out, "src"))
+    out = stage.write(edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")))
+    total = out.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    hot = [r[0] for r in out.filter(F.col("k") >= max(1000.0, HOT * total)).select("src").collect()]
+    links = stage.write(skew_join(edges, out, "src", hot))
     nodes = stage.write(nodes_of(edges))
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    dead = nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti")
-    dead = stage.write(dead.withColumn("dead", F.lit(True)))
-    rank = stage.write(nodes.join(dead, "node", "left").select("node", F.coalesce("dead", F.lit(False)).alias("dead"), F.lit(1.0 / n).alias("rank")))
+    dead = nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dead")), "node", "left")
+    rank = stage.write(dead.select("node", F.coalesce("dead", F.lit(True)).alias("dead"), F.lit(1.0 / n).alias("rank")))
     for _ in range(rounds):
-        lost = rank.agg(F.sum(F.when(F.col("dead"), F.col("rank")).otherwise(0.0))).first()[0]
-        sent = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()[0]
+        sent = skew_join(links, rank.select(F.col("node").alias("src"), "rank"), "src", hot).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         new = rank.join(sent, "node", "left").select("node", "dead", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("old"))
         new = stage.write(new)
         done = tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance
@@ -62,11 +62,18 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
         rank.staged_at = new.staged_at
         if done:
             break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"PageRank did not settle in {rounds} rounds")
+    stage.drop(out, links, nodes)
     return rank.select("node", "rank")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
-    """(node, component): smallest node of each connected component, by alternating large-star and small-star steps."""
+    """(node, component): smallest node of each connected component, by alternating large-star and small-star steps.
+
+    Not to have settled after ``max_rounds`` is an error.
+    """
     stage = Stage(edges.sparkSession)
     start = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = stage.write(start)
@@ -81,13 +88,20 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
             new = x.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             new = x.select(F.inline(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return stage.write(new.filter("u != v").distinct())
+        out = stage.write(new.filter("u != v").distinct())
+        stage.drop(sizes)
+        return out
 
     for _ in range(max_rounds):
-        e = star(star(e, True), False)
+        half = star(e, True)
+        new = star(half, False)
+        stage.drop(half, e)
+        e = new
         before, state = state, _fingerprint(e)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     every = nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select("node")).distinct()
     return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -186,10 +200,17 @@ def _moved(clusters: DataFrame, moved: DataFrame) -> DataFrame:
     return clusters.join(moved.select(F.col("c").alias("cluster"), "to"), "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster"))
 
 
-def comention(mentions: DataFrame, article: str, entity: str) -> DataFrame:
-    """(a, b, weight), a < b: entities named in one article, weight the number of articles."""
+def comention(mentions: DataFrame, article: str, entity: str, salts: int = 32) -> DataFrame:
+    """(a, b, weight), a < b: entities named in one article, weight the number of articles.
+
+    An article with very many entities is cut into ``salts`` parts on one side, each of which meets a copy of the other.
+    """
     m = mentions.select(F.col(article).alias("x"), F.col(entity).alias("e")).filter("x is not null and e is not null").distinct()
-    return m.join(m.withColumnRenamed("e", "f"), "x").filter("e < f").groupBy(F.col("e").alias("a"), F.col("f").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    m = Stage(m.sparkSession).write(m)
+    hot = F.col("x").isin(hot_keys(m, "x"))
+    left = m.withColumn("s", F.when(hot, F.pmod(F.xxhash64("e"), F.lit(salts)).cast("int")).otherwise(0))
+    right = m.withColumn("s", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).withColumnRenamed("e", "f")
+    return left.join(right, ["x", "s"]).filter("e < f").groupBy(F.col("e").alias("a"), F.col("f").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def mention_features(mentions: DataFrame, article: str, entity: str) -> DataFrame:
@@ -206,11 +227,13 @@ def hops_from(edges: DataFrame, start, limit: int | None = None, bound: int = 10
     """
     stage = Stage(edges.sparkSession)
     both = stage.write(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    hot = hot_keys(both, "src")
+    links = both.withColumnRenamed("src", "node")
     last = stage.write(both.filter(F.col("src") == F.lit(start)).select(F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0)))
     levels, before = [last.staged_at], last.limit(0)
     while limit is None or len(levels) <= limit:
         # a neighbour of one level is in it, the one before or the next
-        new = last.join(both.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct().join(last.unionByName(before), "node", "left_anti")
+        new = skew_join(links, last, "node", hot).select(F.col("dst").alias("node")).distinct().join(last.unionByName(before), "node", "left_anti")
         new = stage.write(new.withColumn("hops", F.lit(len(levels))))
         if new.isEmpty():
             break
@@ -231,9 +254,9 @@ def account_graph(tx: DataFrame, tx_id: str, pos: str, addr: str, flags: list[st
 
 
 def sampled_neighbours(edges: DataFrame, fanout: int, seed: int = 72) -> DataFrame:
-    """At most ``fanout`` in-edges per node, chosen by a hash of the edge: the same in every run."""
+    """At most ``fanout`` in-edges per node, chosen by a hash of the edge: the same in every run.
+
+    The plan limits each node's edges in every task before they are shuffled, so a node with very many costs no more than others.
+    """
     w = W.partitionBy("dst").orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("src").cast("string"), F.col("dst").cast("string"))), "src")
     return edges.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= fanout).drop("__r")
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "annotations")]

@@ -25,16 +25,26 @@ def burstiness(series: DataFrame, width: int = 3) -> DataFrame:
     return series.withColumn("burstiness", F.when(s + m > 0, (s - m) / (s + m)).otherwise(0.0))
 
 
+#: Largest exponent within a block of steps: its exponential is a finite double.
+BLOCK = 600.0
+
+
 def hawkes(series: DataFrame, alpha: float = 0.5, beta: float = 1.0, trailing_mean: bool = False) -> DataFrame:
     """Adds mu + alpha * sum over k < t of exp(-beta (t - k)) n_k; mu the mean of all steps, or of those before t.
 
-    The sum over pairs of steps is a running sum of exp(beta k) n_k, taken relative to blocks so that it cannot overflow.
+    The sum over pairs of steps is a running sum of exp(beta k) n_k.  It is taken in blocks of steps, exponents relative to the
+    block, so that it cannot overflow; what came before the block before is lighter than exp(-600) and adds nothing to a double.
     """
     before = W.orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     mu = F.coalesce(F.avg("n").over(before), F.lit(0.0)) if trailing_mean else F.avg("n").over(W.partitionBy())
-    past = F.collect_list(F.struct("t", "n")).over(W.orderBy("t").rowsBetween(-700, -1))  # older steps have weight 0 in double arithmetic at beta = 1
-    total = F.aggregate(past, F.lit(0.0), lambda a, x: a + F.exp(-beta * (F.col("t") - x["t"])) * x["n"])
-    return series.withColumn("hawkes", mu + alpha * total)
+    at = beta * (F.col("t") - F.min("t").over(W.partitionBy()))
+    x = series.withColumn("__mu", mu).withColumn("__b", F.floor(at / BLOCK)).withColumn("__x", at - BLOCK * F.col("__b"))
+    weight = F.exp("__x") * F.col("n")
+    last = x.groupBy((F.col("__b") + 1).alias("__b")).agg(F.sum(weight).alias("__last"))
+    here = F.coalesce(F.sum(weight).over(W.partitionBy("__b").orderBy("t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    x = x.withColumn("__here", here).join(last, "__b", "left")
+    total = F.exp(-F.col("__x")) * F.col("__here") + F.exp(-BLOCK - F.col("__x")) * F.coalesce("__last", F.lit(0.0))
+    return x.select(*series.columns, (F.col("__mu") + alpha * total).alias("hawkes"))
 
 
 def since_last(series: DataFrame, flagged: str = "flagged", never: int = 49, lag: int = 0) -> DataFrame:

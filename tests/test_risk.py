@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,14 +126,14 @@ def test_hops_of_any_length(spark, sf):
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    start = min(a for a, _ in pairs)
+    start = min(x for p in pairs for x in p)
     hops, front = {start: 0}, [start]
     for a in front:
         for b in near[a] - hops.keys():
             hops[b] = hops[a] + 1
             front.append(b)
     assert max(hops.values()) > 6
-    assert {r.node: r.hops for r in risk.QUERIES["r100b_proximity_all"](spark, sf).collect()} == hops
+    assert {r.node: r.hops for r in risk.QUERIES["r100_proximity"](spark, sf).collect()} == hops
     chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int")
     assert graphs.hops_from(chain, 0, bound=5).count() == 6
     with pytest.raises(RuntimeError):
@@ -167,12 +168,12 @@ def test_cospend_queries_take_all_spends(spark, sf):
             tx.setdefault(r.l_orderkey, []).append((r.l_linenumber * 10_000_000 + r.l_partkey, r.l_partkey))
     stars = {(min(t)[1], a) for t in tx.values() for _, a in t}
     whole = unions([*stars, *((r.l_partkey, r.l_partkey) for r in rows)], len(rows))
-    assert {r.node: r.component for r in risk.QUERIES["r092b_cospend_clusters_all"](spark, sf).collect()} == whole
+    assert {r.node: r.component for r in risk.QUERIES["r092_cospend_clusters"](spark, sf).collect()} == whole
     cut = {(a, b) for a, b in stars if a != b}
     assert {r.node: r.cluster for r in risk.QUERIES["r093_capped_union"](spark, sf).collect()} == unions(cut, 4)
     want = {("co_spend", str(x), str(y)) for a, b in cut for x, y in ((a, b), (b, a))}
     want |= {e for r in rows for e in (("addr_tx", str(r.l_partkey), str(r.l_orderkey)), ("tx_addr", str(r.l_orderkey), str(r.l_partkey)))}
-    got = [tuple(r) for r in risk.QUERIES["r097b_account_graph_all"](spark, sf).collect()]
+    got = [tuple(r) for r in risk.QUERIES["r097_account_graph"](spark, sf).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -297,3 +298,49 @@ def test_learning(spark):
     assert set(row.contributions) == {"a", "b"} and 0 <= row.calibrated <= 1
     out = models.path_contributions(pipe.model, test, "id").join(models.score(pipe.model, test), "id").first()
     assert len(out.contributions) == 2
+
+
+@pytest.mark.parametrize("beta", [0.001, 0.3, 1.0, 40.0])
+def test_hawkes_of_any_decay(spark, beta):
+    import math
+
+    rng = random.Random(1)
+    n = [rng.randint(0, 5) for _ in range(1500)]
+    got = {r.t: r.hawkes for r in series.hawkes(spark.createDataFrame(list(enumerate(n, 1)), "t int, n long"), 0.5, beta).collect()}
+    run = 0.0
+    for t in range(1, 1501):
+        assert abs(got[t] - (sum(n) / 1500 + 0.5 * run)) < 1e-9 * (1 + got[t])
+        run = math.exp(-beta) * (run + n[t - 1])
+
+
+def test_rounds_that_do_not_settle_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "src int, dst int")
+    with pytest.raises(RuntimeError):
+        graphs.components(chain, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        graphs.pagerank(chain, rounds=2)
+    assert {r.component for r in graphs.components(chain).collect()} == {0}
+
+
+def test_pagerank_to_tolerance(spark, sf):
+    from ledgerweave.queries import risk
+
+    pairs = [(r.src, r.dst) for r in risk._edges(spark, sf).collect()]
+    nodes = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for x, y in pairs:
+        a[at[y], at[x]] += 1
+    out = a.sum(0)
+    a /= np.maximum(out, 1)
+    r = np.full(len(nodes), 1 / len(nodes))
+    for _ in range(300):
+        r = 0.15 / len(nodes) + 0.85 * (a @ r + r[out == 0].sum() / len(nodes))
+    got = {x.node: x.rank for x in risk.QUERIES["r090_pagerank"](spark, sf).collect()}
+    assert got.keys() == set(nodes) and sum(abs(got[x] - r[at[x]]) for x in nodes) < len(nodes) * 1e-5
+
+
+def test_comention_of_a_crowded_article(spark):
+    m = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 0), (2, 1), (None, 3)], "x int, e int")
+    got = {(r.a, r.b): r.weight for r in graphs.comention(m, "x", "e", salts=4).collect()}
+    assert len(got) == 60 * 59 // 2 and got[0, 1] == 2 and got[3, 9] == 1
