@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerweave.plans.ordered import ordinal_rank
 
 #: Parameter grids of the copula families.
-GRIDS = {"clayton": (0.5, 1.0, 2.0, 4.0, 8.0), "gumbel": (1.1, 1.5, 2.0, 3.0, 5.0), "frank": (0.5, 1.0, 2.0, 5.0, 10.0)}
+GRIDS = {"clayton": (0.2, 0.5, 1.0, 2.0, 5.0), "gumbel": (1.1, 1.5, 2.0, 3.0, 5.0), "frank": (0.5, 1.0, 2.0, 5.0, 9.0)}
 EDGE = 1e-6
 
 

@@ -52,25 +52,44 @@ def r002_pruned_edges(spark, sf_dir):
     return e.select(F.col("src").cast("string"), F.col("dst").cast("string"))
 
 
-@query("""WITH r AS (SELECT DISTINCT ent_num, remark, regexp_extract_all(remark, '(?:alt\\. )?Digital Currency Address - ([A-Z0-9]{2,5}) ([A-Za-z0-9]{20,110})', 1) c,
-regexp_extract_all(remark, '(?:alt\\. )?Digital Currency Address - ([A-Z0-9]{2,5}) ([A-Za-z0-9]{20,110})', 2) a FROM sdn_rows WHERE remark IS NOT NULL)
-SELECT DISTINCT ent_num, pos::INTEGER pos, CASE WHEN cur = 'XBT' THEN 'BTC' ELSE cur END currency, address FROM (SELECT ent_num, unnest(range(1, len(c) + 1)) pos, unnest(c) cur, unnest(a) address FROM r)""")
+@query("""WITH r AS (SELECT DISTINCT ent_num, remark FROM sdn_rows WHERE contains(remark, 'Digital Currency Address')),
+p AS (SELECT ent_num, x, n FROM (SELECT ent_num, remark, unnest(x) x, generate_subscripts(x, 1) n FROM (SELECT ent_num, remark, string_split(remark, 'Digital Currency Address') x FROM r))),
+q AS (SELECT ent_num, n, string_split_regex(ltrim(regexp_replace(x, '^\\s*-\\s*', '')), '[^A-Za-z0-9]+') w, x FROM p WHERE n > 1 AND regexp_matches(x, '^\\s*-\\s*[A-Za-z]{2,10}\\s+[A-Za-z0-9]'))
+SELECT DISTINCT ent_num, (row_number() OVER (PARTITION BY ent_num, h ORDER BY n))::INTEGER pos, CASE WHEN upper(w[1]) = 'XBT' THEN 'BTC' ELSE upper(w[1]) END currency, w[2] address
+FROM (SELECT q.ent_num, q.n, w, 0 h FROM q)""")
 def r004_ofac_remarks(spark, sf_dir):
     return sanctions.ofac_addresses(table(spark, sf_dir, "sdn_rows").select("ent_num", "remark").distinct(), "ent_num", "remark").distinct()
 
 
-@query("""WITH b AS (SELECT DISTINCT md5(remark) block, remark FROM sdn_rows WHERE remark IS NOT NULL),
-l AS (SELECT block, unnest(string_split(remark, chr(10))) text, unnest(range(0, len(string_split(remark, chr(10))))) line FROM b),
-c AS (SELECT *, last_value(nullif(regexp_extract(text, '\\b([A-Z]{3,5})\\s*:\\s*', 1), '') IGNORE NULLS) OVER (PARTITION BY block ORDER BY line) current FROM l),
-h AS (SELECT block, line, current, 'ETH' form, unnest(regexp_extract_all(text, '\\b(0x[0-9a-fA-F]{40})\\b', 1)) address FROM c
-UNION ALL SELECT block, line, current, 'BTC', unnest(regexp_extract_all(text, '\\b(bc1[a-z0-9]{20,90})\\b', 1)) FROM c
-UNION ALL SELECT block, line, current, 'TRX', unnest(regexp_extract_all(text, '\\b(T[1-9A-HJ-NP-Za-km-z]{33})\\b', 1)) FROM c
-UNION ALL SELECT block, line, current, 'XMR', unnest(regexp_extract_all(text, '\\b([48][1-9A-HJ-NP-Za-km-z]{94})\\b', 1)) FROM c
-UNION ALL SELECT block, line, current, 'BTC', unnest(regexp_extract_all(text, '\\b([13][1-9A-HJ-NP-Za-km-z]{25,34})\\b', 1)) FROM c)
-SELECT DISTINCT block, line::INTEGER line, CASE WHEN coalesce(current, form) = 'XBT' THEN 'BTC' ELSE coalesce(current, form) END currency, address FROM h WHERE NOT regexp_matches(address, '^[13]') OR current IN ('BTC', 'XBT')""")
+#: Blocks as the European list writes them, by hand: labels of several currencies, lines without, words that are no labels.
+EU_BLOCKS = {
+    "e1": "LTC: LhyLV9YvGeM3yQ5mRZkbPqKBmSvTmNkdW2\nXRP : rw2ciyaNshpHe7bCHo4bRWq6pqqynnWKQg and DOGE: D8mFyXy1wE1oVb3kJvYvSPWYLwfHh6gYkW",
+    "e2": "NOTE: see 0x1111111111111111111111111111111111111111\nBTC: 1BoatSLRHtKNngkdXEeobR76b53LETtpyT\n3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy",
+    "e3": "1BoatSLRHtKNngkdXEeobR76b53LETtpyT\nETH: 0x2222222222222222222222222222222222222222\nbc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq\n3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy",
+    "e4": "TN3W4H6rK2ce4vX9YnFQHwKENnHjoxb3m9\r\nxbt:\t3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy\rXBT:abc\n1BoatSLRHtKNngkdXEeobR76b53LETtpyT",
+    "e5": "no address here", "e6": "",
+}
+_EU_VALUES = ", ".join("('" + k + "', '" + v.replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "')" for k, v in EU_BLOCKS.items())
+_EU_CODES = "BTC XBT ETH BSC TRX XMR LTC BCH DOGE XRP USDT USDC SOL BNB DASH ZEC ETC ARB"
+
+
+@query(f"""WITH b AS (SELECT * FROM (VALUES {_EU_VALUES}) t(block, txt) UNION SELECT md5(remark), regexp_replace(replace(remark, '; ', chr(10)), 'Digital Currency Address - ([A-Za-z]+) ', '\\1: ', 'g') FROM sdn_rows WHERE remark IS NOT NULL),
+l AS (SELECT block, unnest(x) t, generate_subscripts(x, 1) - 1 line FROM (SELECT block, string_split_regex(txt, '\\r\\n|[\\n\\r]') x FROM b)),
+k AS (SELECT block, line, t, regexp_extract_all(t, '\\b[A-Z]{{3,4}}\\s*:\\s*[A-Za-z0-9]+') x FROM l),
+m AS (SELECT block, line, t, list_filter(list_transform(x, lambda y: [rtrim(split_part(y, ':', 1)), ltrim(split_part(y, ':', 2), ' ' || chr(9))]), lambda y: list_contains(string_split('{_EU_CODES}', ' '), y[1])) x FROM k),
+c AS (SELECT *, last_value(CASE WHEN len(x) > 0 THEN replace(x[-1][1], 'XBT', 'BTC') END IGNORE NULLS) OVER (PARTITION BY block ORDER BY line) now FROM m),
+f AS (SELECT block, line, now, t, unnest([('ETH', '0x[a-fA-F0-9]{{40}}'), ('BTC', 'bc1[a-z0-9]{{25,62}}'), ('TRX', '\\bT[A-Za-z1-9]{{33}}\\b'), ('XMR', '\\b4[0-9AB][1-9A-HJ-NP-Za-km-z]{{93}}\\b'), ('', '\\b[13][a-km-zA-HJ-NP-Z1-9]{{25,34}}\\b')]) r FROM c WHERE len(x) = 0)
+SELECT DISTINCT block, line::INTEGER line, replace(y[1], 'XBT', 'BTC') currency, y[2] address FROM (SELECT block, line, unnest(x) y FROM c)
+UNION SELECT block, line::INTEGER, coalesce(now, r[1]), a FROM (
+  SELECT block, line, now, r, unnest(regexp_extract_all(t, '0x[a-fA-F0-9]{{40}}')) a FROM f WHERE r[1] = 'ETH' UNION ALL SELECT block, line, now, r, unnest(regexp_extract_all(t, 'bc1[a-z0-9]{{25,62}}')) FROM f WHERE r[1] = 'BTC'
+  UNION ALL SELECT block, line, now, r, unnest(regexp_extract_all(t, '\\bT[A-Za-z1-9]{{33}}\\b')) FROM f WHERE r[1] = 'TRX' UNION ALL SELECT block, line, now, r, unnest(regexp_extract_all(t, '\\b4[0-9AB][1-9A-HJ-NP-Za-km-z]{{93}}\\b')) FROM f WHERE r[1] = 'XMR'
+  UNION ALL SELECT block, line, now, r, unnest(regexp_extract_all(t, '\\b[13][a-km-zA-HJ-NP-Z1-9]{{25,34}}\\b')) FROM f WHERE r[1] = '' AND now = 'BTC')""")
 def r006_eu_blocks(spark, sf_dir):
-    x = table(spark, sf_dir, "sdn_rows").select(F.md5("remark").alias("block"), "remark").filter("remark is not null").distinct()
-    return sanctions.eu_addresses(x, "block", "remark")
+    """Blocks made by hand, and the remarks of the other list written as blocks."""
+    x = table(spark, sf_dir, "sdn_rows").filter("remark is not null")
+    x = x.select(F.md5("remark").alias("block"), F.regexp_replace(F.replace("remark", F.lit("; "), F.lit("\n")), "Digital Currency Address - ([A-Za-z]+) ", "$1: ").alias("txt"))
+    hand = spark.createDataFrame(list(EU_BLOCKS.items()), "block string, txt string")
+    return sanctions.eu_addresses(hand.unionByName(x).distinct(), "block", "txt")
 
 
 @query("""SELECT lower(trim(address)) address, CASE WHEN upper(trim(currency)) = 'XBT' THEN 'BTC' ELSE upper(trim(currency)) END currency, source, list, date FROM sanctions_addresses
@@ -609,9 +628,9 @@ def r086_pseudo_observations(spark, sf_dir):
     return _pseudo(spark, sf_dir).select("vec_id", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
-@query(f"""WITH x AS (SELECT u, v, theta FROM {PSEUDO}, (SELECT unnest([0.5, 1.0, 2.0, 4.0, 8.0]::DOUBLE[]) theta)) SELECT 'clayton' family, theta, round(sum(ln((1 + theta) * pow(u * v, -1 - theta) * pow(pow(u, -theta) + pow(v, -theta) - 1, -2 - 1 / theta))), 4) loglik FROM x GROUP BY theta
+@query(f"""WITH x AS (SELECT u, v, theta FROM {PSEUDO}, (SELECT unnest([0.2, 0.5, 1.0, 2.0, 5.0]::DOUBLE[]) theta)) SELECT 'clayton' family, theta, round(sum(ln((1 + theta) * pow(u * v, -1 - theta) * pow(pow(u, -theta) + pow(v, -theta) - 1, -2 - 1 / theta))), 4) loglik FROM x GROUP BY theta
 UNION ALL SELECT 'gumbel', theta, round(sum(ln(exp(-pow(s, 1 / theta)) / (u * v) * pow(ln(u) * ln(v), theta - 1) * pow(s, 1 / theta - 2) * (pow(s, 1 / theta) + theta - 1))), 4) FROM (SELECT u, v, theta, pow(-ln(u), theta) + pow(-ln(v), theta) s FROM {PSEUDO}, (SELECT unnest([1.1, 1.5, 2.0, 3.0, 5.0]::DOUBLE[]) theta)) GROUP BY theta
-UNION ALL SELECT 'frank', theta, round(sum(ln(theta * (1 - exp(-theta)) * exp(-theta * (u + v)) / pow(1 - exp(-theta) - (1 - exp(-theta * u)) * (1 - exp(-theta * v)), 2))), 4) FROM (SELECT u, v, theta FROM {PSEUDO}, (SELECT unnest([0.5, 1.0, 2.0, 5.0, 10.0]::DOUBLE[]) theta)) GROUP BY theta""")
+UNION ALL SELECT 'frank', theta, round(sum(ln(theta * (1 - exp(-theta)) * exp(-theta * (u + v)) / pow(1 - exp(-theta) - (1 - exp(-theta * u)) * (1 - exp(-theta * v)), 2))), 4) FROM (SELECT u, v, theta FROM {PSEUDO}, (SELECT unnest([0.5, 1.0, 2.0, 5.0, 9.0]::DOUBLE[]) theta)) GROUP BY theta""")
 def r123_copula_fit(spark, sf_dir):
     p = _pseudo(spark, sf_dir)
     out = None

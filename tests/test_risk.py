@@ -251,12 +251,30 @@ def test_sanctions(spark, tmp_path):
     a = "4" + "A" * 94
     df = spark.createDataFrame([(1, f"Digital Currency Address - XMR {a}; alt. Digital Currency Address - XBT 1{'B' * 30};"), (2, None)], "k int, r string")
     assert [(r.pos, r.currency, r.address) for r in sanctions.ofac_addresses(df, "k", "r").collect()] == [(1, "XMR", a), (2, "BTC", "1" + "B" * 30)]
+    low = spark.createDataFrame([(1, "alt.  Digital Currency Address -  eth   ab1; Digital Currency Address - TOOLONGCODEX zz; Digital Currency Address-ARB Q")], "k int, r string")
+    assert [(r.currency, r.address) for r in sanctions.ofac_addresses(low, "k", "r").collect()] == [("ETH", "ab1"), ("ARB", "Q")]
+    from ledgerweave.queries.risk import EU_BLOCKS
+
+    got = sanctions.eu_addresses(spark.createDataFrame(list(EU_BLOCKS.items()), "k string, r string"), "k", "r").collect()
+    boat, three, tron = "1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "TN3W4H6rK2ce4vX9YnFQHwKENnHjoxb3m9"
+    assert sorted((r.k, r.line, r.currency, r.address) for r in got) == sorted([
+        ("e1", 0, "LTC", "LhyLV9YvGeM3yQ5mRZkbPqKBmSvTmNkdW2"), ("e1", 1, "XRP", "rw2ciyaNshpHe7bCHo4bRWq6pqqynnWKQg"), ("e1", 1, "DOGE", "D8mFyXy1wE1oVb3kJvYvSPWYLwfHh6gYkW"),
+        ("e2", 0, "ETH", "0x" + "1" * 40), ("e2", 1, "BTC", boat), ("e2", 2, "BTC", three),
+        ("e3", 1, "ETH", "0x" + "2" * 40), ("e3", 2, "ETH", "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq"),
+        ("e4", 0, "TRX", tron), ("e4", 2, "BTC", "abc"), ("e4", 3, "BTC", boat),
+    ])
     eth, btc = "0x" + "a" * 40, "1" + "C" * 30
     eu = spark.createDataFrame([(1, f"BTC: {btc}\n{'1' + 'D' * 30}\nETH: {eth}\n{'1' + 'E' * 30}")], "k int, r string")
     assert {(r.line, r.currency) for r in sanctions.eu_addresses(eu, "k", "r").collect()} == {(0, "BTC"), (1, "BTC"), (2, "ETH")}
     (tmp_path / "eu.xml").write_text(f"<x><sanctionEntity a='1'><remark>BTC: {btc}\nmore</remark></sanctionEntity><sanctionEntity/></x>")
     assert [(r.n_entities, r.block) for r in sanctions.read_eu_remarks(spark, str(tmp_path / "eu.xml")).collect()] == [(2, f"BTC: {btc}\nmore")]
     assert sanctions.read_pool(spark, str(tmp_path / "none.csv")).count() == 0
+    sanctions.write_manifest(spark.createDataFrame([("eu.xml", "ab")], "file string, sha256 string"), str(tmp_path / "m"))
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.txt").write_text("data")
+    sha = hashlib.sha256(b"data").hexdigest().upper()
+    files = sanctions.read_manifest(spark, str(tmp_path / "m")).select("file", "sha256").unionByName(spark.createDataFrame([("x.txt", sha), ("x.txt", None)], "file string, sha256 string"))
+    assert sorted((r.file, r.valid) for r in sanctions.manifest_valid(spark, files, str(tmp_path / "files")).collect()) == [("eu.xml", False), ("x.txt", False), ("x.txt", True)]
     (tmp_path / "p.csv").write_text("address,currency\n x ,BTC\n,ETH\n")
     assert [r.address for r in sanctions.read_pool(spark, str(tmp_path / "p.csv")).collect()] == ["x"]
 
