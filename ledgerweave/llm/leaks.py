@@ -11,14 +11,16 @@ items and rows give one row per pair of ids.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WORDS = 13
-#: Items searched for in one pass over the texts; more items take more passes, so that a broadcast stays bounded.
-ITEMS_PER_PASS, ITEM_CHARS_PER_PASS = 20_000, 40_000_000
+#: Items of one broadcast, and their characters.
+ITEMS_PER_PART, ITEM_CHARS_PER_PART = 20_000, 40_000_000
 #: Characters that are removed, and what a word is.
 REMOVED = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 WORD = re.compile(r"[^\W_]+")
@@ -74,20 +76,41 @@ class Strings:
         return found
 
 
+#: Tables of a worker process, by broadcast: built once, not for every task.
+_BUILT: dict[str, Strings] = {}
+
+
+def _strings(shared, words: int) -> Strings:
+    name, items = shared.value
+    if name not in _BUILT:
+        _BUILT.clear()  # one part's tables at a time
+        _BUILT[name] = Strings(items, words)
+    return _BUILT[name]
+
+
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = WORDS) -> DataFrame:
-    """(key, item_key) of every text and item that share ``words`` consecutive words; one scan of the texts per pass of items."""
-    rows = items.select(item_key, item_text).filter(f"`{item_key}` is not null").distinct().toLocalIterator()
-    passes: list[list[tuple[int, str | None]]] = [[]]
+    """(key, item_key) of every text and item that share ``words`` consecutive words; the texts are read once.
+
+    Items are broadcast in parts of bounded size.  With more than one part a task keeps its texts, one input split, and
+    searches them for one part after the other, so that no more than one part's tables are held.
+    """
+    parts: list[list[tuple[int, str | None]]] = [[]]
     chars = 0
-    out = None
+    for r in items.select(item_key, item_text).filter(f"`{item_key}` is not null").distinct().toLocalIterator():
+        if len(parts[-1]) >= ITEMS_PER_PART or chars > ITEM_CHARS_PER_PART:
+            parts.append([])
+            chars = 0
+        parts[-1].append((r[0], r[1]))
+        chars += len(r[1] or "")
+    shared = [docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, p)) for p in parts]
     kinds = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
+    arrow = to_arrow_schema(kinds)
     source = docs.select(key, text).filter(f"`{key}` is not null and `{text}` is not null")
 
-    def one_pass(part: list) -> DataFrame:
-        shared = source.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            strings = Strings(shared.value, words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = batches if len(shared) == 1 else list(batches)
+        for part in shared:
+            strings = _strings(part, words)
             for b in batches:
                 a, c = [], []
                 for i, x in zip(b.column(0).to_pylist(), b.column(1)):
@@ -95,16 +118,6 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
                         a.append(i)
                         c.append(item)
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, b.schema.field(0).type), pa.array(c, pa.int64() if kinds[1].dataType == T.LongType() else None)], [key, item_key])
-
-        return source.mapInArrow(run, kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, arrow.field(0).type), pa.array(c, arrow.field(1).type)], schema=arrow)
 
-    for r in rows:
-        if len(passes[-1]) >= ITEMS_PER_PASS or chars > ITEM_CHARS_PER_PASS:
-            out = one_pass(passes.pop()) if out is None else out.unionByName(one_pass(passes.pop()))
-            passes.append([])
-            chars = 0
-        passes[-1].append((r[0], r[1]))
-        chars += len(r[1] or "")
-    last = one_pass(passes[-1])
-    return (last if out is None else out.unionByName(last)).distinct()
+    return source.mapInArrow(run, kinds).distinct()

@@ -234,6 +234,11 @@ def test_leak_table(spark):
     got = sorted(tuple(r) for r in find_leaks(d, "doc_id", "text", i, "item_id", "text").collect())
     want = sorted({(a, b) for a, t in docs for b, s in items if b is not None and t and brute_leak(t, s)})
     assert got == want and (10, 1) in got and (12, 2) in got and (16, 5) in got and (11, 1) not in got
+    import ledgerweave.llm.leaks as leaks
+
+    whole, leaks.ITEMS_PER_PART = leaks.ITEMS_PER_PART, 2  # several parts give the same
+    assert sorted(tuple(r) for r in find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()) == want
+    leaks.ITEMS_PER_PART = whole
     assert find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
     assert find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
