@@ -1,10 +1,11 @@
 """Column-level data quality profile of a table, load by load.
 
 One scan gives, per load and column, mergeable partial results: row, null and out-of-range counts, minimum, maximum,
-the power sums of orders 1 to 4 and a fixed histogram.  Neighbouring loads are compared by standardised differences of
-those sums; where the sums alone cannot prove a shift of the distribution function, the histogram brackets the largest
-difference of the two distribution functions, and only bins in which the bracket contains the threshold are read again
-for the exact value.  Nothing but the partial results is shuffled in the first scan.
+the power sums of orders 1 and 2 and a fixed histogram.  Sums are kept in fixed point, so they do not depend on the order in
+which partial results meet.  Neighbouring loads are compared by standardised differences of those sums; where the sums alone
+cannot prove a shift of the distribution function, the histogram brackets the largest difference of the two distribution
+functions, and only bins in which the bracket contains the threshold are read again for the exact value.  Nothing but the
+partial results is shuffled in the first scan.
 
 Defined results: an empty table has no profile.  NaN is null.  Rows with a null load form a load of their own, which has
 no predecessor.  Repeated rows count as often as they occur.  Other columns of the table, whatever their names, are not read.
@@ -12,8 +13,12 @@ no predecessor.  Repeated rows count as often as they occur.  Other columns of t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
@@ -24,8 +29,10 @@ CELLS = 256
 NULL_CELL, OUTSIDE_CELL = -1, -2
 #: Undecided cells that are broadcast; more are joined by shuffling.
 BROADCAST_CELLS = 200_000
-#: Columns read by one scan.
+#: Columns that distinct values are counted of in one scan.
 COLUMN_GROUP = 48
+#: Loads whose partial results a task keeps before it passes them on, bits of each of the two parts of a sum.
+LOADS_HELD, BITS = 32, 30
 
 ISSUES = "table_name string, column_name string, load_id int, issue string"
 
@@ -42,42 +49,90 @@ def unpivot(df: DataFrame, columns: list[str], load: str) -> DataFrame:
     return long.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-def partial_profile(df: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str) -> DataFrame:
-    """Mergeable partial results by (load_id, pos, cell): n, lo, hi, s1..s4.
+def _scale(low: float, high: float) -> int:
+    """Power of two that is not below any value inside the range."""
+    return max(0, math.ceil(math.log2(max(abs(low), abs(high), 1.0))))
 
-    Wide tables are read in groups of columns: each group reads its own columns only, in tasks of its own with smaller tables.
-    """
-    names, out = list(ranges), None
-    for i in range(0, len(names), COLUMN_GROUP):
-        part = _partial(df, {c: ranges[c] for c in names[i : i + COLUMN_GROUP]}, load)
-        part = part.withColumn("pos", F.col("pos") + i)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def _fixed(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of -1..1 as whole numbers of 2^-30 and, for the rest, of 2^-60."""
+    a = np.rint(u * 2.0**BITS)
+    return a.astype(np.int64), np.rint((u - a * 2.0**-BITS) * 2.0 ** (2 * BITS)).astype(np.int64)
+
+
+class _Held:
+    """Partial results of one load: counts by column and cell, extremes and sums by column."""
+
+    def __init__(self, width: int):
+        self.n = np.zeros((width, 2 * CELLS + 2), np.int64)  # cells moved up by two: outside, null, then the histogram
+        self.low, self.high = np.full((width, 2), np.inf), np.full((width, 2), -np.inf)  # inside, outside
+        self.sums = np.zeros((width, 4), np.int64)
 
-def _partial(df: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str) -> DataFrame:
+
+def partial_profile(df: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str) -> DataFrame:
+    """Mergeable partial results by (load_id, pos, cell): n, lo, hi, and in one row of each (load_id, pos) the sums a1, b1, a2, b2.
+
+    One scan in Arrow batches, a row of which is never turned into many; a task passes on what it has counted, load by load.
+    """
     names = list(ranges)
-    low = F.array(*[F.lit(float(ranges[c][0])) for c in names])
-    high = F.array(*[F.lit(float(ranges[c][1])) for c in names])
-    bounds = {ranges[c] for c in names}
-    long = unpivot(df, names, load)
-    if len(bounds) == 1:
-        (a, b) = next(iter(bounds))
-        inside = F.col("v").between(float(a), float(b))
-    else:
-        inside = (F.col("v") >= F.get(low, F.col("pos"))) & (F.col("v") <= F.get(high, F.col("pos")))
-    long = long.withColumn("cell", F.when(F.col("v").isNull(), NULL_CELL).when(inside, cell_of(F.col("v"))).otherwise(OUTSIDE_CELL))
-    v = F.when(F.col("cell") >= 0, F.col("v"))
-    return long.groupBy("load_id", "pos", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.sum(v * v * v).alias("s3"), F.sum(v * v * v * v).alias("s4"),
-    )
+    low, high = (np.array([float(ranges[c][i]) for c in names])[:, None] for i in (0, 1))
+    unit = np.array([2.0 ** -_scale(*map(float, ranges[c])) for c in names])[:, None]
+    schema = T.StructType([
+        T.StructField("load_id", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("a1", "b1", "a2", "b2")],
+    ])
+
+    def result(load_id: int | None, h: _Held) -> pa.RecordBatch:
+        pos, cell = np.nonzero(h.n)
+        side = np.where(cell == 0, 1, 0)
+        lo, hi = h.low[pos, side], h.high[pos, side]
+        first = np.concatenate([[True], pos[1:] != pos[:-1]])
+        sums = np.where(first[:, None], h.sums[pos], 0)
+        none = cell == 1
+        return pa.RecordBatch.from_arrays([
+            pa.array([load_id] * len(pos), pa.int32()), pa.array(pos.astype(np.int32)), pa.array((cell - 2).astype(np.int32)), pa.array(h.n[pos, cell]),
+            pa.array(lo, mask=none), pa.array(hi, mask=none), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(4)],
+        ], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int | None, _Held] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            loads = b.column(0)
+            x = np.empty((len(names), b.num_rows))
+            for i in range(len(names)):
+                x[i] = b.column(i + 1).to_numpy(zero_copy_only=False)
+            null = np.isnan(x)
+            inside = (x >= low) & (x <= high)
+            v = np.where(inside, x, 0.0)
+            cell = np.where(inside, np.floor((v / (np.abs(v) + 1.0) + 1.0) * CELLS).astype(np.int64) + 2, np.where(null, 1, 0))
+            u = v * unit
+            parts = [*_fixed(u), *_fixed(u * u)]
+            for key in loads.unique().to_pylist():
+                at = loads.is_null() if key is None else pc.equal(loads, key)
+                rows = np.flatnonzero(at.to_numpy(zero_copy_only=False).astype(bool))
+                if key not in held and len(held) >= LOADS_HELD:
+                    for k in list(held):
+                        yield result(k, held.pop(k))
+                h = held.setdefault(key, _Held(len(names)))
+                y, c, ok = x[:, rows], cell[:, rows], inside[:, rows]
+                flat = c + np.arange(len(names))[:, None] * h.n.shape[1]
+                h.n += np.bincount(flat.ravel(), minlength=h.n.size).reshape(h.n.shape)
+                for side, mask in ((0, ok), (1, c == 0)):
+                    h.low[:, side] = np.minimum(h.low[:, side], np.where(mask, y, np.inf).min(axis=1))
+                    h.high[:, side] = np.maximum(h.high[:, side], np.where(mask, y, -np.inf).max(axis=1))
+                h.sums += np.stack([p[:, rows].sum(axis=1) for p in parts], axis=1)
+        for k, h in held.items():
+            yield result(k, h)
+
+    return df.select(F.col(load).cast("int").alias("load_id"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(run, schema)
 
 
 def distinct_counts(df: DataFrame, columns: list[str], load: str) -> DataFrame:
     """(load_id, pos, n_distinct): exact distinct values of each column and load; null and NaN are no values.
 
-    Numbers are compared as doubles, text as it is.  Columns are read in groups, as in ``partial_profile``.
+    Numbers are compared as doubles, text as it is.  Columns are read in groups of ``COLUMN_GROUP``, so that a task's table of values seen stays small.
     """
     text = [c for c in columns if dict(df.dtypes)[c] == "string"]
     number = [c for c in columns if c not in text]
@@ -97,15 +152,18 @@ def distinct_counts(df: DataFrame, columns: list[str], load: str) -> DataFrame:
     return out
 
 
-def merge_profile(parts: DataFrame) -> DataFrame:
+def merge_profile(parts: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """One row per (load_id, pos): counts, extremes and moments of all partial results."""
     inside, null = F.col("cell") >= 0, F.col("cell") == NULL_CELL
     out = parts.groupBy("load_id", "pos").agg(
         F.sum("n").alias("n_rows"), F.sum(F.when(null, F.col("n")).otherwise(0)).alias("n_null"),
         F.sum(F.when(F.col("cell") == OUTSIDE_CELL, F.col("n")).otherwise(0)).alias("n_outside"),
         F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("n_inside"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2, 3, 4)],
+        *[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("a1", "b1", "a2", "b2")],
     )
+    unit = F.get(F.array(*[F.lit(2.0 ** _scale(*map(float, r))) for r in ranges.values()]), F.col("pos"))
+    total = lambda a, b: F.col(a).cast("double") * 2.0**-BITS + F.col(b).cast("double") * 2.0 ** (-2 * BITS)
+    out = out.withColumn("s1", total("a1", "b1") * unit).withColumn("s2", total("a2", "b2") * unit * unit).drop("a1", "b1", "a2", "b2")
     n = F.col("n_inside")
     mean = F.when(n > 0, F.col("s1") / n)
     var = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)))
@@ -118,7 +176,9 @@ def standardised_shift(merged: DataFrame) -> DataFrame:
     With means d apart and population deviations p and q, Cantelli's inequality gives a difference of the distribution
     functions of at least (z^2 - 1) / (z^2 + 1), z = d / (p + q), at a point between the means.
     """
-    psd = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n_inside") - F.pow(F.col("s1") / F.col("n_inside"), 2)))
+    square = F.col("s2") / F.col("n_inside")
+    # the difference of the two terms may cancel: a deviation that is not below the true one keeps the proof sound
+    psd = F.sqrt(F.greatest(F.lit(0.0), square - F.pow(F.col("s1") / F.col("n_inside"), 2)) + 1e-13 * square)
     cur = merged.filter("n_inside > 0").select("load_id", "pos", F.col("n_inside").alias("n"), "mean", "sd", psd.alias("psd"))
     prev = cur.select((F.col("load_id") + 1).alias("load_id"), "pos", F.col("n").alias("m"), F.col("mean").alias("mean0"), F.col("sd").alias("sd0"), F.col("psd").alias("psd0"))
     both = cur.join(prev, ["load_id", "pos"])
@@ -187,7 +247,7 @@ def profile_issues(
     found = []
     if names:
         parts = stage.write(partial_profile(df, ranges, load))
-        merged = stage.write(merge_profile(parts))
+        merged = stage.write(merge_profile(parts, ranges))
         some = F.col("n_rows") - F.col("n_null")
         flags = merged.select(
             "load_id", "pos",

@@ -26,35 +26,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile itself, for the numeric columns of report and the time step of the features; p1_profile_all has all columns."""
-    return _profiles(spark, sf_dir, {"time_step": (1, 49)})
-
-
-def p1_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile of all numeric columns of both tables."""
+    """The profile itself, of all numeric columns of both tables."""
     return _profiles(spark, sf_dir, FEATURE_RANGES)
 
 
 def _profiles(spark: SparkSession, sf_dir: str, features: dict) -> DataFrame:
     out = []
     for name, ranges in (("report", REPORT_RANGES), ("elliptic_txs_features", features)):
-        m = merge_profile(partial_profile(table(spark, sf_dir, name), ranges, "load_id"))
+        m = merge_profile(partial_profile(table(spark, sf_dir, name), ranges, "load_id"), ranges)
         label = F.array(*[F.lit(c) for c in ranges])
         out.append(m.select(F.lit(name).alias("table_name"), F.get(label, F.col("pos")).alias("column_name"), "load_id", "n_rows", "n_null", "n_outside", F.col("lo").alias("min_value"), F.col("hi").alias("max_value"), F.round("mean", 6).alias("mean_value"), F.round("sd", 6).alias("sd_value")))
     return out[0].unionByName(out[1])
 
 
 def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped distinct counts of the report's columns per load."""
-    df = table(spark, sf_dir, "report")
-    cols = ["step", "feature", "n", "ks_D", "ks_p", "cohen_d"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
-    long = df.select("load_id", F.explode(pairs).alias("x")).select("load_id", "x.*").distinct()
-    return long.groupBy("load_id", "column_name").agg(F.count(F.when(F.col("v") != "NaN", 1)).alias("n_distinct"))
-
-
-def p1_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped distinct counts per load of every column p1_distinct has, and of all columns of the features."""
+    """Grouped distinct counts per load of the report's columns and of all columns of the features."""
     out = []
     for name, cols in (("report", ["step", "feature", "n", *REPORT_RANGES]), ("elliptic_txs_features", list(FEATURE_RANGES))):
         x = distinct_counts(table(spark, sf_dir, name), cols, "load_id")
@@ -153,7 +139,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ref_table", "ref_column", "txid", F.coalesce("f_step", F.lit(0)).cast("int").alias("time_step"), "kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p1_profile_all": p1_profile_all, "p1_distinct_all": p1_distinct_all, "p2_found": p2_found, "p5_found": p5_found, "p5_old_values": p5_old_values, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_distinct": p1_distinct, "p2_found": p2_found, "p5_found": p5_found, "p5_old_values": p5_old_values, "p6_found": p6_found}
 
 _DRIFT = """
 pairs AS (SELECT c.column_name, c.load_id, c.v, 1 AS cur FROM vals c UNION ALL SELECT column_name, load_id + 1, v, 0 FROM vals),
@@ -211,9 +197,12 @@ UNION ALL SELECT 'report', 'feature', load_id, 'pattern' FROM report WHERE featu
         f"""SELECT '{name}' table_name, column_name, load_id, count(*) n_rows, count(*) FILTER (WHERE x IS NULL) n_null, count(*) FILTER (WHERE NOT x BETWEEN {lo} AND {hi}) n_outside,
 min(x) min_value, max(x) max_value, round(avg(x) FILTER (WHERE x BETWEEN {lo} AND {hi}), 6) mean_value, round(stddev_samp(x) FILTER (WHERE x BETWEEN {lo} AND {hi}), 6) sd_value
 FROM (SELECT load_id, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END x FROM ({_long_sql(name, cols)})) GROUP BY column_name, load_id"""
-        for name, cols, lo, hi in (("report", list(REPORT_RANGES), *_REPORT_RANGE), ("elliptic_txs_features", ["time_step"], "1", "49"))
+        for name, cols, lo, hi in (("report", list(REPORT_RANGES), *_REPORT_RANGE), ("elliptic_txs_features", ["time_step", *FEATURES], *_F_RANGE))
+    ),
+    "p1_distinct": " UNION ALL ".join(
+        f"SELECT '{name}' table_name, column_name, load_id, count(DISTINCT CASE WHEN lower(v) = 'nan' THEN NULL ELSE v END) n_distinct FROM (SELECT load_id, unnest([{', '.join(repr(c) for c in cols)}]) column_name, unnest([{', '.join(f'{c}::VARCHAR' for c in cols)}]) v FROM {name}) GROUP BY load_id, column_name"
+        for name, cols in (("report", ["step", "feature", "n", *REPORT_RANGES]), ("elliptic_txs_features", ["time_step", *FEATURES]))
     ),
-    "p1_distinct": "SELECT load_id, column_name, count(DISTINCT CASE WHEN v = 'nan' THEN NULL ELSE v END) n_distinct FROM (SELECT load_id, unnest(['step','feature','n','ks_D','ks_p','cohen_d']) column_name, unnest([step::VARCHAR, feature, n::VARCHAR, ks_D::VARCHAR, ks_p::VARCHAR, cohen_d::VARCHAR]) v FROM report) GROUP BY load_id, column_name",
     "p2_found": rf"""
 WITH r AS (SELECT row_number() OVER () i, ent_num, t FROM (SELECT DISTINCT ent_num, regexp_replace(regexp_replace(remark, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '\.$', '') t FROM sdn_rows) WHERE t <> '' AND t <> '-0-'),
 p AS (SELECT i, ent_num, unnest(x) x, generate_subscripts(x, 1) n FROM (SELECT i, ent_num, regexp_extract_all(t, '(?s)"(?:[^"\\]|\\.|"")*"|«[^»]*»|{_NESTED}|\\"|\s//\s|[;；|\n\r\t•,]|[^"«(;；|\n\r\t•,\s\\]+|.') x FROM r)),

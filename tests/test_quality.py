@@ -67,8 +67,8 @@ def test_all_columns_are_profiled_and_counted(spark, sf):
 
     from ledgerweave.queries import quality
 
-    distinct = {(r.table_name, r.column_name, r.load_id): r.n_distinct for r in quality.QUERIES["p1_distinct_all"](spark, sf).collect()}
-    profile = {(r.table_name, r.column_name, r.load_id): r for r in quality.QUERIES["p1_profile_all"](spark, sf).collect()}
+    distinct = {(r.table_name, r.column_name, r.load_id): r.n_distinct for r in quality.QUERIES["p1_distinct"](spark, sf).collect()}
+    profile = {(r.table_name, r.column_name, r.load_id): r for r in quality.QUERIES["p1_profile"](spark, sf).collect()}
     want = {}
     for name, more, ranges in (("report", ["step", "feature", "n"], quality.REPORT_RANGES), ("elliptic_txs_features", [], quality.FEATURE_RANGES)):
         for load, x in pd.read_parquet(f"{sf}/{name}.parquet").groupby("load_id"):
@@ -82,6 +82,23 @@ def test_all_columns_are_profiled_and_counted(spark, sf):
     assert distinct == want
 
 
+def test_sums_do_not_depend_on_the_order(spark):
+    from ledgerweave.operators.profile import merge_profile, partial_profile
+
+    rng = random.Random(2)
+    rows = [(1 if i % 3 else None, rng.uniform(-50, 50), rng.gauss(0, 1e-3) + 40, rng.choice([None, 1.0, NAN])) for i in range(3000)]
+    ranges = {"a": (-50, 50), "b": (0, 50), "c": (0, 1)}
+    out = []
+    for parts, x in ((1, rows), (7, rows[::-1]), (3, sorted(rows, key=lambda r: r[1]))):
+        df = spark.createDataFrame(x, "load_id int, a double, b double, c double").repartition(parts)
+        out.append(sorted(merge_profile(partial_profile(df, ranges, "load_id"), ranges).collect(), key=lambda r: (r.pos, r.load_id or 0)))
+    assert out[0] == out[1] == out[2]
+    b = [r[2] for r in rows if r[0] is None]
+    one = next(r for r in out[0] if r.pos == 1 and r.load_id is None)
+    mean = sum(b) / len(b)
+    assert one.n_rows == len(b) and abs(one.mean - mean) < 1e-12 and abs(one.sd - (sum((x - mean) ** 2 for x in b) / (len(b) - 1)) ** 0.5) < 1e-8
+
+
 def test_profile_patterns_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "feat_2"), (1, "feat_2\n"), (2, None), (2, "feat_3"), (None, "feat_x")], "load_id int, f string")
     got = found(profile_issues(df, "t", {}, {"f": r"\Afeat_\d\z"}))
