@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ledgerweave.plans.staging import Stage
+
 #: Keys of one range and references of one slot, at most on the average of the sampled quantiles.
 RANGE_KEYS, SLOT_ROWS, MAX_RANGES = 200_000, 400_000, 4096
 
@@ -55,31 +57,45 @@ def probe(refs: DataFrame, parents: DataFrame, key: str, facts: list[str], sprea
     """``refs`` with the facts (LONG, null where absent) of their key; ``parents`` has one row per key, key and facts LONG."""
     n_keys = parents.count()
     bounds = key_bounds(parents, key, n_keys, range_keys)
-    refs, parents = _range_of(refs, key, bounds, once=True), _range_of(parents.select(key, *facts), key, bounds)
+    # counted and probed: the references are cut into ranges once
+    refs = Stage(refs.sparkSession).write(_range_of(refs, key, bounds, once=True))
+    parents = _range_of(parents.select(key, *facts), key, bounds)
     sizes = {r[0]: r[1] for r in refs.groupBy("__rng").count().collect()}  # one number per range
     slots = [max(1, -(-sizes.get(r, 0) // slot_rows)) for r in range(len(bounds) + 1)]
     first = np.concatenate([[0], np.cumsum(slots)]).tolist()
     width, start = F.array(*[F.lit(s) for s in slots]), F.array(*[F.lit(int(s)) for s in first])
-    # the number of a slot is the number of its partition: no two slots share a task by an accident of hashing
+    # the number of a slot is the number of its partition: no two slots share a task
     slot = (F.get(start, F.col("__rng")) + F.pmod(F.xxhash64(spread), F.get(width, F.col("__rng")))).cast("int")
-    left = refs.withColumn("__slot", slot).drop("__rng")
-    right = parents.select(F.explode(F.transform(F.sequence(F.lit(0), F.get(width, F.col("__rng")) - 1), lambda i: (F.get(start, F.col("__rng")) + i).cast("int"))).alias("__slot"), key, *facts)
-    out = T.StructType([*[f for f in left.schema.fields if f.name != "__slot"], *[T.StructField(f, T.LongType()) for f in facts]])
-    names = [f.name for f in out.fields]
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        keys = b.column(key).to_numpy().astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        k = a.column(key).to_numpy().astype(np.int64)
-        at = np.searchsorted(keys, k)
-        hit = np.zeros(len(k), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == k
-        index = pa.array(np.where(hit, np.minimum(at, max(0, len(keys) - 1)), 0), mask=~hit)
-        a = a.drop_columns(["__slot"])
-        if len(keys):
-            b = b.take(pa.array(order))
-        for f in facts:
-            a = a.append_column(f, b.column(f).take(index) if len(keys) else pa.nulls(len(k), pa.int64()))
-        return a.select(names).cast(pa.schema([(n, a.schema.field(n).type) for n in names]))
-
-    return left.groupBy("__slot").cogroup(right.groupBy("__slot")).applyInArrow(run, out)
+    columns = [c for c in refs.columns if c != "__rng"]
+    left = refs.select(slot.alias("__slot"), F.lit(1).alias("__ref"), *columns, *[F.lit(None).cast("long").alias(f) for f in facts])
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.get(width, F.col("__rng")) - 1), lambda i: (F.get(start, F.col("__rng")) + i).cast("int")))
+    right = parents.select(every.alias("__slot"), F.lit(0).alias("__ref"), *[F.col(c) if c == key else F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in columns], *facts)
+    out = T.StructType([*[refs.schema[c] for c in columns], *[T.StructField(f, T.LongType()) for f in facts]])
+    names = out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parents come first and become sorted arrays; then each batch of references is probed by itself."""
+        there: list[pa.Table] = []
+        keys = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            is_ref = t.column("__ref").to_numpy() == 1
+            if not is_ref.all():
+                there.append(t.filter(pa.array(~is_ref)).select([key, *facts]))
+            if not is_ref.any():
+                continue
+            if keys is None:
+                table = pa.concat_tables(there) if there else None
+                keys = table.column(key).to_numpy().astype(np.int64) if table is not None else np.zeros(0, np.int64)
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                columns_of = [table.column(f).combine_chunks().take(pa.array(order)) for f in facts] if len(keys) else []
+            t = t.filter(pa.array(is_ref))
+            k = t.column(key).to_numpy().astype(np.int64)
+            at = np.searchsorted(keys, k)
+            hit = np.zeros(len(k), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == k
+            index = pa.array(np.where(hit, np.minimum(at, max(0, len(keys) - 1)), 0), mask=~hit)
+            found = [c.take(index) for c in columns_of] if len(keys) else [pa.nulls(len(k), pa.int64()) for _ in facts]
+            yield from pa.table([*[t.column(c) for c in columns], *found], names=names).combine_chunks().to_batches()
+
+    return left.unionByName(right).repartitionById(int(first[-1]), F.col("__slot")).sortWithinPartitions("__ref").mapInArrow(run, out)
