@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ledgerweave.operators.stats import poisson_weight
 from ledgerweave.plans.ordered import running_totals
 
 
@@ -104,6 +105,42 @@ def precision_at(df: DataFrame, score: str, label: str, key: str, ks: list[int])
     return each.groupBy("k").agg(F.sum("y").alias("hits"), (F.sum("y") / F.count(F.lit(1))).alias("precision"))
 
 
+def precision_interval(df: DataFrame, score: str, label: str, key: str, k: int, replicates: int, level: float = 0.95) -> DataFrame:
+    """(k, lo, hi): percentile interval of the precision among the k highest scores, over Poisson bootstrap replicates.
+
+    A replicate's k highest lie among the highest rows of the table; twice k and 200 more are weighted, and it is an error,
+    of a chance below 1e-20, if they should not fill a replicate.
+    """
+    top = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).orderBy(F.desc(score), key).limit(2 * k + 200)
+    top = top.select(F.col(score).alias("s"), F.col(label).cast("long").alias("y"), F.col(key).cast("string").alias("k"), F.row_number().over(W.orderBy(F.desc(score), key)).alias("r"))  # over the limit's rows
+    each = top.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    each = each.withColumn("w", poisson_weight(F.col("k"), F.col("replicate")))
+    w = W.partitionBy("replicate").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("before", F.sum("w").over(w) - F.col("w"))
+    taken = F.greatest(F.lit(0), F.least(F.col("w"), k - F.col("before")))
+    reps = each.groupBy("replicate").agg(F.sum(taken).alias("n"), F.sum(taken * F.col("y")).alias("hits"), F.count(F.lit(1)).alias("rows"))
+    enough = (F.col("n") == k) | (F.col("rows") < 2 * k + 200)
+    share = F.when(enough, F.col("hits") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.raise_error(F.lit("a replicate was not filled")))
+    a = (1 - level) / 2
+    return reps.select(share.alias("p")).agg(F.expr(f"percentile(p, {a})").alias("lo"), F.expr(f"percentile(p, {1 - a})").alias("hi")).select(F.lit(k).alias("k"), "lo", "hi")
+
+
+def rate_gap_interval(df: DataFrame, label: str, predicted: str, group: str, key: Column, replicates: int, level: float = 0.95) -> DataFrame:
+    """(tpr_lo, tpr_hi, fpr_lo, fpr_hi): percentile intervals of the largest gaps between groups, over Poisson bootstrap replicates."""
+    x = df.select(F.col(group).alias("g"), (F.col(label) == 1).alias("y"), (F.col(predicted) == 1).alias("p"), key.cast("string").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    x = x.withColumn("w", poisson_weight(F.col("k"), F.col("replicate")))
+    share = lambda cond, of: F.sum(F.when(cond & of, F.col("w")).otherwise(0)) / F.nullif(F.sum(F.when(of, F.col("w")).otherwise(0)), F.lit(0))
+    rates = x.groupBy("replicate", "g").agg(share(F.col("p"), F.col("y")).alias("tpr"), share(F.col("p"), ~F.col("y")).alias("fpr"))
+    gaps = rates.groupBy("replicate").agg(*[F.coalesce(F.max(c) - F.min(c), F.lit(0.0)).alias(c) for c in ("tpr", "fpr")])
+    a = (1 - level) / 2
+    return gaps.agg(*[F.expr(f"percentile({c}, {q})").alias(f"{c}_{n}") for c in ("tpr", "fpr") for n, q in (("lo", a), ("hi", 1 - a))])
+
+
+def ratio_or_zero(a: Column, b: Column) -> Column:
+    """a / b, 0 where b is 0: reports per alert, cost per alert."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
+
+
 def group_rates(df: DataFrame, label: str, predicted: str, group: str) -> DataFrame:
     """(group, tpr, fpr, and their gaps over all groups); a rate without cases is null and does not count for the gap."""
     y, p = F.col(label) == 1, F.col(predicted) == 1

@@ -5,8 +5,14 @@ The canonical form of a record is written out field by field, so that a hash doe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ledgerweave.plans.staging import Stage
 
 
 def top_contributions(values: Column, names: list[str], k: int = 10, digits: int = 5) -> Column:
@@ -32,39 +38,62 @@ def digest(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def merkle_levels(leaves: DataFrame, pos: str, payload: str) -> list[DataFrame]:
-    """Levels (pos, h) from the leaves to the root; an odd last node is paired with itself.  One aggregation per level."""
-    level = leaves.select(F.col(pos).cast("long").alias("pos"), F.sha2(F.col(payload).cast("binary"), 256).alias("h"))
-    n = leaves.count()
-    out = [level]
-    while n > 1:
-        pair = level.groupBy(F.expr("pos div 2").alias("pos")).agg(F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"))
-        level = pair.select("pos", F.sha2(F.concat(F.unhex("a"), F.unhex("b")), 256).alias("h"))
-        out.append(level)
-        n = -(-n // 2)
-    return out
+#: Levels of a tree that one aggregation folds: a group has at most 2 ** FOLD nodes.
+FOLD = 10
+
+
+def _up(a: Column) -> Column:
+    """The level above an array of hashes; an odd last node is paired with itself."""
+    n = F.size(a)
+    at = F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int"))
+    return F.transform(at, lambda i: F.sha2(F.concat(F.unhex(F.get(a, 2 * i)), F.unhex(F.get(a, F.least(2 * i + 1, n - 1)))), 256))
+
+
+def _folded(level: DataFrame, k: int) -> DataFrame:
+    """(pos, h) of the nodes ``k`` levels above, with ``__a0`` .. ``__ak``: the hashes of each level below them, in order.
 
+    Only the last group can be short, and it ends where the level ends, so that its odd nodes are the level's.
+    """
+    g = level.groupBy(F.floor(F.col("pos") / (1 << k)).alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("__a0"))
+    for i in range(k):
+        g = g.withColumn(f"__a{i + 1}", _up(F.col(f"__a{i}")))
+    return g.withColumn("h", F.get(f"__a{k}", F.lit(0)))
 
-def merkle_root(leaves: DataFrame, pos: str, payload: str) -> DataFrame:
-    """(root, n_leaves); null root for no leaves."""
-    return merkle_levels(leaves, pos, payload)[-1].agg(F.max("h").alias("root")).withColumn("n_leaves", F.lit(leaves.count()).cast("long"))
 
+def _leaves(leaves: DataFrame, pos: str, payload: str) -> tuple[DataFrame, int, int]:
+    """Staged leaf hashes, their number and the number of levels above them."""
+    level = Stage(leaves.sparkSession).write(leaves.select(F.col(pos).cast("long").alias("pos"), F.sha2(F.col(payload).cast("binary"), 256).alias("h")))
+    n = level.count()
+    return level, n, max(0, n - 1).bit_length()
 
-def merkle_proof(leaves: DataFrame, pos: str, payload: str, at: int) -> DataFrame:
+
+def merkle_root(leaves: DataFrame, pos: str, payload: str, fold: int = FOLD) -> DataFrame:
+    """(root, n_leaves) over leaves at positions 0, 1, ...; null root for no leaves.  A shuffle for every ``fold`` levels."""
+    level, n, height = _leaves(leaves, pos, payload)
+    while height > 0:
+        k = min(fold, height)
+        level = _folded(level, k).select("pos", "h")
+        height -= k
+    return level.agg(F.max("h").alias("root")).withColumn("n_leaves", F.lit(n).cast("long"))
+
+
+def merkle_proof(leaves: DataFrame, pos: str, payload: str, at: int, fold: int = FOLD) -> DataFrame:
     """(level, sibling, left): hashes beside the path of one leaf; ``left`` if the sibling stands left."""
-    levels = merkle_levels(leaves, pos, payload)
-    out = None
-    for i, level in enumerate(levels[:-1]):
-        me = at >> i
-        pair = level.filter(F.expr("pos div 2") == me // 2)
-        sibling = pair.agg((F.min_by("h", "pos") if me % 2 else F.max_by("h", "pos")).alias("sibling")).select(F.lit(i).alias("level"), "sibling", F.lit(bool(me % 2)).alias("left"))
-        out = sibling if out is None else out.unionByName(sibling)
-    return out
+    level, _, height = _leaves(leaves, pos, payload)
+    spark, done, out = leaves.sparkSession, 0, []
+    while height > done:
+        k = min(fold, height - done)
+        group = Stage(spark).write(_folded(level, k))
+        row = group.filter(F.col("pos") == (at >> (done + k))).first()  # one group of the path: at most 2 ** (fold + 1) hashes
+        for i in range(k):
+            a, me = row[f"__a{i}"], (at >> (done + i)) - ((at >> (done + k)) << (k - i))
+            other = me - 1 if me % 2 else min(me + 1, len(a) - 1)
+            out.append((done + i, a[other], bool(me % 2)))
+        level, done = group.select("pos", "h"), done + k
+    return spark.createDataFrame(out, "level int, sibling string, left boolean")
 
 
 def verify_proof(leaf: bytes, proof: list[tuple[str, bool]], root: str) -> bool:
-    import hashlib
-
     h = hashlib.sha256(leaf).digest()
     for sibling, left in proof:
         s = bytes.fromhex(sibling)
@@ -73,10 +102,50 @@ def verify_proof(leaf: bytes, proof: list[tuple[str, bool]], root: str) -> bool:
 
 
 def chained(df: DataFrame, series: str, order: str, payload: str) -> DataFrame:
-    """Adds ``chain``: hash over the payload and the hash before it, per series (a series, one alert's log, is short)."""
-    w = W.partitionBy(series).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    past = F.collect_list(F.coalesce(F.col(payload), F.lit(""))).over(w)
-    return df.withColumn("chain", F.aggregate(past, F.lit("genesis"), lambda h, p: F.sha2(F.concat(h, F.lit("|"), p), 256)))
+    """Adds ``chain``: hash over the payload and the hash before it, per series.
+
+    The rows of a series are sorted in its task and streamed in batches; a task keeps the last hash and nothing else, so that a
+    series may be as long as it likes.  Rows of one series and order come in the order of their payload; a null payload is empty.
+    """
+    kind = T.StructType([*df.schema.fields, T.StructField("chain", T.StringType())])
+    arrow = to_arrow_schema(kind)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, started = None, "genesis", False
+        for b in batches:
+            out = []
+            for key, text in zip(b.column(names.index(series)).to_pylist(), b.column(names.index(payload)).to_pylist()):
+                if not started or key != now:
+                    now, last, started = key, "genesis", True
+                last = hashlib.sha256(f"{last}|{'' if text is None else text}".encode()).hexdigest()
+                out.append(last)
+            yield from pa.Table.from_arrays([*b.columns, pa.array(out, pa.string())], names=kind.names).cast(arrow).to_batches()
+
+    return df.repartition(F.col(series)).sortWithinPartitions(series, order, payload).mapInArrow(run, kind)
+
+
+#: Fields of an evidence record that its hash covers.
+HASHED = ("score", "tier", "shap_values", "e_value", "gamma", "causal_passed", "anchors")
+
+
+def record(score: Column, tier: Column, shap_values: Column, e_value: Column, gamma: Column, causal_passed: Column, anchors: Column, digits: int = 6) -> Column:
+    """Canonical text of an evidence record; ``shap_values`` a map of numbers, ``anchors`` an array of texts, null if there are none."""
+    number = lambda c: F.format_string(f"%.{digits}f", c)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = (number(score), quoted(tier), canonical_map(shap_values), number(e_value), number(gamma), causal_passed.cast("string"), F.concat(F.lit("["), F.array_join(F.transform(anchors, quoted), ","), F.lit("]")))
+    return canonical(dict(zip(HASHED, fields)))
+
+
+def verified(record_text: Column, expected: Column) -> Column:
+    """Whether a record has the digest it is said to have; a null digest verifies nothing."""
+    return F.coalesce(digest(record_text) == F.lower(expected), F.lit(False))
+
+
+def valid_record(score: Column, tier: Column, shap_values: Column, e_value: Column, gamma: Column, tiers: tuple[str, ...]) -> Column:
+    """Whether the fields of a record are as its schema says: a score in 0..1, a known tier, 1..10 finite contributions, e_value and gamma of 1 at least."""
+    finite = F.forall(F.map_values(shap_values), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(score.between(0, 1) & tier.isin(*tiers) & F.size(shap_values).between(1, 10) & finite & (e_value >= 1) & (gamma >= 1), F.lit(False))
 
 
 #: What counts as a checkable statement in an explanation.

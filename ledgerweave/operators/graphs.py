@@ -116,9 +116,10 @@ def cospend_edges(tx: DataFrame, tx_id: str, pos: str, addr: str, flags: list[st
     ok = F.lit(True)
     for f in flags:
         ok = ok & ~F.coalesce(F.col(f), F.lit(False))
-    x = tx.filter(ok & F.col(addr).isNotNull())
-    first = x.groupBy(tx_id).agg(F.min_by(addr, pos).alias("src"))
-    return x.join(first, tx_id).select("src", F.col(addr).alias("dst")).distinct()
+    # names of its own: columns of the table may be called src or dst
+    x = tx.filter(ok & F.col(addr).isNotNull()).select(F.col(tx_id).alias("__t"), F.col(pos).alias("__p"), F.col(addr).alias("dst"))
+    first = x.groupBy("__t").agg(F.min_by("dst", "__p").alias("src"))
+    return x.join(first, "__t").select("src", "dst").distinct()
 
 
 def cluster_cospend(tx: DataFrame, tx_id: str, pos: str, addr: str, flags: list[str]) -> DataFrame:
@@ -260,3 +261,24 @@ def sampled_neighbours(edges: DataFrame, fanout: int, seed: int = 72) -> DataFra
     """
     w = W.partitionBy("dst").orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("src").cast("string"), F.col("dst").cast("string"))), "src")
     return edges.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= fanout).drop("__r")
+
+
+def explained_pairs(pairs: DataFrame, edges: DataFrame, hubs: DataFrame, vectors: DataFrame, key: str, vec: str, eps: float) -> DataFrame:
+    """(src, dst, confounded, explained, passed) for pairs of nodes with vectors, whose distance a common cause may explain.
+
+    A pair is confounded if both ends neighbour a hub (``hubs``: node); it is explained if the smallest hub next to ``src``
+    is, within ``eps``, as far from ``dst`` as ``src`` is.  A pair passes unless it is both.  A hub without a vector explains nothing.
+    """
+    near = edges.select(F.col("src").alias("x"), F.col("dst").alias("h")).unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("h")))
+    hub = Stage(edges.sparkSession).write(near.join(hubs.select(F.col("node").alias("h")), "h", "left_semi").groupBy("x").agg(F.min("h").alias("hub")))
+    v = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    hot = hot_keys(pairs, "src")
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+    x = skew_join(pairs.select("src", "dst"), v.toDF("src", "a"), "src", hot).join(v.toDF("dst", "b"), "dst")
+    # a hub's vector comes with its neighbour, so that it is joined once a node and not once a pair
+    first = hub.join(v.toDF("hub", "c"), "hub", "left").select(F.col("x").alias("src"), "hub", "c")
+    first = first.unionByName(pairs.select("src").distinct().join(first, "src", "left_anti").select("src", F.lit(None).cast(hub.schema["hub"].dataType).alias("hub"), F.lit(None).cast("array<double>").alias("c")))
+    x = skew_join(x, first, "src", hot).join(hub.select(F.col("x").alias("dst"), F.lit(True).alias("too")), "dst", "left")
+    confounded = F.col("hub").isNotNull() & F.coalesce("too", F.lit(False))
+    explained = confounded & F.coalesce(F.abs(apart(F.col("a"), F.col("b")) - apart(F.col("c"), F.col("b"))) < eps, F.lit(False))
+    return x.select("src", "dst", confounded.alias("confounded"), explained.alias("explained")).withColumn("passed", ~F.col("explained"))

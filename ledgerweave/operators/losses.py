@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerweave.operators.vectors import PART_ROWS, _blocks, _matrix, _side
+from ledgerweave.plans.skew import hot_keys, skew_join
+from ledgerweave.plans.staging import Stage
 
 
 def log_sum_exp(left: DataFrame, lkey: str, lvec: str, right: DataFrame, rkey: str, rvec: str, temperature: float, exclude_self: bool, part_rows: int = PART_ROWS) -> DataFrame:
@@ -69,8 +71,73 @@ def cross_type_loss(df: DataFrame, key: str, vec: str, other: DataFrame, okey: s
     return near.join(log_sum_exp(df, key, vec, other, okey, ovec, temperature, False), "l").agg(F.avg(F.col("lse") - F.col("p")).alias("loss"))
 
 
-def neighbour_mean(edges: DataFrame, nodes: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, agg): mean vector of the sources of a node's in-edges, place by place; summed map-side, so hubs are no hot spots."""
-    v = nodes.select(F.col(key).alias("src"), F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x"))
-    m = edges.join(v, "src").groupBy("dst", "i").agg(F.avg("x").alias("x"))
+def weighted_neighbours(edges: DataFrame, nodes: DataFrame, key: str, vec: str, hot: list | None = None) -> DataFrame:
+    """(key, agg): for each ``dst`` the sum of ``w`` times the vector of ``src`` over its in-edges (src, dst, w), place by place.
+
+    Sums are taken map-side, so hubs are no hot spots; vectors go to senders with very many edges by broadcast.
+    """
+    v = nodes.select(F.col(key).alias("src"), F.col(vec).cast("array<double>").alias("v"))
+    each = skew_join(edges.select("src", "dst", "w"), v, "src", hot_keys(edges, "src") if hot is None else hot).select("dst", "w", F.posexplode("v").alias("i", "x"))
+    m = each.groupBy("dst", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     return m.groupBy(F.col("dst").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("agg"))
+
+
+def neighbour_mean(edges: DataFrame, nodes: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, agg): mean vector of the sources, of those that have one, of a node's in-edges."""
+    stage = Stage(edges.sparkSession)
+    edges, nodes = stage.write(edges.select("src", "dst")), stage.write(nodes.select(key, F.col(vec).cast("array<double>").alias(vec)))
+    hot = hot_keys(edges, "src")
+    have = stage.write(skew_join(edges, nodes.select(F.col(key).alias("src")), "src", hot))
+    size = have.groupBy("dst").agg((1.0 / F.count(F.lit(1))).alias("w"))
+    return weighted_neighbours(skew_join(have, size, "dst", hot_keys(have, "dst")), nodes, key, vec, hot)
+
+
+def two_views(co_edges: DataFrame, incidence: DataFrame, nodes: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, co, both): each node's vector smoothed over the co-edges, and over the groups it is in and back.
+
+    The first view is D^-1/2 (A + I) D^-1/2 x, A having the distinct edges (src, dst) and D its row sums; the second takes
+    the mean of the members of each group (``incidence``: src a node, dst a group) and the mean of those over a node's groups.
+    Nodes without a group get zeros there.
+    """
+    nodes = Stage(nodes.sparkSession).write(nodes.select(key, F.col(vec).cast("array<double>").alias(vec)))
+    same = nodes.select(F.col(key).alias("src"), F.col(key).alias("dst"))
+    a = Stage(nodes.sparkSession).write(co_edges.select("src", "dst").filter("src != dst").unionByName(same).distinct())
+    degree = a.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    hot = hot_keys(a, "src")
+    a = skew_join(a, degree, "src", hot).join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    # the row sum belongs to the first end: messages run from dst to src
+    a = Stage(nodes.sparkSession).write(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.sqrt(F.col("d") * F.col("e"))).alias("w")))
+    co = weighted_neighbours(a, nodes, key, vec)
+    i = incidence.select("src", "dst").distinct()
+    groups = neighbour_mean(i, nodes, key, vec).withColumnRenamed(key, "g")
+    back = neighbour_mean(i.select(F.col("dst").alias("src"), F.col("src").alias("dst")), groups, "g", "agg")
+    out = nodes.join(co.withColumnRenamed("agg", "co"), key, "left").join(back.select(F.col("g").alias(key), F.col("agg").alias("both")), key, "left")
+    zero = F.transform(F.col(vec), lambda x: F.lit(0.0))
+    return out.select(key, F.coalesce("co", zero).alias("co"), F.coalesce("both", zero).alias("both"))
+
+
+def dense(v, weights: np.ndarray):
+    """Column of v times a matrix of literal weights (in, out)."""
+    return F.array(*[F.aggregate(F.zip_with(v, F.array(*[F.lit(float(w)) for w in column]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for column in np.asarray(weights).T])
+
+
+def relu(v):
+    return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
+
+
+def attend(a, b, q: np.ndarray):
+    """(fused, weight of a): both views weighted by the softmax of q . tanh(view)."""
+    s = lambda v: F.get(dense(F.transform(v, F.tanh), np.asarray(q)[:, None]), F.lit(0))
+    w = 1 / (1 + F.exp(s(b) - s(a)))
+    return F.zip_with(a, b, lambda x, y: w * x + (1 - w) * y), w
+
+
+def gated(raw, agg, project: np.ndarray, by_raw: np.ndarray, by_agg: np.ndarray, bias: np.ndarray):
+    """g * project(raw) + (1 - g) * agg with g = sigmoid(by_raw . raw + by_agg . agg + bias), place by place."""
+    terms = F.arrays_zip(dense(raw, by_raw).alias("r"), dense(agg, by_agg).alias("a"), F.array(*[F.lit(float(x)) for x in bias]).alias("b"), dense(raw, project).alias("p"), agg.alias("x"))
+
+    def place(t):
+        g = 1 / (1 + F.exp(-(t["r"] + t["a"] + t["b"])))
+        return g * t["p"] + (1 - g) * t["x"]
+
+    return F.transform(terms, place)

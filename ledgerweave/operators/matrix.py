@@ -95,12 +95,34 @@ def sample_size(p: Column, e: float, z: float = 1.96) -> Column:
     return F.ceil(z * z * p * (1 - p) / (e * e))
 
 
-def masked(a: Column, rate: float, seed: int) -> Column:
-    """Each place set to zero with probability ``rate``, by a hash of value and place."""
-    return F.transform(a, lambda x, i: F.when(F.pmod(F.xxhash64(F.lit(seed), x, i), F.lit(1_000_000)) < int(rate * 1_000_000), F.lit(0.0)).otherwise(x))
+#: Least and largest share of a pool that is drawn for a random audit.
+AUDIT_SHARES = {"clear": (0.001, 0.01), "block": (0.01, 0.05)}
 
 
-def perturbed(a: Column, sigma: float, seed: int) -> Column:
+def audit_range(pool: Column, kind: str) -> tuple[Column, Column]:
+    """Least and largest number of audited rows of a pool of cleared or blocked ones."""
+    low, high = AUDIT_SHARES[kind]
+    return F.ceil(pool * F.lit(low)).cast("long"), F.ceil(pool * F.lit(high)).cast("long")
+
+
+#: A prime below 2^20: squares of what is below it, and sums with them, are whole numbers of 64 bits on any engine.
+PRIME = 1_000_003
+
+
+def hashed_unit(key: Column, place: Column, seed: int) -> Column:
+    """A number in [0, 1) for a key and a place, by quadratic mixing in whole numbers: the same on every engine."""
+    x = F.pmod(F.pmod(key, F.lit(PRIME)) * 7919 + place * 104_729 + seed * 31, F.lit(PRIME))
+    for add in (12_345, 54_321, 777):
+        x = F.pmod(x * x + x + add, F.lit(PRIME))
+    return x / float(PRIME)
+
+
+def masked(a: Column, key: Column, rate: float, seed: int) -> Column:
+    """Each place set to zero with probability ``rate``, by a hash of the row's key and the place."""
+    return F.transform(a, lambda x, i: F.when(hashed_unit(key, i, seed) < rate, F.lit(0.0)).otherwise(x))
+
+
+def perturbed(a: Column, key: Column, sigma: float, seed: int) -> Column:
     """Gaussian noise from two hashes per place (Box-Muller)."""
-    u = lambda x, i, s: (F.pmod(F.xxhash64(F.lit(seed + s), x, i), F.lit(1_000_000)) + 0.5) / 1_000_000
-    return F.transform(a, lambda x, i: x + sigma * F.sqrt(-2 * F.log(u(x, i, 0))) * F.cos(6.283185307179586 * u(x, i, 1)))
+    u = lambda i, s: hashed_unit(key, i, seed + s) + 0.5 / PRIME
+    return F.transform(a, lambda x, i: x + sigma * F.sqrt(-2 * F.log(u(i, 0))) * F.cos(6.283185307179586 * u(i, 1)))

@@ -7,6 +7,7 @@ left out pairwise.  An empty sample gives null statistics.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -128,3 +129,81 @@ def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int) -> Dat
 def percentile_interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return replicates.agg(F.expr(f"percentile({value}, {a})").alias("lo"), F.expr(f"percentile({value}, {1 - a})").alias("hi"))
+
+
+def power_n_min(effect: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """Rows needed to find a correlation of that size with that power, by Fisher's z; at least 4."""
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    r = F.least(F.greatest(F.abs(effect), F.lit(1e-6)), F.lit(0.999999))
+    return F.greatest(F.lit(4), F.ceil(F.pow(z / (0.5 * F.log((1 + r) / (1 - r))), 2) + 3)).cast("long")
+
+
+def power_gate(n: Column, effect: Column, alpha: float = 0.05, power: float = 0.8) -> tuple[Column, Column, Column]:
+    """Needed rows, whether ``n`` is enough, and the status in words."""
+    need = power_n_min(effect, alpha, power)
+    return need, n >= need, F.when(n >= need, "ok").otherwise("insufficient data")
+
+
+def weighted_moments(df: DataFrame, columns: list[str], key: Column, replicates: int) -> dict[int, tuple[float, np.ndarray]]:
+    """(n, centred cross products) of complete rows in each bootstrap replicate; replicate 0 is the table itself.
+
+    One pass over the rows; what comes back is as large as replicates times squared columns.
+    """
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    df = df.filter(ok)
+    mean = [float(v or 0) for v in df.agg(*[F.avg(c) for c in columns]).first()]
+    x = df.select(key.cast("string").alias("__k"), *[(F.col(c) - m).alias(c) for c, m in zip(columns, mean)])
+    x = x.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    x = x.withColumn("__w", F.when(F.col("__r") == 0, 1).otherwise(poisson_weight(F.col("__k"), F.col("__r"))))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    w = F.col("__w")
+    rows = x.groupBy("__r").agg(F.sum(w), *[F.sum(w * F.col(c)) for c in columns], *[F.sum(w * F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).collect()
+    out = {}
+    for r in rows:
+        n, s = float(r[1]), np.array([float(v) for v in r[2 : 2 + len(columns)]])
+        c = np.zeros((len(columns), len(columns)))
+        for (i, j), v in zip(pairs, r[2 + len(columns) :]):
+            c[i, j] = c[j, i] = v
+        out[r[0]] = (n, c - np.outer(s, s) / max(n, 1.0))
+    return out
+
+
+def _partial(n: float, c: np.ndarray, x: int, y: int, z: list[int]) -> tuple[float, float]:
+    """(r, p) of the partial correlation of places x and y given places z."""
+    own = [x, y]
+    s = c[np.ix_(own, own)] - (c[np.ix_(own, z)] @ np.linalg.pinv(c[np.ix_(z, z)]) @ c[np.ix_(z, own)] if z else 0)
+    d, dof = s[0, 0] * s[1, 1], n - 3 - len(z)
+    if d <= 0 or dof < 1:
+        return 0.0, 1.0
+    r = float(np.clip(s[0, 1] / math.sqrt(d), -1 + 1e-15, 1 - 1e-15))
+    return r, normal_p(math.atanh(r) * math.sqrt(dof))
+
+
+def evaluate_candidates(df: DataFrame, y: str, anchors: list[str], pool: list[str], candidates: dict[str, list[str]], key: Column, alpha: float = 0.05, replicates: int = 100) -> DataFrame:
+    """(name, edge, kind, r, p, p_low, p_high, rejected): tests of what each candidate set of confounders implies.
+
+    An edge from an anchor to ``y`` should be there given the confounders: it is rejected unless p and its whole bootstrap
+    interval lie below ``alpha``.  A variable of the pool outside the set, and a placebo made from the key, should add nothing to
+    a regression of ``y`` on the confounders: they are rejected if they do.  One pass over the rows serves all candidates.
+    """
+    from ledgerweave.operators.matrix import hashed_unit
+
+    columns = [y, *anchors, *pool, "__placebo"]
+    at = {c: i for i, c in enumerate(columns)}
+    m = weighted_moments(df.withColumn("__placebo", hashed_unit(F.abs(F.xxhash64(key) % 1_000_003), F.lit(1), 72)), columns, key, replicates)
+    out = []
+    for name, confounders in candidates.items():
+        z = [at[c] for c in confounders]
+        tests = [(a, "present") for a in anchors] + [(v, "absent") for v in pool if v not in confounders] + [("__placebo", "placebo")]
+        for c, kind in tests:
+            each = {k: _partial(n, s, at[c], 0, z) for k, (n, s) in m.items()}
+            r, p = each[0]
+            low, high = (float(v) for v in np.quantile([each[k][1] for k in each if k] or [p], [0.025, 0.975]))
+            n = m[0][0]
+            dof = n - len(z) - 2
+            t = r * math.sqrt(max(dof, 0) / max(1e-300, 1 - r * r))
+            rejected = not (p < alpha and high < alpha) if kind == "present" else dof >= 1 and normal_p(t) < alpha
+            out.append((name, c.strip("_"), kind, r, p, low, high, bool(rejected), len(confounders) + len(anchors)))
+    return df.sparkSession.createDataFrame(out, "name string, edge string, kind string, r double, p double, p_low double, p_high double, rejected boolean, num_edges int")

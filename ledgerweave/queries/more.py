@@ -66,16 +66,6 @@ def r052_select_tau_star(spark, sf_dir):
     return x.select(F.round("tau", 9).alias("tau"), "cost")
 
 
-@query()
-def r076_association_test(spark, sf_dir):
-    """Partial correlation per replicate of the bootstrap, from weighted sums in one pass over all rows."""
-    x = table(spark, sf_dir, "lineitem").select("l_discount", "l_extendedprice", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("replicate"))
-    x = x.withColumn("w", stats.poisson_weight(F.col("k"), F.col("replicate")))
-    a, b, w = F.col("l_discount"), F.col("l_extendedprice"), F.col("w")
-    s = x.groupBy("replicate").agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
-    return s.select("replicate", F.expr("(ab - a * b / n) / sqrt((aa - a * a / n) * (bb - b * b / n))").alias("r"))
-
-
 _CANDIDATES = "(SELECT grp || step AS name, count(*) FILTER (WHERE y = 1 AND score >= 0.5) rejections, count(*) edges FROM " + SCORED + " GROUP BY grp, step)"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "risk", "learning", "more")
+MODULES = ("quality", "risk", "learning", "more", "audits")
 
 
 def _merged(name: str) -> dict:

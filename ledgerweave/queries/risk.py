@@ -120,11 +120,10 @@ def _vec(spark, sf_dir, n: int | None = None):
 VEC = "(SELECT vec_id, embedding::DOUBLE[] vec, label, (vec_id % 49 + 1)::INTEGER step FROM embeddings)"
 
 
-@query(f"""WITH x AS (SELECT vec_id, vec[1:10] d FROM {VEC})
-SELECT vec_id, round(list_avg(d), 6) d_mean, round(list_min(d), 6) d_min, round(list_max(d), 6) d_max, round(list_stddev_pop(d), 6) d_std, round(list_aggregate(d, 'quantile_cont', 0.25), 6) d_q25, round(list_aggregate(d, 'quantile_cont', 0.5), 6) d_q50, round(list_aggregate(d, 'quantile_cont', 0.75), 6) d_q75, round(d[1], 6) d_1, round(d[10], 6) d_10, 17::INTEGER width FROM x""")
+@query(f"""SELECT vec_id, round(list_avg(vec), 6) d_mean, round(list_min(vec), 6) d_min, round(list_max(vec), 6) d_max, round(list_stddev_pop(vec), 6) d_std, round(list_aggregate(vec, 'quantile_cont', 0.25), 6) d_q25, round(list_aggregate(vec, 'quantile_cont', 0.5), 6) d_q50, round(list_aggregate(vec, 'quantile_cont', 0.75), 6) d_q75, {', '.join(f'round(vec[{i}], 6) d_{i}' for i in range(1, 65))}, 71::INTEGER width FROM {VEC}""")
 def r018_feature_matrix(spark, sf_dir):
-    x, names = matrix.feature_matrix(_vec(spark, sf_dir, 10), 10, distances="vec")
-    return x.select("vec_id", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names) if not n.startswith("d_") or not n[2:].isdigit() or n in ("d_1", "d_10")], F.size("features").alias("width"))
+    x, names = matrix.feature_matrix(_vec(spark, sf_dir), 64, distances="vec")
+    return x.select("vec_id", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)], F.size("features").alias("width"))
 
 
 _HAAR = "list_transform(range(1, len({0}) // 2 + 1), lambda i: ({0}[2 * i - 1] {1} {0}[2 * i]) / 2)"
@@ -162,12 +161,6 @@ def r024_footprint_and_power(spark, sf_dir):
     return x.select("label", raw.alias("raw_bytes"), pq.alias("pq_bytes"), ratio.cast("double").alias("ratio"), matrix.sample_size(F.lit(0.5), 0.01).alias("sample_n"))
 
 
-@query()
-def r033_augment(spark, sf_dir):
-    v = F.col("vec")
-    return _vec(spark, sf_dir).select("vec_id", matrix.masked(v, 0.1, 72).alias("masked"), matrix.perturbed(v, 0.05, 72).alias("noisy"))
-
-
 @query(r"""SELECT doc_id, coalesce(list_bool_and(list_transform(list_concat(regexp_extract_all(text, '0x[0-9a-fA-F]{6,}'), regexp_extract_all(text, '\b[0-9a-f]{64}\b')), lambda x: contains(coalesce(txid::VARCHAR, ''), x))), true) grounded FROM documents WHERE text IS NOT NULL""".replace("regexp_extract_all(text, '\\b[0-9a-f]{64}\\b')), ", "regexp_extract_all(text, '\\b[0-9a-f]{64}\\b')), "))
 def r035_grounded(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")
@@ -389,12 +382,6 @@ def r089_degrees(spark, sf_dir):
     return graphs.degrees(_edges(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(f"SELECT f.txId, coalesce(in_degree, 0)::BIGINT in_degree, coalesce(out_degree, 0)::BIGINT out_degree FROM (SELECT DISTINCT txId FROM elliptic_txs_features WHERE txId IS NOT NULL) f LEFT JOIN {DEGREES} d ON d.node = f.txId")
-def r091_graph_features(spark, sf_dir):
-    f = table(spark, sf_dir, "elliptic_txs_features").select("txId").filter("txId is not null").distinct()
-    return f.join(graphs.degrees(_edges(spark, sf_dir)).withColumnRenamed("node", "txId"), "txId", "left").fillna(0).select("txId", "in_degree", "out_degree")
-
-
 def _pagerank_sql(rounds: int) -> str:
     n = "(SELECT count(*) FROM v)"
     parts = [f"e AS MATERIALIZED {EDGES}", "v AS MATERIALIZED (SELECT src node FROM e UNION SELECT dst FROM e)", "o AS MATERIALIZED (SELECT src, count(*) k FROM e GROUP BY src)", f"p0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / {n} r FROM v)"]
@@ -416,6 +403,15 @@ def r090_pagerank(spark, sf_dir):
     return graphs.pagerank(_edges(spark, sf_dir))
 
 
+@query(f"WITH p AS ({_pagerank_sql(20)}) SELECT f.txId, coalesce(in_degree, 0)::BIGINT in_degree, coalesce(out_degree, 0)::BIGINT out_degree, coalesce(in_degree + out_degree, 0)::BIGINT total_degree, round(coalesce((in_degree + 1) / (out_degree + 1), 0), 9) ratio, coalesce(p.rank, 0) pagerank FROM (SELECT DISTINCT txId FROM elliptic_txs_features WHERE txId IS NOT NULL) f LEFT JOIN {DEGREES} d ON d.node = f.txId LEFT JOIN p ON p.node = f.txId")
+def r091_graph_features(spark, sf_dir):
+    """Transactions with all features of the graph, 0 for those without an edge; ranks times the number of nodes."""
+    f = table(spark, sf_dir, "elliptic_txs_features").select("txId").filter("txId is not null").distinct()
+    e = _edges(spark, sf_dir)
+    g = graphs.degrees(e).join(r090b_pagerank_rounds(spark, sf_dir), "node").withColumnRenamed("node", "txId").withColumnRenamed("rank", "pagerank")
+    return f.join(g, "txId", "left").fillna(0).select("txId", "in_degree", "out_degree", "total_degree", F.round("ratio", 9).alias("ratio"), "pagerank")
+
+
 def _components_sql(edges: str, nodes: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT src a, dst b FROM {edges} UNION SELECT dst, src FROM {edges}), r(v, u) AS (SELECT node, node FROM {nodes} UNION SELECT e.b, r.u FROM r JOIN e ON e.a = r.v WHERE r.u < e.b)
 SELECT v node, min(u) component FROM r GROUP BY v"""
@@ -483,17 +479,6 @@ def r087_hub_flags(spark, sf_dir):
     return d.join(F.broadcast(q)).select("node", (F.col("total_degree") >= F.col("q")).alias("hub"))
 
 
-@query(f"""WITH t AS (SELECT txId, min(time_step) t FROM elliptic_txs_features GROUP BY txId), d AS (SELECT node, in_degree + out_degree d FROM {DEGREES}), m AS (SELECT max(d) m FROM d)
-SELECT e.src, e.dst, (abs(a.t - b.t) <= 1)::INTEGER temporal, round(1 - abs(x.d - y.d) / m, 9) deg_sim FROM {EDGES} e JOIN t a ON a.txId = e.src JOIN t b ON b.txId = e.dst JOIN d x ON x.node = e.src JOIN d y ON y.node = e.dst, m WHERE a.t IS NOT NULL AND b.t IS NOT NULL""")
-def r102_pair_signals(spark, sf_dir):
-    t = table(spark, sf_dir, "elliptic_txs_features").groupBy("txId").agg(F.min("time_step").alias("t")).filter("t is not null")
-    e = _edges(spark, sf_dir)
-    d = graphs.degrees(e).select("node", F.col("total_degree").alias("d"))
-    at = lambda s: t.join(d, F.col("txId") == F.col("node")).select(F.col("node").alias(s), F.col("t").alias(f"t_{s}"), F.col("d").alias(f"d_{s}"))
-    x = e.join(at("src"), "src").join(at("dst"), "dst").join(F.broadcast(d.agg(F.max("d").alias("m"))))
-    return x.select("src", "dst", (F.abs(F.col("t_src") - F.col("t_dst")) <= 1).cast("int").alias("temporal"), F.round(1 - F.abs(F.col("d_src") - F.col("d_dst")) / F.col("m"), 9).alias("deg_sim"))
-
-
 @query(f"SELECT src, dst FROM {EDGES} QUALIFY row_number() OVER (PARTITION BY dst ORDER BY md5('72|' || src || '|' || dst), src) <= 5")
 def r155_fanout_sample(spark, sf_dir):
     return graphs.sampled_neighbours(_edges(spark, sf_dir), 5)
@@ -519,14 +504,6 @@ def r107_nearest_by_era(spark, sf_dir):
     return x.select("era", F.col("l").alias("q"), F.col("r").alias("anchor"), F.round("dist", 6).alias("dist"))
 
 
-@query(f"SELECT CASE WHEN label = 0 THEN 'ofac' ELSE 'train_illicit' END kind, count(*) n, round(min(vec[1]), 6) lo, round(max(vec[1]), 6) hi FROM {VEC} WHERE label = 0 OR label = 1 AND step <= 30 GROUP BY 1")
-def r106_anchor_pool(spark, sf_dir):
-    v = _vec(spark, sf_dir)
-    pool = v.filter("label = 0").withColumn("kind", F.lit("ofac")).unionByName(v.filter("label = 1 and step <= 30").withColumn("kind", F.lit("train_illicit")))
-    one = F.get("vec", F.lit(0))
-    return pool.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(one), 6).alias("lo"), F.round(F.max(one), 6).alias("hi"))
-
-
 @query()
 def r104_lsh_recall(spark, sf_dir):
     v = _vec(spark, sf_dir)
@@ -667,19 +644,3 @@ def _merkle_sql() -> str:
 @query(_merkle_sql())
 def r142_merkle_root(spark, sf_dir):
     return evidence.merkle_root(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
-
-
-@query()
-def r147_hash_chain(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("line", F.concat_ws("|", "event_id", "event_type", F.format_string("%.2f", "value")))
-    return evidence.chained(e, "user_id", "event_id", "line").select("user_id", "event_id", "chain")
-
-
-@query()
-def r140_evidence(spark, sf_dir):
-    v = _vec(spark, sf_dir)
-    names = [f"e{i}" for i in range(64)]
-    return v.select("vec_id", evidence.top_contributions(F.col("vec"), names).alias("shap"))
-
-
-__all__ = ["QUERIES", "SQL", "scored", "spelled_date", "W", "ordinal_rank"]
