@@ -18,10 +18,7 @@ def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = No
     """(by, score, n, pos, cum_n, cum_pos): running totals from the highest score down, ties together."""
     by = by or []
     steps = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    if not by:
-        return running_totals(steps, "score", ["n", "pos"], descending=True)
-    w = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return steps.select(*by, "score", "n", "pos", F.sum("n").over(w).alias("cum_n"), F.sum("pos").over(w).alias("cum_pos"))
+    return running_totals(steps, "score", ["n", "pos"], descending=True, by=by)
 
 
 def _totals(steps: DataFrame, by: list[str]) -> DataFrame:

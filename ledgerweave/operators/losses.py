@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerweave.operators.vectors import PART_ROWS, _blocks, _matrix, _side
+from ledgerweave.operators.vectors import PART_ROWS, _blocks, _matrix, _side, reduced
 from ledgerweave.plans.skew import hot_keys, skew_join
 from ledgerweave.plans.staging import Stage
 
@@ -57,11 +57,20 @@ def nt_xent(df: DataFrame, key: str, vec: str, temperature: float) -> DataFrame:
     return near.join(log_sum_exp(df, key, vec, df, key, vec, temperature, True), "l").agg(F.avg(F.col("lse") - F.col("p")).alias("loss"))
 
 
-def anchor_loss(pairs: DataFrame, push: DataFrame, pull_margin: float, push_margin: float, weight: float = 1.0) -> DataFrame:
-    """(loss): weighted sum of the mean hinge of distances above the pull margin and of distances below the push margin."""
-    a = pairs.agg(F.avg(F.greatest(F.lit(0.0), F.col("dist") - pull_margin)).alias("a"))
-    b = push.agg(F.avg(F.greatest(F.lit(0.0), push_margin - F.col("dist"))).alias("b"))
-    return a.join(F.broadcast(b)).select((weight * (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)))).alias("loss"))
+def anchor_loss(df: DataFrame, key: str, vec: str, label: str, by: str, pull_margin: float, push_margin: float, weight: float = 1.0) -> DataFrame:
+    """(loss) over the pairs of each group ``by``: weighted sum of the mean hinge of distances above the pull margin, for like
+    labels, and of distances below the push margin, for unlike ones.  A block of rows gives four sums."""
+    fields = ("pull", "push", "n_pull", "n_push")
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in fields])
+
+    def sums(d, l, r, zl, zr):
+        once, like = l[:, None] < r[None, :], zl[:, None] == zr[None, :]
+        a, b = d[once & like], d[once & ~like]
+        return [np.array([float(x)]) for x in (np.maximum(0, a - pull_margin).sum(), np.maximum(0, push_margin - b).sum(), len(a), len(b))]
+
+    t = reduced(df, key, vec, df, key, vec, schema, sums, [by], label, label).agg(*[F.sum(c).alias(c) for c in fields])
+    part = lambda c: F.coalesce(F.col(c) / F.nullif(F.col(f"n_{c}"), F.lit(0.0)), F.lit(0.0))
+    return t.select((weight * (part("pull") + part("push"))).alias("loss"))
 
 
 def cross_type_loss(df: DataFrame, key: str, vec: str, other: DataFrame, okey: str, ovec: str, pairs: DataFrame, temperature: float) -> DataFrame:

@@ -10,8 +10,9 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from ledgerweave.plans.ordered import running_totals
 
 
 def cohen_d(df: DataFrame, value: str, after: str, by: list[str]) -> DataFrame:
@@ -23,13 +24,15 @@ def cohen_d(df: DataFrame, value: str, after: str, by: list[str]) -> DataFrame:
 
 
 def ks_two_sample(df: DataFrame, value: str, after: str, by: list[str]) -> DataFrame:
-    """(by, n, m, ks_D, ks_p): largest difference of the distribution functions over grouped distinct values; asymptotic p."""
+    """(by, n, m, ks_D, ks_p): largest difference of the distribution functions over grouped distinct values; asymptotic p.
+
+    A group's values are ordered over as many tasks as they need.
+    """
     pts = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(after).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(
         F.sum(F.when(F.col(after), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(after), 0).otherwise(1)).alias("b")
     )
     sizes = pts.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
-    w = W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    cum = pts.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).join(sizes, by)
+    cum = running_totals(pts, "v", ["a", "b"], by=by).withColumnsRenamed({"cum_a": "ca", "cum_b": "cb"}).join(F.broadcast(sizes), by)  # one row per group
     d = cum.groupBy(*by).agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("ks_D"), F.first("n").alias("n"), F.first("m").alias("m"))
     return d.withColumn("ks_p", kolmogorov_p(F.col("ks_D"), F.col("n"), F.col("m")))
 
@@ -51,18 +54,47 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _later_signs(v: np.ndarray) -> int:
+    """Number of pairs in order minus number of pairs out of order, by a tree of counts: n log n."""
+    ranks = np.unique(v, return_inverse=True)[1] + 1
+    m = int(ranks.max(initial=0))
+    tree = [0] * (m + 1)
+    total = 0
+    for i, r in enumerate(ranks.tolist()):
+        below, upto = 0, 0
+        j = r - 1
+        while j:
+            below += tree[j]
+            j &= j - 1
+        j = r
+        while j:
+            upto += tree[j]
+            j &= j - 1
+        total += below - (i - upto)
+        j = r
+        while j <= m:
+            tree[j] += 1
+            j += j & -j
+    return total
+
+
 def mann_kendall(series: DataFrame, order: str, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, n, s, var_s, z): trend statistic with tie correction and continuity correction.
 
-    A series has one row per step, so pairs within it are few; series are spread by ``by``.
+    A series has one row per step and is one task's; pairs are counted, not made.  Series are spread by ``by``.
     """
     by = by or []
-    x = series.filter(F.col(value).isNotNull())
-    later = F.collect_list(value).over(W.partitionBy(*by).orderBy(order).rowsBetween(1, W.unboundedFollowing))
-    signs = x.select(*by, value, F.aggregate(later, F.lit(0), lambda a, v: a + F.signum(v - F.col(value)).cast("int")).alias("g"))
-    s = signs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("s"))
-    ties = x.groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count") * (F.col("count") - 1) * (2 * F.col("count") + 5)).alias("ties"))
-    j = s.join(ties, by) if by else s.join(F.broadcast(ties))  # one row
+    x = series.filter(F.col(value).isNotNull()).select(*by, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"))
+    kind = T.StructType([*[x.schema[b] for b in by], T.StructField("s", T.LongType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__o")
+        return pa.table([*[t.column(b).slice(0, 1) for b in by], pa.array([_later_signs(t.column("__v").to_numpy())], pa.int64())], names=kind.names)
+
+    s = x.groupBy(*by).applyInArrow(run, kind)
+    n = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ties = x.groupBy(*by, "__v").count().groupBy(*by).agg(F.sum(F.col("count") * (F.col("count") - 1) * (2 * F.col("count") + 5)).alias("ties"))
+    j = s.join(n, by).join(ties, by) if by else s.join(F.broadcast(n)).join(F.broadcast(ties))  # one row
     var = (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("ties")) / 18
     z = F.when(F.col("var_s") <= 0, 0.0).when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var_s")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var_s")).otherwise(0.0)
     return j.withColumn("var_s", var).withColumn("z", z).select(*by, "n", "s", "var_s", "z")

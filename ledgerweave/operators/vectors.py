@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ledgerweave.plans.skew import hot_keys, skew_join
+from ledgerweave.plans.staging import Stage
 
 #: Rows of a part.
 PART_ROWS = 20_000
@@ -94,31 +98,155 @@ def recall_at(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return hit.agg((F.count("hit") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("recall"))
 
 
-def lsh_nearest(queries: DataFrame, qkey: str, anchors: DataFrame, akey: str, vec: str, k: int, bucket: float = 4.0, tables: int = 6, radius: float = 1e9) -> DataFrame:
-    """(l, r, dist, rank): approximate neighbours by Spark ML's bucketed random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def reduced(left: DataFrame, lkey: str, lvec: str, right: DataFrame, rkey: str, rvec: str, schema: T.StructType, reduce, by: list[str] | None = None, llabel: str | None = None, rlabel: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """What ``reduce(d, l, r, llabel, rlabel)`` makes of the distances of every block of rows: no pair is ever a row of a table.
+
+    It gets a matrix of distances, the keys and labels of both sides (labels null where none is named) and gives arrays in the
+    order of ``schema``.
+    """
+    by = by or []
+    l, r = _side(left.withColumn("__y", F.col(llabel) if llabel else F.lit(None).cast("int")), lkey, lvec, "l", [*by, "__y"]), _side(right.withColumn("__z", F.col(rlabel) if rlabel else F.lit(None).cast("int")), rkey, rvec, "r", [*by, "__z"])
+    lg, rg = _blocks(l, r, by, part_rows)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if len(a) and len(b):
+            x, y = _matrix(a.column("vl")), _matrix(b.column("vr"))
+            kl, kr, zl, zr = (t.column(c).to_numpy() for t, c in ((a, "l"), (b, "r"), (a, "__y"), (b, "__z")))
+            size = (y * y).sum(1)[None, :]
+            for i in range(0, len(x), 500):
+                p = x[i : i + 500]
+                d = np.sqrt(np.maximum(0, (p * p).sum(1)[:, None] + size - 2 * p @ y.T))
+                d[kl[i : i + 500][:, None] == kr[None, :]] = 0.0
+                out.append(reduce(d, kl[i : i + 500], kr, zl[i : i + 500], zr))
+        kinds = to_arrow_schema(schema)
+        cols = [np.concatenate([o[j] for o in out]) if out else [] for j in range(len(schema))]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
+
+    return lg.cogroup(rg).applyInArrow(run, schema)
+
 
-    q = queries.select(F.col(qkey).alias("l"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    a = anchors.select(F.col(akey).alias("r"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=72).fit(a)
-    pairs = model.approxSimilarityJoin(q, a, radius, distCol="dist").select("datasetA.l", "datasetB.r", "dist")
+class CellIndex:
+    """An index of vectors in cells around centroids fitted on a bounded sample; every row is in the cell of its nearest one.
+
+    A query visits the ``probes`` nearest cells.  A cell of more than ``part_rows`` rows is cut into blocks by hash, each of
+    which the query visits, so that a crowded cell is never one task's.
+    """
+
+    def __init__(self, df: DataFrame, key: str, vec: str, cells: int | None = None, sample_rows: int = 50_000, part_rows: int = PART_ROWS, seed: int = 72):
+        self.key, self.vec, self.seed = key, vec, seed
+        rows = _side(df, key, vec, "r", [])
+        n = rows.count()
+        self.cells = cells or max(1, min(4096, int(n**0.5)))
+        part = max(1, n // sample_rows)
+        some = rows.filter(F.pmod(F.xxhash64("r"), F.lit(part)) == 0)
+        self.empty = not n
+        self.centroids = _centroids(some, "vr", self.cells, seed) if n else np.zeros((1, 1))
+        stage = Stage(df.sparkSession)
+        self.rows = stage.write(self._assign(rows, 1).select(F.get("__near", F.lit(0)).alias("__cell"), "r", "vr"))
+        sizes = {r[0]: r[1] for r in self.rows.groupBy("__cell").count().collect()}  # one number a cell
+        self.blocks = [max(1, -(-sizes.get(i, 0) // part_rows)) for i in range(len(self.centroids))]
+
+    def _assign(self, df: DataFrame, probes: int, vec: str = "vr") -> DataFrame:
+        """Adds ``__near``: the numbers of the nearest cells, nearest first."""
+        c, empty = self.centroids, self.empty
+        size = (c * c).sum(1)[None, :]
+        names = df.columns
+        k = min(probes, len(c))
+
+        def run(batches):
+            for b in batches:
+                x = _matrix(b.column(names.index(vec)))
+                d = size - 2 * x @ c.T if b.num_rows and not empty else np.zeros((b.num_rows, len(c)))
+                near = np.argsort(d, axis=1, kind="stable")[:, :k].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, "__near"])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__near", T.ArrayType(T.IntegerType()))]))
+
+    def _meet(self, queries: DataFrame, rows: DataFrame, probes: int):
+        """Both sides grouped by cell and block."""
+        width = F.array(*[F.lit(b) for b in self.blocks])
+        q = self._assign(queries, probes, "vl").withColumn("__cell", F.explode("__near")).drop("__near")
+        q = q.withColumn("__block", F.explode(F.sequence(F.lit(0), F.get(width, F.col("__cell")) - 1)))
+        r = rows.withColumn("__block", F.pmod(F.xxhash64("r"), F.get(width, F.col("__cell"))).cast("int"))
+        return q.groupBy("__cell", "__block").cogroup(r.groupBy("__cell", "__block"))
+
+    def nearest(self, queries: DataFrame, qkey: str, qvec: str, k: int, probes: int) -> DataFrame:
+        """(l, r, dist, rank): the k nearest rows of the visited cells, by their exact distance."""
+        q = _side(queries, qkey, qvec, "l", [])
+        schema = T.StructType([q.schema["l"], self.rows.schema["r"], T.StructField("dist", T.DoubleType())])
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            kinds = to_arrow_schema(schema)
+            if not len(a) or not len(b):
+                return kinds.empty_table()
+            x, y, kr = _matrix(a.column("vl")), _matrix(b.column("vr")), b.column("r").to_numpy()
+            order = np.argsort(kr, kind="stable")
+            y, kr = y[order], kr[order]
+            out = []
+            for i in range(0, len(x), 500):
+                p = x[i : i + 500]
+                d2 = np.maximum(0, (p * p).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * p @ y.T)
+                top = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(p)), top.shape[1])
+                out.append((rows + i, top.ravel(), np.sqrt(((p[rows] - y[top.ravel()]) ** 2).sum(1))))
+            rows, cols, d = (np.concatenate(z) for z in zip(*out))
+            return pa.table([a.column("l").take(pa.array(rows)), pa.array(kr[cols]), pa.array(d)], names=schema.names).cast(kinds)
+
+        return _best(self._meet(q, self.rows, probes).applyInArrow(run, schema), k)
+
+    def coded_nearest(self, queries: DataFrame, qkey: str, qvec: str, books: np.ndarray, k: int, probes: int) -> DataFrame:
+        """(l, r, dist, rank): the k nearest codes of the visited cells; a query makes one table of its distances to all
+        centroids of all subspaces, and a code's distance is the sum of the entries it names."""
+        m, c, w = books.shape
+        q = _side(queries, qkey, qvec, "l", [])
+        codes = pq_encode(self.rows.withColumn("vec", F.col("vr")).select(F.struct("__cell", "r").alias("__k"), "vec"), "__k", "vec", books).select("__k.*", "codes")
+        schema = T.StructType([q.schema["l"], self.rows.schema["r"], T.StructField("dist", T.DoubleType())])
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            kinds = to_arrow_schema(schema)
+            if not len(a) or not len(b):
+                return kinds.empty_table()
+            x = _matrix(a.column("vl")).reshape(len(a), m, w)
+            at = _matrix(b.column("codes")).astype(np.int64)
+            kr = b.column("r").to_numpy()
+            out = []
+            for i in range(0, len(x), 200):
+                p = x[i : i + 200]
+                d = np.zeros((len(p), len(at)))
+                for j in range(m):
+                    table = ((p[:, j, None, :] - books[j][None]) ** 2).sum(2)
+                    d += table[:, at[:, j]]
+                top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                out.append((np.repeat(np.arange(len(p)), top.shape[1]) + i, top.ravel(), np.sqrt(np.take_along_axis(d, top, 1)).ravel()))
+            rows, cols, d = (np.concatenate(z) for z in zip(*out))
+            return pa.table([a.column("l").take(pa.array(rows)), pa.array(kr[cols]), pa.array(d)], names=schema.names).cast(kinds)
+
+        return _best(self._meet(q, codes, probes).applyInArrow(run, schema), k)
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy("dist", "r"))).filter(F.col("rank") <= k)
 
 
-def pq_train(df: DataFrame, vec: str, dim: int, m: int, centroids: int, sample_rows: int = 50_000, iterations: int = 15, seed: int = 72) -> np.ndarray:
-    """Codebooks (m, centroids, dim / m) of a product quantiser, fitted on at most ``sample_rows`` rows chosen by hash."""
+def _centroids(df: DataFrame, vec: str, k: int, seed: int, iterations: int = 15) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    x = df.select(array_to_vector(F.col(vec)).alias("features"))
+    return np.array(KMeans(k=k, maxIter=iterations, seed=seed).fit(x).clusterCenters())
+
+
+def pq_train(df: DataFrame, vec: str, dim: int, m: int, centroids: int, sample_rows: int = 50_000, iterations: int = 15, seed: int = 72) -> np.ndarray:
+    """Codebooks (m, centroids, dim / m) of a product quantiser, fitted on at most ``sample_rows`` rows chosen by hash."""
     n = df.count()
     part = max(1, n // sample_rows)
     some = df.filter(F.pmod(F.xxhash64(vec), F.lit(part)) == 0).select(F.col(vec).cast("array<double>").alias("v"))
     w = dim // m
     books = []
     for i in range(m):
-        x = some.select(array_to_vector(F.slice("v", i * w + 1, w)).alias("features"))
-        c = KMeans(k=centroids, maxIter=iterations, seed=seed + i).fit(x).clusterCenters()
+        c = _centroids(some.select(F.slice("v", i * w + 1, w).alias("x")), "x", centroids, seed + i, iterations)
         books.append(np.array([*c, *[c[-1]] * (centroids - len(c))]))
     return np.array(books)
 
@@ -137,21 +265,6 @@ def pq_encode(df: DataFrame, key: str, vec: str, books: np.ndarray) -> DataFrame
     return df.select(key, F.col(vec).cast("array<double>").alias("v")).mapInArrow(run, T.StructType([kind, T.StructField("codes", T.ArrayType(T.IntegerType()))]))
 
 
-def pq_nearest(queries: DataFrame, qkey: str, qvec: str, codes: DataFrame, ckey: str, books: np.ndarray, k: int) -> DataFrame:
-    """(l, r, dist, rank): nearest codes by the sum of the subspace distances to their centroids."""
-    m, c, w = books.shape
-
-    def run(batches):
-        for b in batches:
-            at = _matrix(b.column(1)).astype(int).reshape(b.num_rows, m) if b.num_rows else np.zeros((0, m), int)
-            v = books[np.arange(m), at].reshape(-1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(v), m * w).cast(pa.list_(pa.float64()))], ["r", "v"])
-
-    kind = T.StructField("r", codes.schema[ckey].dataType)
-    decode = codes.select(F.col(ckey).alias("r"), "codes").mapInArrow(run, T.StructType([kind, T.StructField("v", T.ArrayType(T.DoubleType()))]))
-    return nearest(queries, qkey, qvec, decode, "r", "v", k)
-
-
 def rerank(short: DataFrame, queries: DataFrame, qkey: str, qvec: str, anchors: DataFrame, akey: str, avec: str, k: int) -> DataFrame:
     """(l, r, dist, rank): the k nearest of each query's shortlist (l, r) by the exact distance."""
     x = short.select("l", "r").join(_side(queries, qkey, qvec, "l", []), "l").join(_side(anchors, akey, avec, "r", []), "r")
@@ -168,7 +281,7 @@ def positive_pairs(edges: DataFrame, nodes: DataFrame, key: str, label: str, ste
     n = nodes.select(key, label, step, era)
     a = n.select(F.col(key).alias("src"), F.col(label).alias("la"), F.col(step).alias("ta"), F.col(era).alias("ea"))
     b = n.select(F.col(key).alias("dst"), F.col(label).alias("lb"), F.col(step).alias("tb"), F.col(era).alias("eb"))
-    return edges.join(a, "src").join(b, "dst").filter((F.col("la") == F.col("lb")) & (F.col("ea") == F.col("eb")) & (F.abs(F.col("ta") - F.col("tb")) <= eps)).select("src", "dst")
+    return skew_join(edges, a, "src", hot_keys(edges, "src")).join(b, "dst").filter((F.col("la") == F.col("lb")) & (F.col("ea") == F.col("eb")) & (F.abs(F.col("ta") - F.col("tb")) <= eps)).select("src", "dst")
 
 
 def hard_negatives(nodes: DataFrame, key: str, label: str, step: str, era: str, eps: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerweave.ml import models
 from ledgerweave.operators import graphs, losses, vectors
@@ -50,7 +51,7 @@ def r109_retrieval_frames(spark, sf_dir):
     bad = vectors.nearest(pca, "vec_id", "pca", pca.filter("label = 1 and step <= 30"), "vec_id", "pca", 10, exclude_self=True)
     good = vectors.nearest(pca, "vec_id", "pca", pca.filter("label != 1 and step <= 30"), "vec_id", "pca", 10, exclude_self=True)
     both = bad.withColumn("bad", F.lit(1)).unionByName(good.withColumn("bad", F.lit(0)))
-    w = F.row_number().over(graphs.W.partitionBy("l").orderBy("dist", "r"))
+    w = F.row_number().over(W.partitionBy("l").orderBy("dist", "r"))
     return both.withColumn("k", w).filter("k <= 10").groupBy(F.col("l").alias("vec_id")).agg(F.avg("bad").alias("frac_bad"), F.min("dist").alias("d_min"), F.avg("dist").alias("d_mean"))
 
 
@@ -68,11 +69,7 @@ def r119_nt_xent(spark, sf_dir):
 
 @query(f"""WITH d AS (SELECT a.label la, b.label lb, list_distance(a.vec, b.vec) d FROM {VEC} a JOIN {VEC} b ON a.step = b.step AND a.vec_id < b.vec_id) SELECT round((SELECT avg(greatest(0, d - 0.5)) FROM d WHERE la = lb) + (SELECT avg(greatest(0, 1.5 - d)) FROM d WHERE la <> lb), 6) loss""")
 def r120_anchor_loss(spark, sf_dir):
-    v = _vec(spark, sf_dir)
-    lab = v.select("vec_id", "label")
-    d = vectors.within(v, "vec_id", "vec", v, "vec_id", "vec", 1e9, by=["step"]).filter("l < r")
-    d = d.join(lab.toDF("l", "la"), "l").join(lab.toDF("r", "lb"), "r")
-    return losses.anchor_loss(d.filter("la = lb"), d.filter("la != lb"), 0.5, 1.5).select(F.round("loss", 6).alias("loss"))
+    return losses.anchor_loss(_vec(spark, sf_dir), "vec_id", "vec", "label", "step", 0.5, 1.5).select(F.round("loss", 6).alias("loss"))
 
 
 @query(f"""WITH u AS (SELECT vec_id, label, vec, sqrt(list_dot_product(vec, vec)) n FROM {VEC}), a AS (SELECT * FROM u WHERE vec_id % 2 = 0), b AS (SELECT * FROM u WHERE vec_id % 2 = 1),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerweave.operators import curves, density, fusion, graphs, matrix, stats, vectors
+from ledgerweave.plans.ordered import quantiles, running_totals
 from ledgerweave.queries.risk import DEGREES, EDGES, SCORED, STEPS, VEC, _edges, _events, _vec, scored
 from ledgerweave.sources.tables import table
 
@@ -89,19 +90,24 @@ def r084_silhouette(spark, sf_dir):
     return density.silhouette(_vec(spark, sf_dir), "vec_id", "vec", "label").select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@query()
+_GRID = "(SELECT row_number() OVER (ORDER BY m, q) - 1 setting, m, q FROM (SELECT unnest([3, 5, 10, 20, 30, 40, 50]) m), (SELECT unnest([0.80, 0.85, 0.90, 0.95, 0.98]) q) WHERE m <= (SELECT count(*) // 2 FROM embeddings))"
+
+
+@query(f"""WITH RECURSIVE d AS MATERIALIZED (SELECT a.vec_id l, b.vec_id r, list_distance(a.vec, b.vec) dist FROM {VEC} a, {VEC} b), k AS MATERIALIZED (SELECT l, dist, row_number() OVER (PARTITION BY l ORDER BY dist) k FROM d),
+s AS MATERIALIZED (SELECT setting, m, q, (SELECT list_sort(list(dist))[ceil(q * count(*) - 1e-9)::BIGINT] FROM k WHERE k.k = g.m) eps FROM {_GRID} g),
+n AS MATERIALIZED (SELECT setting, m, l, r FROM d JOIN s ON dist <= eps + 1e-12), core AS MATERIALIZED (SELECT setting, l FROM n GROUP BY setting, m, l HAVING count(*) >= m),
+e AS MATERIALIZED (SELECT n.setting, n.l a, n.r b FROM n JOIN core x ON x.setting = n.setting AND x.l = n.l JOIN core y ON y.setting = n.setting AND y.l = n.r),
+t(setting, v, u) AS (SELECT setting, l, l FROM core UNION SELECT t.setting, e.b, t.u FROM t JOIN e ON e.setting = t.setting AND e.a = t.v WHERE t.u < e.b), c AS MATERIALIZED (SELECT setting, v, min(u) c FROM t GROUP BY setting, v),
+b AS (SELECT n.setting, n.l, min(c.c) b FROM n JOIN c ON c.setting = n.setting AND c.v = n.r GROUP BY n.setting, n.l),
+f AS MATERIALIZED (SELECT s.setting, v.label y, coalesce(c.c, b.b, -1) c FROM s JOIN embeddings v ON true LEFT JOIN c ON c.setting = s.setting AND c.v = v.vec_id LEFT JOIN b ON b.setting = s.setting AND b.l = v.vec_id),
+tp AS (SELECT setting, sum(n * (n - 1) // 2) tp FROM (SELECT setting, count(*) n FROM f WHERE c <> -1 GROUP BY setting, y, c) GROUP BY setting), cl AS (SELECT setting, sum(n * (n - 1) // 2) called, count(*) k FROM (SELECT setting, count(*) n FROM f WHERE c <> -1 GROUP BY setting, c) GROUP BY setting),
+sm AS (SELECT setting, sum(n * (n - 1) // 2) same FROM (SELECT setting, count(*) n FROM f GROUP BY setting, y) GROUP BY setting), no AS (SELECT setting, avg((c = -1)::INTEGER) noise FROM f GROUP BY setting),
+x AS (SELECT s.setting::INTEGER setting, m min_pts, q, round(eps, 6) eps, coalesce(tp, 0)::BIGINT tp, (coalesce(called, 0) - coalesce(tp, 0))::BIGINT fp, (same - coalesce(tp, 0))::BIGINT fn, coalesce(k, 0) n_clusters, round(noise, 9) noise FROM s JOIN sm USING (setting) JOIN no USING (setting) LEFT JOIN tp USING (setting) LEFT JOIN cl USING (setting))
+SELECT setting, min_pts::INTEGER min_pts, q::DOUBLE q, eps, tp, fp, fn, (fp + 2.0 * fn)::DOUBLE AS cost, n_clusters, noise, setting = (SELECT arg_min(setting, (fp + 2.0 * fn, setting)) FROM x) chosen FROM x""")
 def r096b_choose_parameters(spark, sf_dir):
-    """Pair costs of density clustering over a grid, against the labels; the first least cost wins."""
-    v = _vec(spark, sf_dir)
-    out = None
-    for min_pts in (3, 5):
-        k = density.k_distance(v, "vec_id", "vec", min_pts)
-        for q in (0.5, 0.9):
-            eps = k.agg(F.expr(f"percentile_disc({q}) within group (order by dist)")).first()[0]
-            c = density.dbscan(v, "vec_id", "vec", float(eps), min_pts).join(v.select("vec_id", "label"), "vec_id")
-            x = fusion.pair_counts(c, "label", "cluster").select(F.lit(min_pts).alias("min_pts"), F.lit(q).alias("q"), "tp", "fp", "fn", (F.col("fp") + 2 * F.col("fn")).alias("cost"))
-            out = x if out is None else out.unionByName(x)
-    return out
+    """Pair costs of density clustering over the whole grid, against the labels; the first least cost is chosen."""
+    x = density.choose_parameters(_vec(spark, sf_dir), "vec_id", "vec", "label", 1.0, 2.0)
+    return x.withColumn("eps", F.round("eps", 6)).withColumn("noise", F.round("noise", 9))
 
 
 @query(f"""WITH u AS (SELECT src a, dst b FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), d AS (SELECT a node, count(*) degree FROM u GROUP BY a), s AS (SELECT time_step t, count(*) n FROM elliptic_txs_features GROUP BY time_step), f AS (SELECT txId, min(time_step) t FROM elliptic_txs_features GROUP BY txId)
@@ -137,14 +143,17 @@ def r108_with_fallback(spark, sf_dir):
     return vectors.nearest(v, "vec_id", "vec", pool, "vec_id", "vec", 3).select(F.col("l").alias("q"), F.col("r").alias("anchor"), F.round("dist", 6).alias("dist"))
 
 
-@query()
+_U = "((((({0}) * 7919 + 2232) % 1000003) * (((({0}) * 7919 + 2232) % 1000003) + 1) + 12345) % 1000003)"
+
+
+@query(f"""WITH d AS (SELECT node, pow(in_degree + out_degree, -0.75) w FROM {DEGREES}), c AS (SELECT node, sum(w) OVER (ORDER BY node) / (SELECT sum(w) FROM d) hi, w / (SELECT sum(w) FROM d) p FROM d),
+u AS (SELECT draw, list_transform([{_U.format('draw % 1000003')}], lambda x: ((x * x + x + 54321) % 1000003))[1] x FROM range(2000) t(draw)), v AS (SELECT draw, ((x * x + x + 777) % 1000003) / 1000003.0::DOUBLE u FROM u)
+SELECT draw, c.node FROM v ASOF JOIN c ON v.u < c.hi""")
 def r116_sample_negatives(spark, sf_dir):
     """Draws with replacement in proportion to degree ** -0.75: hashed uniforms looked up among cumulated weights, cell by cell."""
-    from ledgerweave.plans.ordered import running_totals
-
-    d = vectors.sampling_probabilities(graphs.degrees(_edges(spark, sf_dir)), "total_degree", 0.75).select("node", "p", F.col("node").cast("double").alias("x"))
-    hi = running_totals(d, "x", ["p"]).select("node", (F.col("cum_p") - F.col("p")).alias("lo"), F.col("cum_p").alias("hi"))
-    draws = spark.range(2000).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(72)), F.lit(1 << 40)) / float(1 << 40)).alias("u")).withColumn("cell", F.floor(F.col("u") * 256).cast("int"))
+    d = vectors.sampling_probabilities(graphs.degrees(_edges(spark, sf_dir)), "total_degree", 0.75).select("node", "p")
+    hi = running_totals(d, "node", ["p"]).select("node", (F.col("cum_p") - F.col("p")).alias("lo"), F.col("cum_p").alias("hi"))
+    draws = spark.range(2000).select(F.col("id").alias("draw"), matrix.hashed_unit(F.col("id"), F.lit(0), 72).alias("u")).withColumn("cell", F.floor(F.col("u") * 256).cast("int"))
     cells = hi.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * 256).cast("int"), F.floor(F.col("hi") * 256).cast("int"))))
     return draws.join(cells, "cell").filter("u >= lo and u < hi").select("draw", "node")
 
@@ -182,8 +191,8 @@ def r151_sensitivity_block(spark, sf_dir):
 @query(f"WITH q AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) e FROM {SCORED}) SELECT len(list_filter(e, lambda x: x < score))::INTEGER AS bin, count(*) n, round(avg(y), 9) rate FROM {SCORED}, q GROUP BY 1")
 def r156_decile_reliability(spark, sf_dir):
     s = scored(spark, sf_dir)
-    q = s.agg(F.expr("percentile(score, array(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))").alias("e"))
-    return s.join(F.broadcast(q)).groupBy(F.size(F.filter("e", lambda x: x < F.col("score"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 9).alias("rate"))
+    e = F.array(*[F.lit(x) for x in quantiles(s, "score", [i / 10 for i in range(1, 10)])])
+    return s.groupBy(F.size(F.filter(e, lambda x: x < F.col("score"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 9).alias("rate"))
 
 
 @query("""WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) d FROM events), s AS (SELECT user_id, avg(d / 1e6) m, stddev_pop(d / 1e6) s FROM g WHERE d IS NOT NULL GROUP BY user_id)

@@ -504,24 +504,24 @@ def r107_nearest_by_era(spark, sf_dir):
     return x.select("era", F.col("l").alias("q"), F.col("r").alias("anchor"), F.round("dist", 6).alias("dist"))
 
 
-@query()
-def r104_lsh_recall(spark, sf_dir):
-    v = _vec(spark, sf_dir)
-    approx = vectors.lsh_nearest(v, "vec_id", v, "vec_id", "vec", 10)
-    exact = vectors.nearest(v, "vec_id", "vec", v, "vec_id", "vec", 10)
-    return vectors.recall_at(approx, exact, 10)
+#: Cells visited of the index, and codes compared again by their exact vectors for the 10 nearest.
+PROBES, PQ_SHORTLIST = 32, 100
 
 
-#: Codes compared again by their exact vectors, for the 10 nearest.
-PQ_SHORTLIST = 100
+@query()
+def r104_index_recall(spark, sf_dir):
+    """Recall at 10 of the cell index, every row being a query."""
+    v = _vec(spark, sf_dir)
+    approx = vectors.CellIndex(v, "vec_id", "vec").nearest(v, "vec_id", "vec", 10, PROBES)
+    return vectors.recall_at(approx, vectors.nearest(v, "vec_id", "vec", v, "vec_id", "vec", 10), 10)
 
 
 @query()
 def r111_pq_recall(spark, sf_dir):
+    """Recall at 10 of codes looked up in the cell index, the shortlist ranked again by exact distance."""
     v = _vec(spark, sf_dir)
     books = vectors.pq_train(v, "vec", 64, 16, 256)
-    codes = vectors.pq_encode(v, "vec_id", "vec", books)
-    short = vectors.pq_nearest(v, "vec_id", "vec", codes, "vec_id", books, PQ_SHORTLIST)
+    short = vectors.CellIndex(v, "vec_id", "vec").coded_nearest(v, "vec_id", "vec", books, PQ_SHORTLIST, PROBES)
     return vectors.recall_at(vectors.rerank(short, v, "vec_id", "vec", v, "vec_id", "vec", 10), vectors.nearest(v, "vec_id", "vec", v, "vec_id", "vec", 10), 10)
 
 
@@ -550,8 +550,7 @@ def r115_sampling_probabilities(spark, sf_dir):
 @query(f"WITH a AS (SELECT vec FROM {VEC} WHERE label = 0), d AS (SELECT v.step, list_distance(v.vec, a.vec) d FROM {VEC} v, a) SELECT step, round(median(d), 6) median_distance FROM d GROUP BY step")
 def r069_median_distance(spark, sf_dir):
     v = _vec(spark, sf_dir)
-    d = vectors.within(v, "vec_id", "vec", v.filter("label = 0"), "vec_id", "vec", 1e9)
-    return d.join(v.select(F.col("vec_id").alias("l"), "step"), "l").groupBy("step").agg(F.round(F.expr("percentile(dist, 0.5)"), 6).alias("median_distance"))
+    return density.median_distances(v, "vec_id", "vec", "step", v.filter("label = 0"), "vec_id", "vec").select("step", F.round("median", 6).alias("median_distance"))
 
 
 # density and fusion

@@ -81,6 +81,14 @@ def test_running_totals_and_ranks(spark):
     assert {r.id: r["rank"] for r in ordinal_rank(df, "x", "id", 32).collect()} == {r.id: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r.x, r.id)))}
 
 
+def test_running_totals_by_group(spark):
+    rng = random.Random(6)
+    rows = [(None if rng.random() < 0.1 else rng.choice("aab"), i, rng.randint(0, 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, x int, n long")
+    got = {(r.g, r.x): r.cum_n for r in running_totals(df, "x", ["n"], descending=True, cells=11, by=["g"]).collect()}
+    assert got == {(g, x): sum(m for h, y, m in rows if h == g and y >= x) for g, x, _ in rows}
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([(float(i), i >= 50) for i in range(100)], "v double, post boolean").withColumn("f", F.lit("x"))
     assert one(stats.ks_two_sample(d, "v", "post", ["f"]).select("ks_D")) == 1.0
@@ -198,10 +206,35 @@ def test_vectors(spark):
     assert [tuple(r) for r in h.collect()] == [(1, 2)]
 
 
-def test_product_quantiser_recall(spark, sf):
+def test_index_recall(spark, sf):
     from ledgerweave.queries import risk
 
-    assert one(risk.QUERIES["r111_pq_recall"](spark, sf)) >= 0.9
+    assert one(risk.QUERIES["r111_pq_recall"](spark, sf)) >= 0.9 and one(risk.QUERIES["r104_index_recall"](spark, sf)) >= 0.9
+    v = risk._vec(spark, sf)
+    index = vectors.CellIndex(v, "vec_id", "vec", cells=20, part_rows=15)  # crowded cells are cut into blocks
+    assert max(index.blocks) > 1
+    near = vectors.nearest(v, "vec_id", "vec", v, "vec_id", "vec", 5)
+    whole = index.nearest(v, "vec_id", "vec", 5, 20)
+    assert one(vectors.recall_at(whole, near, 5)) == 1.0 and whole.count() == near.count()
+    assert one(vectors.recall_at(index.nearest(v, "vec_id", "vec", 5, 10), near, 5)) >= 0.9
+    assert vectors.CellIndex(v.limit(0), "vec_id", "vec").nearest(v, "vec_id", "vec", 5, 3).count() == 0
+
+
+def test_quantiles_and_order_statistics(spark):
+    from ledgerweave.plans.ordered import order_statistics, quantiles
+
+    rng = random.Random(4)
+    x = [rng.choice([rng.gauss(0, 1), 0.5]) for _ in range(999)]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(x)] + [(None, 0)], "x double, g int")
+    want = np.quantile(x, [0, 0.1, 0.5, 0.95, 1]).tolist()
+    assert quantiles(df, "x", [0, 0.1, 0.5, 0.95, 1], cells=9) == pytest.approx(want, abs=1e-12)
+    assert quantiles(df, "x", [0.25], discrete=True, cells=5) == [sorted(x)[math.ceil(0.25 * 999) - 1]]
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]
+    got = {(r.g, r["rank"]): r.value for r in order_statistics(df, "x", [1, 250, 5000], by=["g"], cells=7).collect()}
+    assert got == {(g, k): sorted(x[g::2])[k - 1] for g in (0, 1) for k in (1, 250)}
+
+
+def test_rerank(spark):
     v = spark.createDataFrame([(1, [0.0]), (2, [3.0]), (3, [1.0]), (4, [9.0])], "k int, v array<double>")
     short = spark.createDataFrame([(1, 4), (1, 2), (1, 3)], "l int, r int")
     assert [(r.l, r.r, r.dist, r["rank"]) for r in vectors.rerank(short, v, "k", "v", v, "k", "v", 2).orderBy("rank").collect()] == [(1, 3, 1.0, 1), (1, 2, 3.0, 2)]
