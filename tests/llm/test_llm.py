@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.groups import hash_to_min
 from ledgerweave.llm.leaks import Strings, find_leaks, words_of
 from ledgerweave.llm.neighbours import DIMS, MARGIN, Cells, chi2_quantile, projection, round_rows, search_cell, similar_pairs, slack, unit_rows
-from ledgerweave.llm.stuffed import find_stuffed, stuffed_share
+from ledgerweave.llm.stuffed import LABELS, PRIOR_CHAIN, Chain, find_stuffed, stuffed_share
 from ledgerweave.llm.tokens import TOKENIZER_DIR, Prefixes, Vocabulary, encode_texts, read_ranks
 
 
@@ -270,6 +270,27 @@ def test_prose_and_records_are_not(text):
     assert stuffed_share(text) <= 0.5
 
 
+def test_baum_welch_raises_the_likelihood_and_finds_the_model():
+    rng = np.random.default_rng(3)
+    true = Chain(np.array([0.6, 0.1, 0.1, 0.1, 0.1]), 0.9 * np.eye(5) + 0.02 * np.ones((5, 5)), PRIOR_CHAIN.emit**2 / (PRIOR_CHAIN.emit**2).sum(1, keepdims=True))
+    texts, labels = [], []
+    for _ in range(150):
+        s = rng.choice(5, p=true.start)
+        signs, own = [], []
+        for _ in range(40):
+            own.append(int(s))
+            signs.append(int(rng.choice(10, p=true.emit[s])))
+            s = rng.choice(5, p=true.move[s] / true.move[s].sum())
+        texts.append(signs)
+        labels.append(own)
+    score = lambda m: sum(np.log(m._forward(t)[1]).sum() for t in texts)
+    models = [PRIOR_CHAIN.fitted(texts, weight=1.0, rounds=k) for k in (0, 1, 3, 6)]
+    assert all(score(a) < score(b) for a, b in zip(models, models[1:]))
+    assert np.abs(models[-1].emit - true.emit).max() < 0.12
+    right = np.mean([a == b for t, own in zip(texts, labels) for a, b in zip(models[-1].label(t), own)])
+    assert right > 0.9 and PRIOR_CHAIN.fitted([]) is PRIOR_CHAIN and len(LABELS) == 5
+
+
 def test_stuffed_table(spark):
     df = spark.createDataFrame([*enumerate(SPAM + FINE), (0, SPAM[0]), (None, SPAM[0]), (77, "gift card, " * 60_000)], "doc_id long, text string").withColumn("words", F.lit(1))
     assert sorted(r.doc_id for r in find_stuffed(df, "doc_id", "text").collect()) == [*range(len(SPAM)), 77]
