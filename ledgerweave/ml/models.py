@@ -6,8 +6,6 @@ Models are fitted distributed; only their parameters reach the driver.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
@@ -87,7 +85,6 @@ class Isotonic:
 
     def __init__(self, df: DataFrame, p: str = "score", y: str = "y"):
         self.model = IsotonicRegression(featuresCol="__p", labelCol="__y").fit(df.select(F.col(p).alias("__p"), F.col(y).cast("double").alias("__y")))
-        self.at, self.to = self.model.boundaries.toArray().tolist(), self.model.predictions.toArray().tolist()
 
     def transform(self, df: DataFrame, p: str = "score", out: str = "calibrated") -> DataFrame:
         return self.model.transform(df.withColumn("__p", F.col(p))).withColumn(out, clip(F.col("prediction"))).drop("__p", "prediction")
@@ -234,6 +231,3 @@ def blend(parts: list[tuple[float, str]]) -> Column:
     for w, c in parts:
         out = out + w * F.col(c)
     return out
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["math"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_clusters(clusters: DataFrame, path: str) -> None:
@@ -11,7 +13,8 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Metrics as JSON lines, in as many files as the table has partitions."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -23,10 +26,17 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
-def create_iceberg(spark, name: str, columns: str) -> bool:
-    """Create an Iceberg table where the session has the catalog; false where it has not."""
+def create_iceberg(spark: SparkSession, name: str, columns: str) -> bool:
+    """Create an Iceberg table; false, and nothing else, where the session has no such format.  Any other fault is an error."""
     try:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING iceberg")
-    except Exception:  # noqa: BLE001 - the connector's jar may be absent
-        return False
+    except (PySparkException, Py4JJavaError) as e:
+        if "DATA_SOURCE_NOT_FOUND" in str(e):
+            return False
+        raise
     return True
+
+
+def write_model(model, path: str) -> None:
+    """A fitted model of the ml package, in its own format."""
+    model.write().overwrite().save(path)

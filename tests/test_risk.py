@@ -395,3 +395,72 @@ def test_comention_of_a_crowded_article(spark):
     m = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 0), (2, 1), (None, 3)], "x int, e int")
     got = {(r.a, r.b): r.weight for r in graphs.comention(m, "x", "e", salts=4).collect()}
     assert len(got) == 60 * 59 // 2 and got[0, 1] == 2 and got[3, 9] == 1
+
+
+def test_sinks(spark, tmp_path):
+    from pyspark.errors import AnalysisException, ParseException
+
+    from ledgerweave.sources import sinks
+
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (2, "c")], "cluster_id long, node string")
+    rows = sorted(map(tuple, df.collect()))
+    sinks.write_clusters(df, str(tmp_path / "c"))
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    sinks.write_metrics(df, str(tmp_path / "m"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "c")).collect())) == rows
+    assert sorted(map(tuple, spark.read.schema(df.schema).option("header", True).csv(str(tmp_path / "csv")).collect())) == rows
+    assert sorted((r.cluster_id, r.node) for r in spark.read.json(str(tmp_path / "m")).collect()) == rows
+    assert sinks.create_iceberg(spark, "lw_test_iceberg", "a int") is False
+    with pytest.raises((AnalysisException, ParseException)):
+        sinks.create_iceberg(spark, "lw_test_iceberg", "a nonsense_type_x")
+
+
+def test_staged_tables_are_cleared(spark, sf, monkeypatch):
+    from pathlib import Path
+
+    from ledgerweave.plans import staging
+    from ledgerweave.queries import registry
+
+    roots = []
+    make = staging.Stage.__init__
+    monkeypatch.setattr(staging.Stage, "__init__", lambda self, s: (make(self, s), roots.append(self.root))[0])
+    for name in ("p1_found", "p5_found", "p6_found", "r051_select_tau", "r094_components"):
+        with staging.clearing(spark):
+            registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
+            assert any(Path(r.removeprefix("file:")).exists() for r in roots)
+        assert roots and not any(Path(r.removeprefix("file:")).exists() for r in roots)
+
+
+def test_candidates_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    z, w = rng.standard_normal(n), rng.standard_normal(n)
+    x = z + 0.5 * rng.standard_normal(n)
+    y = 0.8 * x + z + rng.standard_normal(n)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(y, x, z, w))], "id long, y double, x double, z double, w double")
+    got = {(r.name, r.edge): r for r in stats.evaluate_candidates(df, "y", ["x"], ["z", "w"], {"none": [], "z": ["z"]}, F.col("id"), replicates=30).collect()}
+    assert abs(got["none", "x"].r - np.corrcoef(x, y)[0, 1]) < 1e-9
+    a, b = (v - np.polyval(np.polyfit(z, v, 1), z) for v in (x, y))
+    assert abs(got["z", "x"].r - np.corrcoef(a, b)[0, 1]) < 1e-9
+    assert not got["z", "x"].rejected and got["none", "z"].rejected and not got["z", "w"].rejected and ("z", "z") not in got
+    assert got["z", "x"].p_low <= got["z", "x"].p_high < 0.05 and {k for _, k in got} == {"x", "z", "w", "placebo"}
+
+
+def test_merkle_folds_and_chains(spark):
+    n = 37
+    leaves = spark.createDataFrame([(i, f"leaf{i}") for i in range(n)], "p int, t string")
+    level = [hashlib.sha256(f"leaf{i}".encode()).digest() for i in range(n)]
+    while len(level) > 1:
+        level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+    for fold in (1, 2, 3, 10):
+        assert one(evidence.merkle_root(leaves, "p", "t", fold)) == level[0].hex()
+    proof = [(r.sibling, r.left) for r in evidence.merkle_proof(leaves, "p", "t", 36, 2).orderBy("level").collect()]
+    assert evidence.verify_proof(b"leaf36", proof, level[0].hex())
+    assert evidence.merkle_root(leaves.limit(0), "p", "t").first().root is None
+    rows = [("a", i, None if i == 3 else f"x{i}") for i in range(50)] + [("b", 1, "y"), (None, 1, "z")]
+    got = {(r.s, r.o): r.chain for r in evidence.chained(spark.createDataFrame(rows, "s string, o int, p string"), "s", "o", "p").collect()}
+    for s in ("a", "b", None):
+        h = "genesis"
+        for _, o, p in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            h = hashlib.sha256(f"{h}|{p or ''}".encode()).hexdigest()
+            assert got[s, o] == h
