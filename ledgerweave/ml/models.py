@@ -1,4 +1,4 @@
-"""Classifiers, projections, calibration and path explanations on Spark ML.
+"""Classifiers, projections, calibration and Shapley explanations on Spark ML.
 
 Training frames have ``features`` (array of doubles) and ``y`` (0 or 1).  Rows with a null feature get 0 there, NaN too.
 Models are fitted distributed; only their parameters reach the driver.
@@ -6,6 +6,8 @@ Models are fitted distributed; only their parameters reach the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
@@ -117,8 +119,8 @@ def calibrate(df: DataFrame, key: str, p: str = "score", y: str = "y", replicate
     return iso if hi is not None and hi < 0 else beta
 
 
-def tree_paths(model) -> list[tuple[float, list]]:
-    """(weight, nodes) of each tree, nodes as (feature, threshold, left, right, value) in preorder."""
+def tree_nodes(model) -> list[tuple[float, list]]:
+    """(weight, nodes) of each tree, nodes as (feature, threshold, left, right, value, rows) in preorder; rows were seen in training."""
     out = []
     for tree, weight in zip(model.trees, model.treeWeights):
         nodes: list = []
@@ -126,13 +128,13 @@ def tree_paths(model) -> list[tuple[float, list]]:
         def walk(n) -> int:
             at = len(nodes)
             nodes.append(None)
-            value = float(n.prediction())
+            value, rows = float(n.prediction()), float(n.impurityStats().count())
             if n.subtreeDepth() > 0:
                 split = n.split()
                 left, right = walk(n.leftChild()), walk(n.rightChild())
-                nodes[at] = (int(split.featureIndex()), float(split.threshold()), left, right, value)
+                nodes[at] = (int(split.featureIndex()), float(split.threshold()), left, right, value, rows)
             else:
-                nodes[at] = (-1, 0.0, -1, -1, value)
+                nodes[at] = (-1, 0.0, -1, -1, value, rows)
             return at
 
         walk(tree._call_java("rootNode"))
@@ -140,37 +142,67 @@ def tree_paths(model) -> list[tuple[float, list]]:
     return out
 
 
-def path_contributions(model, df: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """(key, contributions): change of the trees' value along each row's paths, by feature.
+def leaf_games(trees: list[tuple[float, list]]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """(value, players) of every leaf: a player is a feature of its path, with the interval the path asks of it and the share of
+    the training rows that go the leaf's way where the feature is not known."""
+    out = []
+    for weight, nodes in trees:
+        def walk(at: int, players: dict[int, tuple[float, float, float]]) -> None:
+            f, t, left, right, value, rows = nodes[at]
+            if f < 0:
+                out.append((weight * value, [(j, *p) for j, p in players.items()]))
+                return
+            lo, hi, share = players.get(f, (-np.inf, np.inf, 1.0))
+            for child, a, b in ((left, lo, min(hi, t)), (right, max(lo, t), hi)):
+                walk(child, players | {f: (a, b, share * nodes[child][5] / rows)})
+
+        walk(0, {})
+    return out
+
+
+def shapley_values(games: list, x: np.ndarray) -> np.ndarray:
+    """Shapley values of each row and feature: exact, leaf by leaf.
+
+    In a leaf's game a coalition earns the leaf's value times, for each player, whether the row goes the leaf's way (a member)
+    or the share of training rows that do (no member).  The sums over coalitions of one size are coefficients of a product of
+    linear terms, so a leaf costs the square of its depth.
+    """
+    out = np.zeros_like(x)
+    for value, players in games:
+        d = len(players)
+        if not d:
+            continue
+        goes = [((x[:, j] > lo) & (x[:, j] <= hi)).astype(float) for j, lo, hi, _ in players]
+        share = [p[3] for p in players]
+        size = [1.0 / (d * math.comb(d - 1, k)) for k in range(d)]
+        for i, (j, *_) in enumerate(players):
+            terms = np.zeros((d, len(x)))  # coalitions of the others, by size
+            terms[0] = 1.0
+            for o in range(d):
+                if o != i:
+                    terms[1:] = terms[1:] * share[o] + terms[:-1] * goes[o]
+                    terms[0] *= share[o]
+            out[:, j] += value * (goes[i] - share[i]) * sum(s * t for s, t in zip(size, terms))
+    return out
+
+
+def contributions(model, df: DataFrame, key: str, features: str = "features") -> DataFrame:
+    """(key, contributions): Shapley values of the trees' sum for each row, by feature.
 
-    The trees, of a size fixed in training, go with the function; rows are explained batch by batch.
+    The leaves, of a number fixed in training, go with the function; rows are explained batch by batch.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    trees = tree_paths(model)
+    games = leaf_games(tree_nodes(model))
     kind = df.schema[key]
 
     def run(batches):
         for b in batches:
             n = b.num_rows
-            if not n:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            out = np.zeros_like(x)
-            rows = np.arange(n)
-            for weight, nodes in trees:
-                at = np.zeros(n, dtype=int)
-                f, t, left, right, value = (np.array(c) for c in zip(*nodes))
-                while True:
-                    go = f[at] >= 0
-                    if not go.any():
-                        break
-                    r, a = rows[go], at[go]
-                    new = np.where(x[r, f[a]] <= t[a], left[a], right[a])
-                    np.add.at(out, (r, f[a]), weight * (value[new] - value[a]))
-                    at[go] = new
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), type=pa.list_(pa.float64()))], [kind.name, "contributions"])
+            if n:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(shapley_values(games, x)), type=pa.list_(pa.float64()))], [kind.name, "contributions"])
 
     clean = F.transform(F.col(features).cast("array<double>"), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
     return df.select(key, clean.alias("f")).mapInArrow(run, T.StructType([kind, T.StructField("contributions", T.ArrayType(T.DoubleType()))]))
@@ -210,7 +242,7 @@ class RiskPipeline:
         """Adds ``calibrated``, ``alert`` and ``contributions`` (the ten largest, by name)."""
         from ledgerweave.operators.evidence import top_contributions
 
-        why = path_contributions(self.model, df, self.key).withColumn("contributions", top_contributions(F.col("contributions"), self.names))
+        why = contributions(self.model, df, self.key).withColumn("contributions", top_contributions(F.col("contributions"), self.names))
         return self.predict_proba(df).withColumn("alert", F.col("calibrated") >= self.tau).join(why, self.key)
 
     def evaluate(self, df: DataFrame) -> DataFrame:

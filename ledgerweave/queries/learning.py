@@ -124,9 +124,9 @@ def r129_calibrate(spark, sf_dir):
 
 
 @query()
-def r130_path_contributions(spark, sf_dir):
+def r130_shapley(spark, sf_dir):
     train, _, test = _split(frame(spark, sf_dir))
-    return models.path_contributions(models.fit_gbt(train, 3, 10), test, "txId")
+    return models.contributions(models.fit_gbt(train, 3, 10), test, "txId")
 
 
 @query()

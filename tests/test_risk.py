@@ -347,8 +347,43 @@ def test_learning(spark):
     assert m.ap > 0.95 and m.auc > 0.95 and m.brier < 0.08
     row = pipe.predict(test).first()
     assert set(row.contributions) == {"a", "b"} and 0 <= row.calibrated <= 1
-    out = models.path_contributions(pipe.model, test, "id").join(models.score(pipe.model, test), "id").first()
-    assert len(out.contributions) == 2
+    for m in (models.fit_logistic(train), models.fit_forest(train, 5, 3)):
+        x = models.metrics(models.score(m, test)).first()
+        assert x.ap > test.agg(F.avg("y")).first()[0] + 0.2 and x.auc > 0.9
+    raw = models.score(pipe.model, valid)
+    for how in (models.Isotonic, models.Beta, lambda d: models.calibrate(d, "id")):
+        x = models.metrics(how(raw).transform(models.score(pipe.model, test)), "calibrated").first()
+        assert x.ap > 0.9 and x.brier < 0.1 and x.ece < 0.2
+    assert models.metrics(models.score(models.fit_forest(train, 5, 3), test)).first().brier < 0.15
+
+
+def test_shapley_values_against_all_coalitions(spark):
+    import itertools
+
+    from ledgerweave.ml import models
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 4))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] > 0.3) | (x[:, 3] > 1.5)).astype(int)
+    df = spark.createDataFrame([(i, r.tolist(), int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, features array<double>, y int")
+    model = models.fit_gbt(df, 3, 4)
+    trees = models.tree_nodes(model)
+
+    def value(row, known, weight, nodes, at=0):
+        f, t, left, right, v, rows = nodes[at]
+        if f < 0:
+            return weight * v
+        if f in known:
+            return value(row, known, weight, nodes, left if row[f] <= t else right)
+        return sum(nodes[c][5] / rows * value(row, known, weight, nodes, c) for c in (left, right))
+
+    got = {r.id: r.contributions for r in models.contributions(model, df.filter("id < 12"), "id").collect()}
+    for i in range(12):
+        v = {s: sum(value(x[i], set(s), w, n) for w, n in trees) for k in range(5) for s in itertools.combinations(range(4), k)}
+        for j in range(4):
+            others = [o for o in range(4) if o != j]
+            want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * (v[tuple(sorted((*s, j)))] - v[s]) for k in range(4) for s in itertools.combinations(others, k))
+            assert abs(got[i][j] - want) < 1e-9
 
 
 @pytest.mark.parametrize("beta", [0.001, 0.3, 1.0, 40.0])
