@@ -110,6 +110,18 @@ class Beta:
         return df.withColumn(out, clip(1 / (1 + F.exp(-(float(w[0]) * F.log(c) - float(w[1]) * F.log(1 - c) + b)))))
 
 
+class Sigmoid:
+    """Sigmoid calibration: logistic regression on the score."""
+
+    def __init__(self, df: DataFrame, p: str = "score", y: str = "y"):
+        x = df.select(array_to_vector(F.array(F.col(p).cast("double"))).alias("__v"), F.col(y).cast("double").alias("y"))
+        self.model = LogisticRegression(featuresCol="__v", labelCol="y", regParam=0.0, standardization=False, maxIter=200).fit(x)
+
+    def transform(self, df: DataFrame, p: str = "score", out: str = "calibrated") -> DataFrame:
+        w, b = float(self.model.coefficients[0]), float(self.model.intercept)
+        return df.withColumn(out, clip(1 / (1 + F.exp(-(w * F.col(p) + b)))))
+
+
 def calibrate(df: DataFrame, key: str, p: str = "score", y: str = "y", replicates: int = 50):
     """Isotonic if its squared error is below beta's with a bootstrap interval beyond 0, else beta."""
     iso, beta = Isotonic(df, p, y), Beta(df, p, y)

@@ -91,6 +91,15 @@ def pq_footprint(n: Column, d: Column, m: Column) -> tuple[Column, Column, Colum
     return n * d * 4, n * m, 4 * d / m
 
 
+#: Largest loss of average precision and least recall at which quantised vectors do.
+MAX_DROP, MIN_RECALL = 0.01, 0.93
+
+
+def use_pq(ap_full: Column, ap_pq: Column, recall: Column, max_drop: float = MAX_DROP, min_recall: float = MIN_RECALL) -> Column:
+    """Whether quantised vectors may stand for the exact ones."""
+    return (ap_full - ap_pq <= max_drop) & (recall >= min_recall)
+
+
 def sample_size(p: Column, e: float, z: float = 1.96) -> Column:
     return F.ceil(z * z * p * (1 - p) / (e * e))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import curves, evidence, graphs, losses, matrix, stats
-from ledgerweave.queries.risk import DEGREES, EDGES, SCORED, SPENDS, STARS, VEC, _edges, _spends, _vec, scored
+from ledgerweave.operators import curves, evidence, fusion, graphs, losses, matrix, series, stats
+from ledgerweave.queries.risk import DEGREES, EDGES, LONG_LINE, PSEUDO, SCORED, SPENDS, STARS, VEC, _edges, _long_line, _pagerank_sql, _pseudo, _spends, _vec, r090b_pagerank_rounds, scored, series_sql
+from ledgerweave.sources.elliptic import labelled
+from ledgerweave.plans.staging import Stage
 from ledgerweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -258,3 +260,72 @@ def r106_anchor_pool(spark, sf_dir):
     v = _vec(spark, sf_dir)
     pool = v.filter("label = 0").withColumn("kind", F.lit("ofac")).unionByName(v.filter("label = 1 and step <= 30").withColumn("kind", F.lit("train_illicit")))
     return pool.select("kind", "vec_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(txid::VARCHAR, '') c, list_concat(regexp_extract_all(text, '0x[0-9a-fA-F]{6,}'), regexp_extract_all(text, '\b(?:bc1|[13])[a-zA-Z0-9]{20,}\b'), regexp_extract_all(text, '\b\d[\d.,]*\s?(?:BTC|ETH|USD|USDT)\b'), regexp_extract_all(text, '\b[0-9a-f]{64}\b')) x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(list_filter(x, lambda y: NOT contains(c, y))) = 0 grounded FROM d""")
+def r035_grounded(spark, sf_dir):
+    """Whether every address, amount and hash a text names occurs in its context, here the transaction it points to."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    return d.select("doc_id", evidence.grounded(F.col("text"), F.coalesce(F.col("txid").cast("string"), F.lit(""))).alias("grounded"))
+
+
+@query(f"""WITH x AS (SELECT vec_id, vec, t FROM {_TOP})
+SELECT vec_id, 'score: ' || printf('%.4f', abs(vec[3])) || chr(10) || 'anchors: w' || vec_id || ' (ofac, ' || printf('%.4f', abs(vec[1])) || '); w' || (vec_id + 1) || ' (eu, ' || printf('%.4f', abs(vec[2])) || ')' || chr(10) ||
+'features: ' || list_aggregate(list_transform(list_sort(list_transform(t, lambda e: {{'a': -abs(round(e.v, 5)), 'n': e.n, 'v': round(e.v, 5)}}))[1:5], lambda e: e.n || '=' || printf('%.5f', e.v)), 'string_agg', ', ') txt FROM x""")
+def r034_alert_context(spark, sf_dir):
+    """Text of an alert: score, anchors, the five largest contributions."""
+    v = _vec(spark, sf_dir)
+    at = lambda i: F.abs(F.get("vec", F.lit(i)))
+    anchor = lambda add, source, i: F.struct(F.concat(F.lit("w"), (F.col("vec_id") + add).cast("string")).alias("wallet"), F.lit(source).alias("source"), at(i).alias("distance"))
+    shap = evidence.top_contributions(F.col("vec"), [f"e{i}" for i in range(64)])
+    return v.select("vec_id", evidence.alert_context(at(2), F.array(anchor(0, "ofac", 0), anchor(1, "eu", 1)), shap).alias("txt"))
+
+
+@query(f"""WITH g AS (SELECT feature, count(*) FILTER (WHERE post) n1, avg(v) FILTER (WHERE post) m1, var_samp(v) FILTER (WHERE post) v1, count(*) FILTER (WHERE NOT post) n0, avg(v) FILTER (WHERE NOT post) m0, var_samp(v) FILTER (WHERE NOT post) v0 FROM {LONG_LINE} GROUP BY feature),
+p AS (SELECT feature, v, count(*) FILTER (WHERE post) a, count(*) FILTER (WHERE NOT post) b FROM {LONG_LINE} GROUP BY feature, v),
+c AS (SELECT feature, sum(a) OVER w / sum(a) OVER t - sum(b) OVER w / sum(b) OVER t d FROM p WINDOW w AS (PARTITION BY feature ORDER BY v), t AS (PARTITION BY feature)),
+k AS (SELECT feature, max(abs(d)) ks FROM c GROUP BY feature), x AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) d, ks * sqrt(n1 * n0 / (n1 + n0)) z FROM g JOIN k USING (feature)),
+q AS (SELECT *, CASE WHEN z < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * i * i * z * z))))) END p FROM x)
+SELECT feature, round(d, 6) cohen_d, round(ks, 9) ks_D, round(p, 6)::DOUBLE ks_p, n1::BIGINT n, n0::BIGINT m, p < 0.05 AND ks > 0.10 AND abs(d) > 0.30 drift FROM q""")
+def r083_drift_table(spark, sf_dir):
+    x = _long_line(spark, sf_dir)
+    d, k = stats.cohen_d(x, "v", "post", ["feature"]), stats.ks_two_sample(x, "v", "post", ["feature"])
+    drift = stats.is_drift(F.col("ks_p"), F.col("ks_D"), F.col("cohen_d"))
+    return d.join(k, "feature").select("feature", F.round("cohen_d", 6).alias("cohen_d"), F.round("ks_D", 9).alias("ks_D"), F.round("ks_p", 6).alias("ks_p"), "n", "m", drift.alias("drift"))
+
+
+@query("SELECT label, 0.65 - label * 0.004 <= 0.65 AND 0.004 * label <= 0.01 AND 1 - label * 0.03 >= 0.93 use_pq, count(*) n FROM embeddings GROUP BY label")
+def r024b_use_pq(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return x.select("label", matrix.use_pq(F.lit(0.65), 0.65 - F.col("label") * 0.004, 1 - F.col("label") * 0.03).alias("use_pq"), "n")
+
+
+@query(f"""WITH c AS (SELECT vec_id, 3 * pow(u * v, -3.0) * pow(pow(u, -2.0) + pow(v, -2.0) - 1, -2.5) c FROM {PSEUDO}) SELECT vec_id, round(0.3 * c / (0.3 * c + 0.7), 6) posterior FROM c""")
+def r123b_copula_posterior(spark, sf_dir):
+    """Probability of a match from the density of its signals under a Clayton copula, against independence."""
+    c = fusion.copula_density("clayton", F.col("u"), F.col("v"), F.lit(2.0))
+    return _pseudo(spark, sf_dir).select("vec_id", F.round(fusion.copula_posterior(c, F.lit(1.0), 0.3), 6).alias("posterior"))
+
+
+_LABELLED = "(SELECT k AS txId, t AS time_step, v, y FROM (SELECT txId k, time_step t, list_transform([" + ", ".join(FEATURES) + "], lambda x: CASE WHEN x BETWEEN -50 AND 50 AND NOT isnan(x) THEN x ELSE 0 END)::DOUBLE[] v FROM elliptic_txs_features WHERE txId IS NOT NULL QUALIFY row_number() OVER (PARTITION BY txId ORDER BY load_id DESC) = 1) f JOIN (SELECT txId c, max(trim(class) = '1')::INTEGER y FROM elliptic_txs_classes WHERE trim(class) IN ('1', '2') GROUP BY txId) ON c = k)"
+
+
+@query(f"""WITH {series_sql(f'SELECT time_step t, y = 1 flag FROM {_LABELLED}')}, p AS ({_pagerank_sql(20)}), g AS MATERIALIZED {DEGREES}
+SELECT l.txId, l.time_step, l.y, round(list_sum(l.v), 4) feature_sum, len(l.v)::INTEGER width, coalesce(in_degree, 0)::BIGINT in_degree, coalesce(out_degree, 0)::BIGINT out_degree, coalesce(in_degree + out_degree, 0)::BIGINT total_degree, round(coalesce((in_degree + 1) / (out_degree + 1), 0), 9) ratio, coalesce(p.rank, 0) pagerank,
+round(coalesce(z.burstiness, 0), 9) burstiness, round(coalesce(z.hawkes, (SELECT avg(hawkes) FROM z)), 9) hawkes, coalesce(z.since_last, 49)::INTEGER since_last FROM {_LABELLED} l LEFT JOIN g ON g.node = l.txId LEFT JOIN p ON p.node = l.txId LEFT JOIN z ON z.t = l.time_step""")
+def r150_context_matrix(spark, sf_dir):
+    """Labelled transactions with their features, those of the graph and those of their step."""
+    f = table(spark, sf_dir, "elliptic_txs_features").filter("txId is not null")
+    cols = F.array(*[F.when(F.col(c).between(-50, 50), F.col(c)).otherwise(0.0) for c in FEATURES])
+    f = f.groupBy("txId").agg(F.max_by(F.struct("time_step", cols.alias("v")), "load_id").alias("x")).select("txId", "x.*")
+    y = labelled(table(spark, sf_dir, "elliptic_txs_classes")).groupBy("txId").agg(F.max("y").alias("y"))
+    rows = Stage(spark).write(f.join(y, "txId").withColumn("flag", F.col("y") == 1))
+    e = _edges(spark, sf_dir)
+    g = graphs.degrees(e).join(r090b_pagerank_rounds(spark, sf_dir), "node").withColumnRenamed("node", "txId").withColumnRenamed("rank", "pagerank")
+    x = series.temporal_features(rows.join(g, "txId", "left").fillna(0, ["in_degree", "out_degree", "total_degree", "ratio", "pagerank"]), "time_step", "flag")
+    total = F.aggregate("v", F.lit(0.0), lambda s, a: s + a)
+    return x.select(
+        "txId", "time_step", "y", F.round(total, 4).alias("feature_sum"), F.size("v").alias("width"), "in_degree", "out_degree", "total_degree", F.round("ratio", 9).alias("ratio"), "pagerank",
+        F.round("burstiness", 9).alias("burstiness"), F.round("hawkes", 9).alias("hawkes"), "since_last",
+    )

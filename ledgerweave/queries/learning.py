@@ -113,6 +113,11 @@ def r127_isotonic(spark, sf_dir):
     return _calibration(spark, sf_dir, models.Isotonic)
 
 
+@query()
+def r139b_sigmoid(spark, sf_dir):
+    return _calibration(spark, sf_dir, models.Sigmoid)
+
+
 @query()
 def r128_beta(spark, sf_dir):
     return _calibration(spark, sf_dir, models.Beta)

@@ -161,13 +161,6 @@ def r024_footprint_and_power(spark, sf_dir):
     return x.select("label", raw.alias("raw_bytes"), pq.alias("pq_bytes"), ratio.cast("double").alias("ratio"), matrix.sample_size(F.lit(0.5), 0.01).alias("sample_n"))
 
 
-@query(r"""SELECT doc_id, coalesce(list_bool_and(list_transform(list_concat(regexp_extract_all(text, '0x[0-9a-fA-F]{6,}'), regexp_extract_all(text, '\b[0-9a-f]{64}\b')), lambda x: contains(coalesce(txid::VARCHAR, ''), x))), true) grounded FROM documents WHERE text IS NOT NULL""".replace("regexp_extract_all(text, '\\b[0-9a-f]{64}\\b')), ", "regexp_extract_all(text, '\\b[0-9a-f]{64}\\b')), "))
-def r035_grounded(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
-    found = F.concat(F.regexp_extract_all("text", F.lit("(0x[0-9a-fA-F]{6,})"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"\b([0-9a-f]{64})\b"), F.lit(1)))
-    return d.select("doc_id", F.forall(found, lambda x: F.contains(F.coalesce(F.col("txid").cast("string"), F.lit("")), x)).alias("grounded"))
-
-
 # threshold sweeps and ranking metrics
 
 
@@ -269,13 +262,18 @@ def r082_ap_by_step(spark, sf_dir):
 
 # series
 
-SERIES = """e AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) + 1 t, event_type = 'error' AND value >= 250 flag FROM events),
+def series_sql(source: str) -> str:
+    """SQL of the four features by step 1..49; ``source`` gives (t, flag)."""
+    return f"""e AS ({source}),
 d AS (SELECT k t, count(e.t) n, count(*) FILTER (WHERE flag) flagged FROM range(1, 50) r(k) LEFT JOIN e ON e.t = k GROUP BY k),
 f AS (SELECT t, n, flagged, avg(n) OVER w m, stddev_pop(n) OVER w s, last_value(CASE WHEN flagged > 0 THEN t END IGNORE NULLS) OVER (ORDER BY t) l FROM d WINDOW w AS (ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
 h AS (SELECT a.t, (SELECT avg(n) FROM d) + 0.5 * coalesce(sum(exp(-1.0 * (a.t - b.t)) * b.n), 0) hawkes FROM d a LEFT JOIN d b ON b.t < a.t GROUP BY a.t),
 z AS (SELECT f.t, n, flagged, CASE WHEN s + m > 0 THEN (s - m) / (s + m) ELSE 0 END burstiness, hawkes, coalesce(t - l, 49) since_last FROM f JOIN h USING (t))"""
 
 
+SERIES = series_sql("SELECT date_diff('day', DATE '2024-01-01', ts::DATE) + 1 t, event_type = 'error' AND value >= 250 flag FROM events")
+
+
 def _events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.withColumn("t0", (F.datediff(F.to_date("ts"), F.lit("2024-01-01")) + 1).cast("int")).withColumn("flag", (F.col("event_type") == "error") & (F.col("value") >= 250))
@@ -305,17 +303,6 @@ def _long_line(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).alias("post"), pairs.alias("x")).select("post", "x.*")
 
 
-@query(f"""WITH g AS (SELECT feature, count(*) FILTER (WHERE post) n1, avg(v) FILTER (WHERE post) m1, var_samp(v) FILTER (WHERE post) v1, count(*) FILTER (WHERE NOT post) n0, avg(v) FILTER (WHERE NOT post) m0, var_samp(v) FILTER (WHERE NOT post) v0 FROM {LONG_LINE} GROUP BY feature),
-p AS (SELECT feature, v, count(*) FILTER (WHERE post) a, count(*) FILTER (WHERE NOT post) b FROM {LONG_LINE} GROUP BY feature, v),
-c AS (SELECT feature, sum(a) OVER w / sum(a) OVER t - sum(b) OVER w / sum(b) OVER t d FROM p WINDOW w AS (PARTITION BY feature ORDER BY v), t AS (PARTITION BY feature)),
-k AS (SELECT feature, max(abs(d)) ks FROM c GROUP BY feature)
-SELECT feature, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) cohen_d, round(ks, 9) ks_D, n1::BIGINT n, n0::BIGINT m FROM g JOIN k USING (feature)""")
-def r083_drift_table(spark, sf_dir):
-    x = _long_line(spark, sf_dir)
-    d, k = stats.cohen_d(x, "v", "post", ["feature"]), stats.ks_two_sample(x, "v", "post", ["feature"])
-    return d.join(k, "feature").select("feature", F.round("cohen_d", 6).alias("cohen_d"), F.round("ks_D", 9).alias("ks_D"), "n", "m")
-
-
 @query(f"""WITH d AS (SELECT grp, step, avg(qty) v FROM {SCORED} GROUP BY grp, step), s AS (SELECT a.grp, sum(sign(b.v - a.v)) s FROM d a JOIN d b ON a.grp = b.grp AND a.step < b.step GROUP BY a.grp),
 n AS (SELECT grp, count(*) n FROM d GROUP BY grp) SELECT grp, n::BIGINT n, s::BIGINT s, round(n * (n - 1) * (2 * n + 5) / 18, 9) var_s, round(CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) ELSE 0 END, 9) z FROM s JOIN n USING (grp)""")
 def r070_mann_kendall(spark, sf_dir):
