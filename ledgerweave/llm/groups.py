@@ -10,7 +10,7 @@ once; an empty table has no groups.  Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerweave.plans.skew import HOT, skew_join
 from ledgerweave.plans.staging import Stage
@@ -18,11 +18,9 @@ from ledgerweave.plans.staging import Stage
 MAX_ROUNDS = 200
 
 
-def _write(stage: Stage, rows: DataFrame, **values) -> tuple[DataFrame, dict]:
-    """Stage ``rows``, and the values of aggregates that are taken on the way."""
-    seen = Observation()
-    out = stage.write(rows.observe(seen, *[v.alias(k) for k, v in values.items()]))
-    return out, seen.get
+def _state(rows: DataFrame) -> tuple:
+    """Row count and an order-free fingerprint of (v, u)."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(v, u))"), F.expr("bit_xor(hash(u, v))")).first())
 
 
 def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -30,19 +28,17 @@ def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = MAX_R
     stage = Stage(pairs.sparkSession)
     ends = pairs.select(F.col(left).alias("v"), F.col(right).alias("u")).filter("v is not null and u is not null")
     both = F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("v").alias("u")), F.struct(F.col("u").alias("v"), "u"))
-    # row count and an order-free fingerprint of (v, u)
-    mark = {"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(v, u))"), "y": F.expr("bit_xor(hash(u, v))")}
-    rows, state = _write(stage, ends.select(F.inline(both)).distinct(), **mark)
+    rows = stage.write(ends.select(F.inline(both)).distinct())
+    state = _state(rows)
     for _ in range(max_rounds):
-        sizes, most = _write(stage, rows.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("k")), k=F.max("k"))
+        sizes = stage.write(rows.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("k")))
         # at most 1 / HOT sets hold that share of all rows; their minima are broadcast, so no task gets a whole giant set
-        least = max(1000.0, HOT * state["n"])
-        hot = [r[0] for r in sizes.filter(F.col("k") >= least).select("v").collect()] if (most["k"] or 0) >= least else []
+        hot = [r[0] for r in sizes.filter(F.col("k") >= max(1000.0, HOT * state[0])).select("v").collect()]
         # a set that is just {m} gives the row (m, m) twice, which is left out before the shuffle: a settled vertex other than the smallest costs nothing
         sent = skew_join(rows, sizes.select("v", "m"), "v", hot)
         sent = sent.select(F.inline(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
-        before = state
-        new, state = _write(stage, sent.distinct(), **mark)
+        new = stage.write(sent.distinct())
+        before, state = state, _state(new)
         stage.drop(sizes, rows)
         rows = new
         if state == before:
