@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerweave.ml import models
-from ledgerweave.operators import graphs, losses, vectors
+from ledgerweave.operators import curves, graphs, losses, vectors
 from ledgerweave.plans.staging import Stage
 from ledgerweave.queries.risk import EDGES, SCORED, VEC, _vec, scored
 from ledgerweave.sources.elliptic import labelled, with_split
@@ -97,9 +99,7 @@ def r125_gbt(spark, sf_dir):
 @query()
 def r126_focal_gbt(spark, sf_dir):
     train, _, test = _split(frame(spark, sf_dir))
-    first = models.score(models.fit_gbt(train, 3, 5), train)
-    hard = first.withColumn("w", models.focal_weight(F.col("score"), F.col("y")) + 1e-3).drop("score")
-    return _rounded(models.metrics(models.score(models.fit_gbt(hard, 5, 10, weight="w"), test)))
+    return _rounded(models.metrics(models.FocalBoost(10, 3).fit(train).score(test)))
 
 
 def _calibration(spark, sf_dir, how):
@@ -156,14 +156,21 @@ def r133_neighbour_mean(spark, sf_dir):
 
 @query()
 def r138_decay_grid(spark, sf_dir):
+    """Eighteen settings of depth, step and decay of the weight of older rows; the best average precision on the valid era is chosen."""
     train, valid, _ = _split(frame(spark, sf_dir))
-    out = None
-    for rate in (0.0, 0.05):
-        for depth in (3, 5):
-            m = models.fit_gbt(train.withColumn("w", models.decay_weight(F.col("time_step"), 30, rate)), depth, 5, weight="w")
-            x = _rounded(models.metrics(models.score(m, valid))).withColumn("rate", F.lit(rate)).withColumn("depth", F.lit(depth))
-            out = x if out is None else out.unionByName(x)
-    return out
+    settings = [(i, *s) for i, s in enumerate(product((3, 5, 7), (0.05, 0.1, 0.2), (0.0, 0.05)))]
+    scored_ = None
+    for i, depth, step, rate in settings:
+        m = models.fit_gbt(train.withColumn("w", models.decay_weight(F.col("time_step"), 30, rate)), depth, 5, step, weight="w")
+        x = models.score(m, valid).select(F.lit(i).alias("setting"), "score", "y")
+        scored_ = x if scored_ is None else scored_.unionByName(x)
+    scored_ = Stage(spark).write(scored_)
+    steps = curves.score_steps(scored_, "score", "y", ["setting"])
+    brier = scored_.groupBy("setting").agg(F.avg(F.pow(F.col("score") - F.col("y"), 2)).alias("brier"))
+    x = spark.createDataFrame(settings, "setting int, depth int, step double, rate double").join(curves.average_precision(steps, ["setting"]), "setting").join(curves.roc_auc(steps, ["setting"]), "setting").join(brier, "setting")
+    best = x.agg(F.min_by("setting", F.struct((-F.col("ap")).alias("a"), "setting")).alias("best"))
+    x = x.join(F.broadcast(best)).withColumn("chosen", F.col("setting") == F.col("best")).drop("best")
+    return x.select("setting", "depth", "step", "rate", *[F.round(c, 9).alias(c) for c in ("ap", "auc", "brier")], "chosen")
 
 
 @query()
