@@ -78,9 +78,12 @@ def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.lower(trim_white(F.col("address")))
     currency = F.upper(trim_white(F.col("currency")))
     currency = F.when(currency == "XBT", "BTC").otherwise(currency)
-    rows = rows.select(F.lower(F.trim("source")).alias("source"), F.date_format(spelled_date(F.col("date")), "yyyy-MM-dd").alias("snapshot_date"), F.nullif(address, F.lit("")).alias("address"), currency.alias("currency"), "list", "ent_num")
     known = spark.createDataFrame([tuple(r) for r in days], "source string, snapshot_date string, ord int")
-    rows = rows.join(F.broadcast(known), ["source", "snapshot_date"]).filter("address is not null").drop("snapshot_date")
+    # a spelling is read once and not with every row; what is left of the spellings is at most a few for each delivered date
+    spelled = rows.select(F.col("source").alias("s"), F.col("date").alias("d")).distinct()
+    spelled = spelled.select("s", "d", F.lower(F.trim("s")).alias("source"), F.date_format(spelled_date(F.col("d")), "yyyy-MM-dd").alias("snapshot_date")).join(F.broadcast(known), ["source", "snapshot_date"])
+    rows = rows.select(F.col("source").alias("s"), F.col("date").alias("d"), F.nullif(address, F.lit("")).alias("address"), currency.alias("currency"), "list", "ent_num")
+    rows = rows.filter("address is not null").join(F.broadcast(spelled.select("s", "d", "source", "ord")), ["s", "d"]).drop("s", "d")
     stage = Stage(spark)
     # one pass over the table; each delivery then reads its own rows only
     rows = stage.write(rows, "ord")
