@@ -2,9 +2,10 @@
 
 A text is a chain of short units: lines, long lines cut at sentence ends and into spans.  Each unit shows one of a few signs
 (what it looks like by itself); the hidden label is prose, field, links, tags or menu.  The model's probabilities are fitted by
-Baum-Welch, without labels, on a bounded sample of the texts, from a prior that says what each label is about.  The most
-probable chain of labels is found by the Viterbi recursion, so that an ambiguous unit takes its label from its neighbours.  A
-page is flagged when labels other than prose and field cover more than half of its words.
+Baum-Welch, without labels, on all texts, from a prior that says what each label is about.  The signs of a text are found once
+and staged; a round of the fit is a map over them of which only the sums of expected counts meet.  The most probable chain of
+labels is found by the Viterbi recursion, so that an ambiguous unit takes its label from its neighbours.  A page is flagged
+when labels other than prose and field cover more than half of its words.
 
 Defined results: null, empty and blank texts have no words and are not flagged; a very long text is labelled whole;
 repeated rows give one row per id.
@@ -22,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ledgerweave.plans.staging import Stage
+
 WORD = re.compile(r"[^\W_]+")
 HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 ENTITY = re.compile(r"&(?:nbsp|amp|quot|lt|gt|#\d+);")
@@ -58,8 +61,10 @@ EMIT = {
 STAY = 0.8
 START = (0.4, 0.15, 0.15, 0.15, 0.15)
 FLAGGED = 0.5
-#: Fitting: texts of the sample at most, units of a text of the sample at most, observations the prior of a label counts as, rounds.
-SAMPLE_TEXTS, SAMPLE_UNITS, PRIOR, ROUNDS = 2_000, 2_000, 20_000.0, 4
+#: Fitting: observations the prior of a label counts as, rounds.
+PRIOR, ROUNDS = 20_000.0, 4
+#: Units (filled up to the longest chain) that are added up at once; steps of expected counts, whose sums do not depend on the order of tasks.
+BLOCK_UNITS, STEPS = 1 << 18, 1 << 20
 #: Chains that are remembered in a worker, and units of one at most.
 KNOWN_CHAINS, KNOWN_UNITS = 100_000, 40
 
@@ -81,25 +86,57 @@ class Chain:
         emit = np.array([EMIT[s] for s in LABELS])
         return cls(np.array(START), move, emit / emit.sum(axis=1, keepdims=True))
 
+    def table(self) -> np.ndarray:
+        """A row for each label: first label, moves from it, signs under it."""
+        return np.column_stack([self.start, self.move, self.emit])
+
     def fitted(self, sequences: list[list[int]], weight: float = PRIOR, rounds: int = ROUNDS) -> Chain:
         """Baum-Welch from this model, which counts as ``weight`` observations of each label; without sequences the model itself."""
-        now = self
+        chains, now = Counter(map(bytes, sequences)), self
         for _ in range(rounds if sequences else 0):
-            first, moves, signs = weight * self.start, weight * self.move, weight * self.emit
-            for seen in sequences:
-                a, scale = now._forward(seen)
-                back = np.ones(len(LABELS))
-                for t in range(len(seen) - 1, -1, -1):
-                    held = a[t] * back
-                    signs[:, seen[t]] += held
-                    if t:
-                        ahead = now.emit[:, seen[t]] * back / scale[t]
-                        moves = moves + np.outer(a[t - 1], ahead) * now.move
-                        back = now.move @ ahead
-                first = first + held
-            now = Chain(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), signs / signs.sum(axis=1, keepdims=True))
+            now = self.learned(now.expected(chains), weight)
         return now
 
+    def learned(self, counts: np.ndarray, weight: float) -> Chain:
+        """The model of expected counts, to which this one adds ``weight`` observations of each label."""
+        first, moves, signs = np.split(counts + weight * self.table(), [1, 1 + len(LABELS)], axis=1)
+        return Chain(first[:, 0] / first.sum(), moves / moves.sum(axis=1, keepdims=True), signs / signs.sum(axis=1, keepdims=True))
+
+    def expected(self, chains: dict[bytes, int]) -> np.ndarray:
+        """Expected counts, laid out like ``table``, over chains of signs given how often each comes; many chains go forward and back at once."""
+        out, longest = np.zeros(self.table().shape), sorted((c for c in chains if c), key=len, reverse=True)
+        while longest:
+            n = max(1, BLOCK_UNITS // len(longest[0]))
+            out += self._expected(longest[:n], np.array([chains[c] for c in longest[:n]], dtype=float))
+            longest = longest[n:]
+        return out
+
+    def _expected(self, chains: list[bytes], times: np.ndarray) -> np.ndarray:
+        """The same for a block of chains, the longest first: units are laid out by place, those at place t being the first chains'."""
+        sizes = np.array([len(c) for c in chains])
+        place, chain = np.nonzero(np.arange(sizes[0])[:, None] < sizes)
+        ends = np.cumsum(np.bincount(place)).tolist()
+        begins = [0, *ends[:-1]]
+        signs = np.empty(len(place), np.uint8)
+        signs[np.lexsort((place, chain))] = np.frombuffer(b"".join(chains), np.uint8)
+        a, emit = np.empty((len(place), len(LABELS))), self.emit.T[signs]
+        scale, ahead, back = np.empty((len(place), 1)), np.empty_like(a), np.ones_like(a)
+        x = self.start * emit[: ends[0]]
+        for i, j in zip(begins, ends):
+            if i:
+                x = (a[before : before + j - i] @ self.move) * emit[i:j]
+            scale[i:j] = total = x.sum(axis=1, keepdims=True)
+            a[i:j] = x / total
+            before = i
+        emit /= scale
+        for i, j, before in zip(begins[:0:-1], ends[:0:-1], begins[-2::-1]):
+            ahead[i:j] = now = emit[i:j] * back[i:j]
+            back[before : before + j - i] = now @ self.move.T
+        held, n = a * back * times[chain][:, None], ends[0]
+        came = np.array(begins)[place[n:] - 1] + chain[n:]  # the unit before
+        moves = (a[came] * times[chain[n:], None]).T @ ahead[n:] * self.move
+        return np.column_stack([held[:n].sum(axis=0), moves, [np.bincount(signs, h, len(SIGNS)) for h in held.T]])
+
     def _forward(self, seen: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the label at each unit given the units up to it, and what they were scaled by."""
         a, scale = np.empty((len(seen), len(LABELS))), np.empty(len(seen))
@@ -109,7 +146,7 @@ class Chain:
             a[t] = x / scale[t]
         return a, scale
 
-    def label(self, signs: list[int]) -> list[int]:
+    def label(self, signs: list[int] | bytes) -> list[int]:
         """Most probable labels (Viterbi); chains that come again, as those of short texts do, are remembered."""
         if not signs:
             return []
@@ -227,40 +264,58 @@ def signs_of(text: str) -> tuple[list[int], list[int]]:
     return out, [u.words for u in units]
 
 
+def _share(signs: list[int] | bytes, sizes: list[int], chain: Chain) -> float:
+    total = sum(sizes)
+    return sum(n for s, n in zip(chain.label(signs), sizes) if s >= 2) / total if total else 0.0
+
+
 def stuffed_share(text: str | None, chain: Chain | None = None) -> float:
     """Share of the words of a text that are labelled links, tags or menu; 0 for a text without words."""
-    if not text:
-        return 0.0
-    signs, sizes = signs_of(text)
-    total = sum(sizes)
-    return sum(n for s, n in zip((chain or PRIOR_CHAIN).label(signs), sizes) if s >= 2) / total if total else 0.0
+    return _share(*signs_of(text), chain or PRIOR_CHAIN) if text else 0.0
 
 
-def fit_chain(df: DataFrame, key: str, text: str, texts: int = SAMPLE_TEXTS, units: int = SAMPLE_UNITS) -> Chain:
-    """The model fitted on at most ``texts`` texts chosen by a hash of their key; texts of more than ``units`` units are not drawn."""
+def signs_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, signs, words) of the texts that have words: the sign of each unit, a byte each, and its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signs_of(x.as_py())[0] for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f in found if 0 < len(f) <= units], pa.list_(pa.int32()))], ["signs"])
+            found = [signs_of(x.as_py()) for x in b.column(1)]
+            some = [(bytes(s), n) for s, n in found if s]
+            kept = b.column(0).filter(pa.array([bool(s) for s, _ in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array([s for s, _ in some], pa.binary()), pa.array([n for _, n in some], pa.list_(pa.int32()))], ["key", "signs", "words"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
+    return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("signs", T.BinaryType()), T.StructField("words", T.ArrayType(T.IntegerType()))]))
+
+
+def fit_chain(signs: DataFrame, rounds: int = ROUNDS) -> Chain:
+    """The model fitted on every text of a table of signs; a round reads it once, and a sum a task and parameter meets."""
+    now = PRIOR_CHAIN
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], model: Chain = now) -> Iterator[pa.RecordBatch]:
+            total = sum((model.expected(Counter(b.column(0).to_pylist())) for b in batches), np.zeros(model.table().shape))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(np.rint(total.ravel() * STEPS).astype(np.int64))], ["cell", "steps"])
 
-    part = max(1, df.count() // texts)
-    some = df.filter(F.pmod(F.xxhash64(key, F.lit(9)), F.lit(part)) == 0).select(text)
-    rows = some.mapInArrow(run, T.StructType([T.StructField("signs", T.ArrayType(T.IntegerType()))])).limit(texts).collect()
-    return PRIOR_CHAIN.fitted([list(r[0]) for r in rows])
+        sums = signs.select("signs").mapInArrow(run, "cell long, steps long").groupBy("cell").agg(F.sum("steps").alias("steps")).collect()
+        counts = np.zeros(now.table().shape)
+        for r in sums:
+            counts.flat[r.cell] = r.steps / STEPS
+        now = PRIOR_CHAIN.learned(counts, PRIOR)
+    return now
 
 
 def find_stuffed(df: DataFrame, key: str, text: str, flagged: float = FLAGGED) -> DataFrame:
-    """(key) of pages of which more than ``flagged`` of the words are no sentences; a scan and a map after the model's sample."""
-    rows = df.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    chain = fit_chain(rows, key, text)
+    """(key) of pages of which more than ``flagged`` of the words are no sentences; a scan, the rounds of the fit over staged signs and a map."""
+    signs = Stage(df.sparkSession).write(signs_table(df, key, text))
+    chain = fit_chain(signs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = [stuffed_share(x.as_py(), chain) > flagged for x in b.column(1)]
+            hit = [_share(s, n, chain) > flagged for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], [key])
 
-    return rows.mapInArrow(run, T.StructType([df.schema[key]])).distinct()
+    return signs.mapInArrow(run, T.StructType([df.schema[key]])).distinct()
 
 
 PRIOR_CHAIN = Chain.prior()

@@ -297,6 +297,41 @@ def test_stuffed_table(spark):
     assert find_stuffed(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_expected_counts_match_all_paths(monkeypatch):
+    from itertools import product
+
+    import ledgerweave.llm.stuffed as stuffed
+
+    chains, want = {bytes([0]): 3, bytes([9, 7]): 1, bytes([2, 8, 9, 0]): 2, b"": 4, bytes([6, 6, 4]): 5}, np.zeros(PRIOR_CHAIN.table().shape)
+    for c, times in chains.items():
+        paths = list(product(range(len(LABELS)), repeat=len(c))) if c else []
+        odds = [np.prod([PRIOR_CHAIN.start[p[0]], *PRIOR_CHAIN.emit[list(p), list(c)], *PRIOR_CHAIN.move[list(p[:-1]), list(p[1:])]]) for p in paths]
+        for p, x in zip(paths, np.array(odds) / sum(odds) * times if paths else []):
+            want[p[0], 0] += x
+            for i, j in zip(p, p[1:]):
+                want[i, 1 + j] += x
+            for i, o in zip(p, c):
+                want[i, 1 + len(LABELS) + o] += x
+    for units in (1, 6, 1 << 18):
+        monkeypatch.setattr(stuffed, "BLOCK_UNITS", units)
+        assert np.abs(PRIOR_CHAIN.expected(chains) - want).max() < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["keys", "long"])
+def test_the_model_is_fitted_on_all_texts(spark, kind):
+    """Two short units are a menu by the prior; pages of sentences with short units between them say otherwise, whatever their keys and lengths."""
+    probe = (-1, "Alpha beta\nGamma delta")
+    if kind == "keys":  # as many texts as were drawn twice over, of which those that were not drawn say it
+        keys = spark.range(4_000).select("id", (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)) == 0).alias("drawn")).collect()
+        rows = [(r.id, "" if r.drawn else f"{PROSE}\n{r.id}\n" * 10) for r in keys]
+    else:
+        rows = [(i, "\n".join(f"{PROSE}\n{j}" for j in range(1_100))) for i in range(40)]
+    assert stuffed_share(probe[1]) == 1.0
+    df = spark.createDataFrame([probe, *rows], "doc_id long, text string")
+    assert find_stuffed(df, "doc_id", "text").count() == 0
+    assert find_stuffed(df.repartition(7, "text").withColumnRenamed("doc_id", "signs"), "signs", "text").count() == 0
+
+
 @pytest.mark.parametrize("name", ["p3_found", "p4_found", "p7_ids", "p8_found", "p9_found"])
 def test_queries_run(spark, sf, name):
     from ledgerweave.llm.queries import QUERIES
