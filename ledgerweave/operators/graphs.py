@@ -5,10 +5,12 @@ Edges with a null end are no edges.  Repeated edges count once.  An empty edge t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
-from ledgerweave.plans.skew import HOT, hot_keys, skew_join
+from ledgerweave.plans.skew import HOT, hot_keys, maybe_among, skew_join
 from ledgerweave.plans.staging import Stage
 
 #: Open edges of a capped union that one task replays.
@@ -263,22 +265,75 @@ def sampled_neighbours(edges: DataFrame, fanout: int, seed: int = 72) -> DataFra
     return edges.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= fanout).drop("__r")
 
 
-def explained_pairs(pairs: DataFrame, edges: DataFrame, hubs: DataFrame, vectors: DataFrame, key: str, vec: str, eps: float) -> DataFrame:
+def _rounded(v: Column, kind: str, most: int) -> Column:
+    """Vector as whole numbers of up to ``most`` times a scale of its own, and a bound of the length of what rounding took away."""
+    scale = F.greatest(F.array_max(F.transform(v, F.abs)) / most, F.lit(1e-300))
+    x = F.transform(F.array(F.struct(v.alias("x"), scale.alias("s"))), lambda t: F.struct(F.transform(t["x"], lambda p: F.rint(p / t["s"]).try_cast(kind)).alias("v"), t["s"].alias("s"), t["x"].alias("x")))
+    left = lambda t: F.sqrt(F.aggregate(F.zip_with(t["x"], t["v"], lambda p, c: (p - c * t["s"]) * (p - c * t["s"])), F.lit(0.0), lambda a, d: a + d))
+    # the last term is more than what sums in doubles are off
+    return F.get(F.transform(x, lambda t: F.struct(t["v"].alias("v"), t["s"].alias("s"), (left(t) + 1e-9 * most * t["s"] * F.sqrt(F.size(t["x"]))).alias("r"))), F.lit(0))
+
+
+def _whole(v: Column) -> Column:
+    return F.struct(v.alias("v"), F.lit(1.0).alias("s"), F.lit(0.0).alias("r"))
+
+
+#: Forms of a vector, from the shortest to the vector itself; a later one is read only for pairs that those before leave open.
+FORMS = (lambda v: _rounded(v, "byte", 127), lambda v: _rounded(v, "short", 32_767), _whole)
+
+
+def _apart(links: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(u, w, d, ru, rw): distances of linked nodes that both have a row in ``vectors`` (k, x: v, s, r)."""
+    side = lambda c: vectors.select(F.col("k").alias(c), F.col("x").alias(f"x{c}"))
+    j = skew_join(skew_join(links, side("u"), "u", hot_keys(links, "u")), side("w"), "w", hot_keys(links, "w"))
+    gap = F.zip_with("xu.v", "xw.v", lambda p, q: (p * F.col("xu.s") - q * F.col("xw.s")) * (p * F.col("xu.s") - q * F.col("xw.s")))
+    return j.select("u", "w", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, d: a + d)).alias("d"), F.col("xu.r").alias("ru"), F.col("xw.r").alias("rw"))
+
+
+def explained_pairs(pairs: DataFrame, edges: DataFrame, hubs: DataFrame, vectors: DataFrame, key: str, vec: str, eps: float, version: str | None = None) -> DataFrame:
     """(src, dst, confounded, explained, passed) for pairs of nodes with vectors, whose distance a common cause may explain.
 
     A pair is confounded if both ends neighbour a hub (``hubs``: node); it is explained if the smallest hub next to ``src``
     is, within ``eps``, as far from ``dst`` as ``src`` is.  A pair passes unless it is both.  A hub without a vector explains nothing.
+    Of the rows of a key that with the highest ``version`` counts.
+
+    Only vectors of confounded pairs are moved, rounded to 8 bits.  The error of a distance is bounded by what rounding took
+    from its ends; pairs that it could decide are taken again with 16 bits, and what is open then from the vectors themselves.
     """
+    stage = Stage(edges.sparkSession)
     near = edges.select(F.col("src").alias("x"), F.col("dst").alias("h")).unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("h")))
-    hub = Stage(edges.sparkSession).write(near.join(hubs.select(F.col("node").alias("h")), "h", "left_semi").groupBy("x").agg(F.min("h").alias("hub")))
-    v = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
-    hot = hot_keys(pairs, "src")
-    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    x = skew_join(pairs.select("src", "dst"), v.toDF("src", "a"), "src", hot).join(v.toDF("dst", "b"), "dst")
-    # a hub's vector comes with its neighbour, so that it is joined once a node and not once a pair
-    first = hub.join(v.toDF("hub", "c"), "hub", "left").select(F.col("x").alias("src"), "hub", "c")
-    first = first.unionByName(pairs.select("src").distinct().join(first, "src", "left_anti").select("src", F.lit(None).cast(hub.schema["hub"].dataType).alias("hub"), F.lit(None).cast("array<double>").alias("c")))
-    x = skew_join(x, first, "src", hot).join(hub.select(F.col("x").alias("dst"), F.lit(True).alias("too")), "dst", "left")
-    confounded = F.col("hub").isNotNull() & F.coalesce("too", F.lit(False))
-    explained = confounded & F.coalesce(F.abs(apart(F.col("a"), F.col("b")) - apart(F.col("c"), F.col("b"))) < eps, F.lit(False))
-    return x.select("src", "dst", confounded.alias("confounded"), explained.alias("explained")).withColumn("passed", ~F.col("explained"))
+    hubs = stage.write(hubs.select(F.col("node").alias("h")))
+    hub = stage.write(maybe_among(near, "h", hubs, hubs.count()).join(hubs, "h", "left_semi").groupBy("x").agg(F.min("h").alias("hub")))
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), (F.struct(version) if version else F.lit(0)).alias("o"))
+    held = stage.write(rows.select("k").distinct())
+    both = stage.write(pairs.select("src", "dst"))
+    hot = {c: hot_keys(both, c) for c in ("src", "dst")}
+    x = skew_join(skew_join(both, held.toDF("src"), "src", hot["src"]), held.toDF("dst"), "dst", hot["dst"])
+    x = skew_join(x, hub.toDF("src", "hub"), "src", hot["src"], "left")
+    x = skew_join(x, hub.select(F.col("x").alias("dst"), F.lit(True).alias("too")), "dst", hot["dst"], "left")
+    x = stage.write(x.select("src", "dst", F.when(F.col("too"), F.col("hub")).alias("hub")))
+    stage.drop(both, held, hub, hubs)
+
+    def measured(pairs: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+        """``pairs`` whose hub has a vector, with both distances and the bound of their errors."""
+        links = stage.write(pairs.select(F.inline(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("w")), F.struct(F.col("hub").alias("u"), F.col("dst").alias("w"))))).distinct())
+        wanted = stage.write(nodes_of(links.select(F.col("u").alias("src"), F.col("w").alias("dst"))))
+        v = maybe_among(rows, "k", wanted, wanted.count()).groupBy("k").agg(F.max_by(form(F.col("v")), "o").alias("x"))
+        v = stage.write(v)
+        d = stage.write(_apart(links, v))
+        stage.drop(links, wanted, v)
+        own, other = d.toDF("src", "dst", "d", "ru", "rw"), d.select(F.col("u").alias("hub"), F.col("w").alias("dst"), F.col("d").alias("dc"), F.col("ru").alias("rc"))
+        return pairs.join(own, ["src", "dst"]).join(other, ["hub", "dst"]).withColumn("m", F.abs(F.col("d") - F.col("dc"))).withColumn("e", F.col("ru") + 2 * F.col("rw") + F.col("rc"))
+
+    surely = F.coalesce(F.col("m") + F.col("e") < eps, F.lit(False))
+    never = F.coalesce((F.col("m") - F.col("e")).between(eps, 1e300), F.lit(False))  # not where it is NaN or infinite
+    rest, near = x.filter("hub is not null"), x.limit(0).select("src", "dst")
+    for form in FORMS:
+        m = stage.write(measured(rest, form).select("src", "dst", "hub", surely.alias("near"), (~surely & ~never).alias("open")))
+        near = near.unionByName(m.filter("near").select("src", "dst"))
+        rest = m.filter("open").select("src", "dst", "hub")
+        if rest.isEmpty():
+            break
+    explained = F.coalesce("explained", F.lit(False))
+    x = x.join(near.distinct().withColumn("explained", F.lit(True)), ["src", "dst"], "left")
+    return x.select("src", "dst", F.col("hub").isNotNull().alias("confounded"), explained.alias("explained"), (~explained).alias("passed"))

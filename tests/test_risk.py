@@ -505,3 +505,33 @@ def test_merkle_folds_and_chains(spark):
         for _, o, p in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
             h = hashlib.sha256(f"{h}|{p or ''}".encode()).hexdigest()
             assert got[s, o] == h
+
+
+@pytest.mark.parametrize("step", [1.0, 1e-4, 1e-13])
+def test_explained_pairs_near_the_threshold(spark, step):
+    """Rounding decides no pair: distances are off the threshold by much, by little and by next to nothing."""
+    eps, hub, n = 5.0, 0, 40
+    vec = {hub: [0.0, 0.0, 0.3], 99: [1.0, 1.0, float("inf")], 98: [float("nan")] * 3} | {i: [eps + (i - n // 2) * step, 0.1 * i, 0.3] for i in range(1, n)}
+    edges = [(hub, i) for i in vec if i != hub] + [(i, i % (n - 1) + 1) for i in range(1, n)] + [(99, 1), (1, 99), (98, 1), (5, 500), (500, 600)]
+    rows = [(k, 1, [9.0, 9.0, 9.0]) for k in (1, 2, hub)] + [(k, None, [7.0] * 3) for k in (3, hub)] + [(k, 2, v) for k, v in vec.items()] + [(None, 1, [0.0] * 3)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = graphs.explained_pairs(e, e, spark.createDataFrame([(hub,)], "node long"), spark.createDataFrame(rows, "k long, version int, v array<double>"), "k", "v", eps, "version").collect()
+    near = {x for a, b in edges for x, y in ((a, b), (b, a)) if y == hub}
+    apart = lambda a, b: math.sqrt(sum((p - q) ** 2 for p, q in zip(vec[a], vec[b])))
+    want = {(a, b): (a in near and b in near, a in near and b in near and abs(apart(a, b) - apart(hub, b)) < eps) for a, b in edges if a in vec and b in vec}
+    assert {(r.src, r.dst): (r.confounded, r.explained) for r in got} == want and all(r.passed != r.explained for r in got) and len(got) == len(want)
+    assert {x for c, x in want.values() if c} == {True, False}
+
+
+def test_explained_pairs_move_no_vectors_they_do_not_need(spark, monkeypatch):
+    """Vectors are staged rounded, of confounded pairs only; whole ones only where rounding leaves the answer open."""
+    staged = []
+    from ledgerweave.plans.staging import Stage
+
+    write = Stage.write
+    monkeypatch.setattr(Stage, "write", lambda self, df, by=None: staged.append((df.schema, n := write(self, df, by), n.count())) or n)
+    e = spark.createDataFrame([(0, 1), (0, 2), (1, 2), *[(i, i + 1) for i in range(10, 400)]], "src long, dst long")
+    v = spark.range(401).select(F.col("id").alias("k"), F.array(*[(F.col("id") % 7 + j).cast("double") for j in range(3)]).alias("v"))
+    assert graphs.explained_pairs(e, e, spark.createDataFrame([(0,)], "node long"), v, "k", "v", 5.0).filter("confounded").count() == 1
+    kinds = [(s["x"].dataType["v"].dataType.elementType.typeName(), n) for s, _, n in staged if "x" in s.names and s["x"].dataType.typeName() == "struct"]
+    assert kinds and all(k == "byte" and n <= 40 for k, n in kinds)
