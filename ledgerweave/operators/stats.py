@@ -7,11 +7,14 @@ left out pairwise.  An empty sample gives null statistics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ledgerweave.functions.hashes import md5_heads
 from ledgerweave.plans.ordered import running_totals
 
 
@@ -143,12 +146,25 @@ def ols_last(df: DataFrame, y: str, xs: list[str]) -> tuple[float, float, float]
     return float(beta[-1]), t, normal_p(t)
 
 
+#: Distribution function of the Poisson law of mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
+
+
 def poisson_weight(key: Column, replicate: Column) -> Column:
     """Poisson(1) weight of a row in a bootstrap replicate, from a hash of both: the same on every engine and run."""
     u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    #: Distribution function of the Poisson law of mean 1.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
+    return F.size(F.filter(F.array(*[F.lit(s) for s in POISSON]), lambda s: s <= u))
+
+
+def poisson_weights(keys: pa.Array, replicates: int) -> np.ndarray:
+    """(replicates, keys): ``poisson_weight`` of all keys in the replicates 1 .. ``replicates``; 0 for a null key."""
+    heads = md5_heads(keys, [f"|{r}".encode() for r in range(1, replicates + 1)])
+    out = np.zeros(heads.shape, np.uint8)
+    for s in POISSON:
+        out += heads >= np.uint32(math.ceil(s * 2**32))
+    if keys.null_count:
+        out[:, keys.is_null().to_numpy(zero_copy_only=False)] = 0
+    return out
 
 
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int) -> DataFrame:
@@ -176,27 +192,42 @@ def power_gate(n: Column, effect: Column, alpha: float = 0.05, power: float = 0.
     return need, n >= need, F.when(n >= need, "ok").otherwise("insufficient data")
 
 
-def weighted_moments(df: DataFrame, columns: list[str], key: Column, replicates: int) -> dict[int, tuple[float, np.ndarray]]:
+def weighted_moments(df: DataFrame, columns: list[str], key: Column, replicates: int, derived: dict[str, tuple[Column, float]] | None = None) -> dict[int, tuple[float, np.ndarray]]:
     """(n, centred cross products) of complete rows in each bootstrap replicate; replicate 0 is the table itself.
 
-    One pass over the rows; what comes back is as large as replicates times squared columns.
+    ``derived`` columns follow ``columns``: an expression that is never null nor NaN, and a number near its mean.  One pass over
+    the rows, batch by batch: a batch's weights are hashed together and its sums are a matrix product.  What comes back is as
+    large as replicates times squared columns.
     """
+    derived = derived or {}
     ok = F.lit(True)
     for c in columns:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     df = df.filter(ok)
     mean = [float(v or 0) for v in df.agg(*[F.avg(c) for c in columns]).first()]
-    x = df.select(key.cast("string").alias("__k"), *[(F.col(c) - m).alias(c) for c, m in zip(columns, mean)])
-    x = x.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    x = x.withColumn("__w", F.when(F.col("__r") == 0, 1).otherwise(poisson_weight(F.col("__k"), F.col("__r"))))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    w = F.col("__w")
-    rows = x.groupBy("__r").agg(F.sum(w), *[F.sum(w * F.col(c)) for c in columns], *[F.sum(w * F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).collect()
+    about = [*[(F.col(c), m) for c, m in zip(columns, mean)], *derived.values()]
+    x = df.select((key.cast("string") if replicates else F.lit(None).cast("string")).alias("__k"), *[(c - m).cast("double").alias(f"__{i}") for i, (c, m) in enumerate(about)])
+    width = len(about)
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates + 1, 1 + width + len(pairs)))
+        for b in batches:
+            v = [b.column(i + 1).to_numpy() for i in range(width)]
+            terms = np.stack([np.ones(b.num_rows), *v, *[v[i] * v[j] for i, j in pairs]], axis=1)
+            total[0] += terms.sum(axis=0)
+            if replicates:
+                total[1:] += poisson_weights(b.column(0), replicates).astype(np.float64) @ terms
+        if total[0, 0]:
+            yield pa.RecordBatch.from_pydict({"r": pa.array(range(replicates + 1), pa.int32()), "s": pa.array(list(total), pa.list_(pa.float64()))})
+
+    parts = x.mapInArrow(run, "r int, s array<double>")
+    rows = parts.groupBy("r").agg(*[F.sum(F.get("s", F.lit(i))) for i in range(1 + width + len(pairs))]).collect()
     out = {}
     for r in rows:
-        n, s = float(r[1]), np.array([float(v) for v in r[2 : 2 + len(columns)]])
-        c = np.zeros((len(columns), len(columns)))
-        for (i, j), v in zip(pairs, r[2 + len(columns) :]):
+        n, s = float(r[1]), np.array([float(v) for v in r[2 : 2 + width]])
+        c = np.zeros((width, width))
+        for (i, j), v in zip(pairs, r[2 + width :]):
             c[i, j] = c[j, i] = v
         out[r[0]] = (n, c - np.outer(s, s) / max(n, 1.0))
     return out
@@ -224,7 +255,7 @@ def evaluate_candidates(df: DataFrame, y: str, anchors: list[str], pool: list[st
 
     columns = [y, *anchors, *pool, "__placebo"]
     at = {c: i for i, c in enumerate(columns)}
-    m = weighted_moments(df.withColumn("__placebo", hashed_unit(F.abs(F.xxhash64(key) % 1_000_003), F.lit(1), 72)), columns, key, replicates)
+    m = weighted_moments(df, columns[:-1], key, replicates, {"__placebo": (hashed_unit(F.abs(F.xxhash64(key) % 1_000_003), F.lit(1), 72), 0.5)})
     out = []
     for name, confounders in candidates.items():
         z = [at[c] for c in confounders]
