@@ -7,10 +7,14 @@ steps, and metrics of it are null or 0 as said at each function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
-from ledgerweave.operators.stats import poisson_weight
+from ledgerweave.operators.stats import poisson_weight, poisson_weights
 from ledgerweave.plans.ordered import running_totals
 
 
@@ -123,11 +127,28 @@ def precision_interval(df: DataFrame, score: str, label: str, key: str, k: int,
 
 
 def rate_gap_interval(df: DataFrame, label: str, predicted: str, group: str, key: Column, replicates: int, level: float = 0.95) -> DataFrame:
-    """(tpr_lo, tpr_hi, fpr_lo, fpr_hi): percentile intervals of the largest gaps between groups, over Poisson bootstrap replicates."""
-    x = df.select(F.col(group).alias("g"), (F.col(label) == 1).alias("y"), (F.col(predicted) == 1).alias("p"), key.cast("string").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    x = x.withColumn("w", poisson_weight(F.col("k"), F.col("replicate")))
-    share = lambda cond, of: F.sum(F.when(cond & of, F.col("w")).otherwise(0)) / F.nullif(F.sum(F.when(of, F.col("w")).otherwise(0)), F.lit(0))
-    rates = x.groupBy("replicate", "g").agg(share(F.col("p"), F.col("y")).alias("tpr"), share(F.col("p"), ~F.col("y")).alias("fpr"))
+    """(tpr_lo, tpr_hi, fpr_lo, fpr_hi): percentile intervals of the largest gaps between groups, over Poisson bootstrap replicates.
+
+    A batch's weights are hashed together and summed by group and kind of row, so only such sums are shuffled.
+    """
+    flag = lambda c: F.coalesce((F.col(c) == 1).cast("int"), F.lit(2))  # noqa: E731 - 2: not known
+    x = df.select(F.col(group).alias("g"), (flag(label) * 3 + flag(predicted)).alias("c"), key.cast("string").alias("k"))
+    schema = T.StructType([x.schema["g"], T.StructField("c", T.IntegerType()), T.StructField("replicate", T.IntegerType()), T.StructField("w", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = b.column(0).dictionary_encode()
+            n = len(g.dictionary)
+            kinds, at = np.unique(g.indices.fill_null(n).to_numpy(zero_copy_only=False).astype(np.int64) * 9 + b.column(1).to_numpy(), return_inverse=True)
+            sums = np.stack([np.bincount(at, w, len(kinds)) for w in poisson_weights(b.column(2), replicates)]).astype(np.int64)
+            own = np.tile(kinds, replicates)
+            groups = g.dictionary.take(pa.array(own // 9, mask=own // 9 == n))
+            yield pa.RecordBatch.from_arrays([groups, pa.array(own % 9, pa.int32()), pa.array(np.repeat(np.arange(1, replicates + 1), len(kinds)), pa.int32()), pa.array(sums.ravel())], names=schema.names)
+
+    x = x.mapInArrow(run, schema)
+    y, p = F.floor(F.col("c") / 3), F.col("c") % 3
+    share = lambda k: F.sum(F.when((y == k) & (p == 1), F.col("w")).otherwise(0)) / F.nullif(F.sum(F.when(y == k, F.col("w")).otherwise(0)), F.lit(0))
+    rates = x.groupBy("replicate", "g").agg(share(1).alias("tpr"), share(0).alias("fpr"))
     gaps = rates.groupBy("replicate").agg(*[F.coalesce(F.max(c) - F.min(c), F.lit(0.0)).alias(c) for c in ("tpr", "fpr")])
     a = (1 - level) / 2
     return gaps.agg(*[F.expr(f"percentile({c}, {q})").alias(f"{c}_{n}") for c in ("tpr", "fpr") for n, q in (("lo", a), ("hi", 1 - a))])

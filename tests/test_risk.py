@@ -571,3 +571,20 @@ def test_present_edges_need_no_replicates(spark, sf, monkeypatch):
     b = {(r.name, r.edge): r.r for r in audits.r148b_present_edges(spark, sf).collect()}
     assert made == [0]
     assert b == {(r.name, r.edge): round(r.r, 7) for r in audits.r148_evaluate_candidates(spark, sf).filter("kind = 'present' and name != 'C'").collect()} and made == [0, 20]
+
+
+def test_gap_interval_of_many_rows_in_time_and_of_null_keys(spark, tmp_path):
+    """Weights of 20 replicates over a million rows; a row without a whole key weighs nothing, as in SQL."""
+    import duckdb
+
+    from ledgerweave.queries import audits
+
+    big = spark.range(0, 1_000_000, 1, 4).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 7 < 2).cast("int").alias("p"), (F.col("id") % 2).cast("string").alias("g"))
+    began = time.monotonic()
+    r = curves.rate_gap_interval(big, "y", "p", "g", F.col("id"), 20).first()
+    assert time.monotonic() - began < 25 and 0 <= r.tpr_lo <= r.tpr_hi < 0.01
+    rows = [(i, i * 7 if i % 3 else None, 1, float(i), "R" if i % 2 else "N" if i % 5 else None, ("F", "O", None)[i % 4 % 3]) for i in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string").selectExpr("*", "double(1) l_quantity", "timestamp'2020-01-01' l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert np.allclose(list(audits.r060b_gap_interval(spark, str(tmp_path)).first()), con.execute(audits.SQL["r060b_gap_interval"]).fetchone(), atol=1e-9)
